@@ -130,11 +130,23 @@ class Words:
             low *= power[:n]
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(low, out=total[1:])
-            self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self._total, self._inverse = total, inverse
+        self.hash = self.span_hash(self.start, self.end)
         self.row = np.searchsorted(off, self.start, "right") - 1
         # word positions at which each text's words begin
         self.first = np.searchsorted(self.start, off)
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each span, wherever it stands."""
+        with np.errstate(over="ignore"):
+            return mix((self._total[end] - self._total[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+
+    def per_row(self, marked: np.ndarray) -> np.ndarray:
+        """How many bytes of each text are marked."""
+        total = np.zeros(len(marked) + 1, np.int64)
+        np.cumsum(marked, out=total[1:])
+        return np.diff(total[self.off])
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of every run of k words inside one text."""
         n = len(self.hash)

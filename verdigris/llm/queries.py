@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import bpe
+from verdigris.llm import bpe, mixing, packing, perplexity
 from verdigris.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,5 +17,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_columns(bpe.decode_documents(encoded.select("doc_id", "ids"), path))
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge_documents(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_perplexity": op10_perplexity}
 ORACLES: dict[str, str] = {}
