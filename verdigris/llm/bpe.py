@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,50 +39,83 @@ class PrefixBPE:
         self.tails = dict.fromkeys((t[i:] for t in self.ranks for i in range(len(t))), -1) | self.ranks
         self._whole: dict[int, bool] = {}
         self._pairs: dict[int, bool] = {}
+        self._spines: tuple[dict, dict] = ({}, {})
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Rank-ordered merging of a short byte string; used to judge tokens and pairs of tokens."""
+    def merge(self, piece: bytes, down_to: int = 1) -> list[bytes]:
+        """Rank-ordered merging of a short byte string, until at most `down_to` parts are left."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         get = self.ranks.get
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best, at = min((get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
             if best == NONE:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
     def whole(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
         if (known := self._whole.get(token)) is None:
-            known = self._whole[token] = self.merge(self.tokens[token]) == [token]
+            known = self._whole[token] = len(self.merge(self.tokens[token])) == 1
+        return known
+
+    def spine(self, token: int, side: int) -> list[tuple[bytes, int]]:
+        """What stands at the token's right (1) or left (0) edge while it is merged, byte first: (part, rank of the merge that takes it)."""
+        if (known := self._spines[side].get(token)) is None:
+            known, part, taken = [], self.tokens[token], NONE
+            while True:
+                known.append((part, taken))
+                if len(part) == 1:
+                    break
+                taken = self.ranks[part]
+                part = self.merge(part, 2)[-side]
+            known = self._spines[side][token] = known[::-1]
         return known
 
     def follows(self, left: int, right: int) -> bool:
-        """Whether `right` can stand after `left` in an encoding."""
+        """Whether `right` can stand after `left`: no merge across the border comes before those that make the two."""
         if len(self._pairs) > 2_000_000:
             self._pairs.clear()
-        known = self._pairs[left << 32 | right] = self.whole(right) and self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        get, known = self.ranks.get, self.whole(left) and self.whole(right)
+        a, b, i, j = self.spine(left, 1), self.spine(right, 0), 0, 0
+        while known:
+            (x, x_taken), (y, y_taken) = a[i], b[j]
+            across = get(x + y, NONE)
+            if across < x_taken and across <= y_taken:  # of equal merges the left one comes first
+                known = False
+            elif x_taken <= y_taken and i + 1 < len(a):
+                i += 1
+            elif j + 1 < len(b):
+                j += 1
+            else:
+                break
+        self._pairs[left << 32 | right] = known
         return known
 
+    def ending(self, data: bytes, end: int, last: list[int]) -> int:
+        """The last token of the prefix of `end` bytes. Sets last[end], and the entries before it that this one needs."""
+        tail, pair, fits, begin = self.tails.get, self._pairs.get, [], end - 1
+        while begin >= 0 and (token := tail(data[begin:end])) is not None:
+            if token >= 0:
+                fits.append((begin, token))
+            begin -= 1
+        for begin, token in reversed(fits):
+            if not begin:
+                known = self.whole(token)
+            else:
+                if (before := last[begin]) < 0:
+                    before = self.ending(data, begin, last)
+                if (known := pair(before << 32 | token)) is None:
+                    known = self.follows(before, token)
+            if known:
+                last[end] = token
+                return token
+        raise ValueError("the vocabulary lacks a single byte of the text")
+
     def fill(self, data: bytes, last: list[int], start: int, stop: int) -> None:
         """Set last[start+1 .. stop], given the entries up to `start`; last[i] belongs to the prefix of i bytes."""
-        tail, pair = self.tails.get, self._pairs.get
         for end in range(start + 1, stop + 1):
-            fits, begin = [], end - 1
-            while begin >= 0 and (token := tail(data[begin:end])) is not None:
-                if token >= 0:
-                    fits.append((begin, token))
-                begin -= 1
-            for begin, token in reversed(fits):
-                if not begin:
-                    known = self.whole(token)
-                elif (known := pair(last[begin] << 32 | token)) is None:
-                    known = self.follows(last[begin], token)
-                if known:
-                    last[end] = token
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte of the text")
+            if last[end] < 0:
+                self.ending(data, end, last)
 
     def follow(self, last: list[int], end: int) -> list[int]:
         out = []
@@ -95,7 +129,9 @@ class PrefixBPE:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         last = [-1] * (len(piece) + 1)
-        self.fill(piece, last, 0, len(piece))
+        if len(piece) > 200:  # else the entries that are asked for are enough
+            self.fill(piece, last, 0, len(piece))
+        self.ending(piece, len(piece), last)
         return self.follow(last, len(piece))
 
     def decode(self, ids) -> bytes:
@@ -142,7 +178,7 @@ class PieceCache(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode_piece(piece.encode()), np.int32).tobytes()
+        ids = array("i", self.bpe.encode_piece(piece.encode())).tobytes()
         if len(piece) <= MAX_CACHED_PIECE:
             if len(self) >= MAX_CACHED:
                 self.clear()
