@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import bpe, mixing, neardup, packing, perplexity
+from verdigris.llm import bpe, mixing, neardup, packing, perplexity, pii
 from verdigris.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_personal_data(read_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,5 +38,5 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_minhash": op2_minhash, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_perplexity": op10_perplexity}
+QUERIES = {"op1_pii": op1_pii, "op2_minhash": op2_minhash, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_perplexity": op10_perplexity}
 ORACLES: dict[str, str] = {}
