@@ -208,3 +208,10 @@ def score_quality(docs: DataFrame, model: Attention, text: str = "text") -> Data
 
 def held_out(key):
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = MAX_TRAINING_DOCS) -> DataFrame:
+    """Texts and labels of at most `most` labelled rows that are not held out; the sample of keys, of that size at most, is broadcast."""
+    usable = labels.filter(F.col("quality").isNotNull() & ~F.coalesce(held_out(F.col(key)), F.lit(True))).select(key, "quality").dropDuplicates([key])
+    sample = usable.orderBy(F.xxhash64(F.col(key), F.lit(11)), key).limit(most)
+    return docs.select(key, "text").join(F.broadcast(sample), key)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, mixing, neardup, packing, perplexity, pii
+from verdigris.llm import ann, bpe, mil, mixing, neardup, packing, perplexity, pii, urls
 from verdigris.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -19,6 +20,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(read_table(spark, sf_dir, "pages", "page_id", "url"), urls.RULES, urls.labelled_urls())
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     encoded = bpe.encode_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
@@ -29,6 +35,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    model = mil.fit_quality(mil.training_rows(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality")))
+    scored = mil.score_quality(docs, model)
+    out = F.coalesce(mil.held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= mil.PREDICT_FROM).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -38,5 +56,15 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_minhash": op2_minhash, "op4_bpe": op4_bpe, "op5_mixing": op5_mixing, "op9_packing": op9_packing, "op10_perplexity": op10_perplexity}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_minhash": op2_minhash,
+    "op3_urls": op3_urls,
+    "op4_bpe": op4_bpe,
+    "op5_mixing": op5_mixing,
+    "op7_ann": op7_ann,
+    "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_perplexity": op10_perplexity,
+}
 ORACLES: dict[str, str] = {}
