@@ -23,10 +23,10 @@ SLOTS, GRAMS, BLOCK_FROM = 1 << 14, (3, 4, 5), 0.5
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 # Parts of the labelled URL table (see labelled_urls).
-UNWANTED = "casino jackpot poker betting slots escort xxx adult porn camgirls viagra pills cheapmeds payday-loan crypto-giveaway freeiphone winprize torrent-crack keygen warez replica-watches hotdeals-now click2win sexdate".split()
-WANTED = "university library weather museum recipes gardening physics history news travel-guide astronomy biology council school health-advice orchestra cycling chess poetry archive engineering software-docs railway geography".split()
-HOSTS = ["{}.com", "www.{}.net", "{}-online.org", "blog.{}.example.com", "m.{}.info", "the{}.example.org"]
-PATHS = ["/", "/en/{}/index.html", "/{}/1204", "/2021/05/{}-and-more", "/page/{}?ref=a", "/de/{}.html"]
+UNWANTED = "casino jackpot poker betting slots escort xxx adult porn camgirls viagra pills cheapmeds payday-loan crypto-giveaway freeiphone winprize torrent-crack keygen warez replica-watches hotdeals-now click2win sexdate adult-video freebets sportbets casino-bonus cheap-meds pills-shop ads-server ad-track tracker-pixel spam-mail link-farm content-farm".split()
+WANTED = "university library weather museum recipes gardening physics history news travel-guide astronomy biology council school health-advice orchestra cycling chess poetry archive engineering software-docs railway geography farm-school track-cycling free-library".split()
+HOSTS = ["{}.com", "www.{}.net", "{}-online.org", "blog.{}.example.com", "m.{}.info", "my-{}.example.org"]
+PATHS = ["/", "/en/{}/index.html", "/en/31204", "/2021/05/{}-and-more", "/page/{}?ref=a", "/de/20117.html"]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
