@@ -1,8 +1,48 @@
-"""Corpus preparation: the stages applied in turn to the documents table."""
+"""Corpus preparation: the stages applied in turn to the documents table.
 
-STAGES = []
+quality: documents that the quality rules reject go. near_dedup: one document of each group of near-duplicates stays.
+pii: personal data in the texts is replaced by its kind, and n_chars follows. mixing: each document once for every pass
+that the mix takes it, in training order. bpe: doc_id, source, ids and n_tokens of what is left, rows as mixed.
+"""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from verdigris.llm import bpe, mixing, neardup, perplexity, pii
+from verdigris.llm.common import Scratch, read_table
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def quality(spark, docs, sf_dir):
+    return perplexity.judge_documents(docs).filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark, docs, sf_dir):
+    return neardup.drop_copies(docs).select(*docs.columns)
+
+
+def personal_data(spark, docs, sf_dir):
+    return pii.mask_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark, docs, sf_dir):
+    return mixing.mix_documents(docs)
+
+
+def encode(spark, docs, sf_dir):
+    encoded = bpe.encode_documents(docs.select("doc_id", "source", "text"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("pii", personal_data), ("mixing", mix), ("bpe", encode)]
+#: SQL cannot express the language model, the bootstrapped contexts or the encoder.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over documents, each written as Parquet and read again by the next."""
+    scratch, docs = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
