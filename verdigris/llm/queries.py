@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import ann, bpe, mil, mixing, neardup, packing, perplexity, pii, urls
+from verdigris.llm import ann, bpe, chat, mil, mixing, neardup, packing, perplexity, pii, urls
 from verdigris.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chat.as_transcript(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    hmm = chat.fit_hmm(lines.filter(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2))
+    return chat.render_turns(chat.label_lines(lines.select("conv_id", "turn", "line", "text"), hmm))
+
+
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_urls": op3_urls,
     "op4_bpe": op4_bpe,
     "op5_mixing": op5_mixing,
+    "op6_chat": op6_chat,
     "op7_ann": op7_ann,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
