@@ -1,4 +1,544 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, with equivalent DuckDB SQL where SQL can express them.
 
-QUERIES = {}
-ORACLES = {}
+`events` stands in for results of two runs (user = task, parity of event_id = side, errors fail, signups have no verdict),
+`documents` and `benchmark` for a corpus and its questions, `labels` for two raters, `lineitem` for model usage, `conversations` for transcripts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.functions import calculator, parsing, scoring, text
+from verdigris.operators import judging, pairing, quality, retrieval, sampling, similarity
+from verdigris.operators import statistics as st
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SEED, RESAMPLES = 7, 1000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c, name):
+    return F.round(c, 6).alias(name)
+
+
+# --- runs and their comparison
+
+
+def runs(spark: SparkSession, d: str, keep: str = "true") -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "events").filter(keep).select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2).alias("side"), F.when(F.col("event_type") == "error", F.lit(False)).when(F.col("event_type") == "signup", F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("success"), F.col("event_id").alias("repeat"))
+    return rows.filter("side = 0"), rows.filter("side = 1")
+
+
+def deltas(spark: SparkSession, d: str) -> DataFrame:
+    return pairing.deltas(pairing.paired(*runs(spark, d)))
+
+
+PAIRS = """smp as (select user_id task_id, event_id % 2 side, case event_type when 'error' then cast(0 as double) when 'signup' then null else cast(1 as double) end ok, event_id from events where {keep}),
+ m as (select task_id, avg(case when side=0 then ok end) base, avg(case when side=1 then ok end) cand from smp group by task_id),
+ d as (select cast(row_number() over (order by task_id) as bigint)-1 k, task_id, cand-base d from m where base is not null and cand is not null)"""
+ALL = PAIRS.format(keep="true")
+BOOT = f"""n as (select count(*) n from d),
+ r as (select b.b, ('0x'||substr(md5('{SEED}-'||b.b||'-'||d.k),1,8))::BIGINT % (select n from n) k from (select unnest(range({RESAMPLES})) b) b cross join d),
+ x as (select r.b, avg(d.d) m from r join d on d.k = r.k group by r.b)"""
+
+
+@query(f"with {ALL} select task_id, 0 side, round(base,6) m from m where exists (select 1 from smp where smp.task_id=m.task_id and side=0) union all select task_id, 1, round(cand,6) from m where exists (select 1 from smp where smp.task_id=m.task_id and side=1)")
+def q_task_means(spark, d):
+    base, cand = (pairing.task_means(r).withColumn("side", F.lit(i)) for i, r in enumerate(runs(spark, d)))
+    return base.unionByName(cand).select("task_id", "side", r6("m", "m"))
+
+
+@query(f"with {ALL} select task_id, round(base,6) base, round(cand,6) cand, round(cand-base,6) d from m")
+def q_paired_deltas(spark, d):
+    return pairing.paired(*runs(spark, d)).select("task_id", r6("base", "base"), r6("cand", "cand"), r6("d", "d"))
+
+
+@query(f"with {PAIRS.format(keep='event_id % 37 < 2')} select task_id from m where base is null or cand is null")
+def q_dropped_tasks(spark, d):
+    return pairing.dropped(pairing.paired(*runs(spark, d, "event_id % 37 < 2")))
+
+
+@query(f"with {ALL}, {BOOT} select round((select avg(d) from d),6) point, round(quantile_cont(m,0.025),6) lo, round(quantile_cont(m,0.975),6) hi from x")
+def q_bootstrap_ci(spark, d):
+    rows = deltas(spark, d)
+    boot = st.resample_means(rows, RESAMPLES, SEED, "task_id", "d").agg(*st.quantiles("m"))
+    return rows.agg(F.avg("d").alias("point")).crossJoin(boot).select(r6("point", "point"), r6("lo", "lo"), r6("hi", "hi"))
+
+
+BUNDLE = f"""with {ALL}, {BOOT}, a as (select count(*) n, avg(d) delta, coalesce(stddev_samp(d),0) sd from d), q as (select quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi, avg(case when m<0 then 1.0 else 0.0 end) p_neg from x)
+ select n, round(delta,6) delta, round(sd,6) sd, round(lo,6) lo, round(hi,6) hi, round(hi,6) upper, round(p_neg,6) p_neg, round({st.Z975 + st.Z80!r}*sd/sqrt(n),6) mde"""
+TAIL = " from a cross join q"
+
+
+def bundle(spark, d):
+    return st.paired_bootstrap(deltas(spark, d), RESAMPLES, SEED)
+
+
+BUNDLE_COLUMNS = ("delta", "sd", "lo", "hi", "upper", "p_neg", "mde")
+
+
+@query(BUNDLE + TAIL)
+def q_paired_bootstrap(spark, d):
+    return bundle(spark, d).select("n", *(r6(c, c) for c in BUNDLE_COLUMNS))
+
+
+@query(BUNDLE + ", case when delta*100 <= -2+1e-9 then case when hi<0 then 'block' else 'warn' end else 'pass' end verdict" + TAIL)
+def q_gate_verdict(spark, d):
+    return bundle(spark, d).select("n", *(r6(c, c) for c in BUNDLE_COLUMNS), st.gate(F.col("delta"), F.col("upper")).alias("verdict"))
+
+
+TAGS = f"""with {ALL}, tags as (select distinct user_id task_id, event_type tag from events where event_id % 5 = 0 union select distinct user_id, 'h'||(hour(ts)%6) from events where event_id % 11 = 0),
+ td as (select tag, d.task_id, d.d, cast(row_number() over (partition by tag order by d.task_id) as bigint)-1 k, count(*) over (partition by tag) n from tags join d on d.task_id=tags.task_id)"""
+
+
+def tags_of(spark, d):
+    e = table(spark, d, "events")
+    t = e.filter("event_id % 5 = 0").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("tag")).unionByName(e.filter("event_id % 11 = 0").select(F.col("user_id").alias("task_id"), F.concat(F.lit("h"), F.hour("ts") % 6).alias("tag")))
+    return t.groupBy("task_id").agg(F.collect_set("tag").alias("tags"))
+
+
+@query(TAGS + " select tag, count(*) n, round(avg(d),6) delta from td group by tag")
+def q_tag_deltas(spark, d):
+    rows = pairing.tag_deltas(pairing.paired(*runs(spark, d)), tags_of(spark, d))
+    return rows.groupBy("tag").agg(F.count("*").alias("n"), r6(F.avg("d"), "delta"))
+
+
+@query(
+    TAGS
+    + f""", r as (select tag, b.b, ('0x'||substr(md5('{SEED}-'||b.b||'-'||td.k),1,8))::BIGINT % n k from td cross join (select unnest(range(300)) b) b),
+ x as (select r.tag, r.b, avg(td.d) m from r join td on td.tag=r.tag and td.k=r.k group by r.tag, r.b),
+ s as (select tag, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi, avg(case when m>=0 then 1.0 else 0.0 end) p from x group by tag),
+ a as (select tag, count(*) n, avg(d) delta from td group by tag), j as (select a.*, lo, hi, p, row_number() over (order by p, a.tag) rk, count(*) over () m from a join s on s.tag=a.tag),
+ k as (select max(case when p <= 0.05*rk/m then rk end) k from j)
+ select tag, n, round(delta,6) delta, round(lo,6) lo, round(hi,6) hi, round(p,6) p, coalesce(rk <= (select k from k), false) and delta < 0 flagged from j"""
+)
+def q_per_tag_bh(spark, d):
+    rows = pairing.tag_deltas(pairing.paired(*runs(spark, d)), tags_of(spark, d))
+    return st.per_tag(rows, 300, SEED).select("tag", "n", r6("delta", "delta"), r6("lo", "lo"), r6("hi", "hi"), r6("p", "p"), "flagged")
+
+
+@query(f"with {ALL}, w as (select task_id, base, cand, cand-base d from m where base is not null and cand is not null order by cand-base, task_id limit 5) select task_id, round(base,6) base, round(cand,6) cand, round(d,6) d, (select min_by('e'||event_id, event_id) from smp where smp.task_id=w.task_id and side=1 and coalesce(ok,0)<>1) trace_id from w where d < 0")
+def q_worst5(spark, d):
+    base, cand = runs(spark, d)
+    traced = cand.withColumn("trace_id", F.concat(F.lit("e"), F.col("repeat")))
+    return pairing.worst(pairing.paired(base, cand), 5, traced).select("task_id", r6("base", "base"), r6("cand", "cand"), r6("d", "d"), "trace_id")
+
+
+@query("select round(avg(case when event_type='error' then 1.0 else 0.0 end),6) fraction from events")
+def q_judge_error_fraction(spark, d):
+    rows = table(spark, d, "events").select((F.col("event_type") == "error").alias("judge_error"))
+    return pairing.judge_error_fraction(rows).select(r6("fraction", "fraction"))
+
+
+@query("with v as (select user_id, case when avg(value) > 45 then 'block' else 'pass' end verdict from events group by user_id) select count(*) runs, round(avg(case when verdict='block' then 1.0 else 0.0 end),6) rate, avg(case when verdict='block' then 1.0 else 0.0 end) <= 0.05 passed from v")
+def q_false_block_rate(spark, d):
+    v = table(spark, d, "events").groupBy("user_id").agg(F.when(F.avg("value") > 45, "block").otherwise("pass").alias("verdict"))
+    return st.false_block_rate(v).select("runs", r6("rate", "rate"), "passed")
+
+
+@query("with c as (select l_orderkey, l_linenumber, l_extendedprice/1e6*50 cost from lineitem), s as (select *, coalesce(sum(cost) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding),0) spent from c) select l_orderkey, l_linenumber, round(spent,6) spent, spent >= 4 refused from s")
+def q_running_cost_cap(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_extendedprice") / 1e6 * 50).alias("cost"))
+    return pairing.running_cost(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "cost", 4.0).select("l_orderkey", "l_linenumber", r6("spent", "spent"), "refused")
+
+
+# --- retrieval
+
+BM25 = """with toks as (select doc_id, regexp_extract_all(lower(text),'[a-z0-9]+') t from documents),
+ sz as (select count(*)::double n_docs, coalesce(sum(len(t)),0)/greatest(count(*),1) avg_len from toks),
+ post as (select doc_id, len, term, count(*) tf from (select doc_id, len(t) len, unnest(t) term from toks) group by all),
+ df as (select term, count(*) df from post group by term),
+ q as (select item_id query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text,' ')[1:5],' ')),'[a-z0-9]+')) term from benchmark),
+ qq as (select query_id, term, count(*) times from q group by all),
+ s as (select query_id, doc_id, sum(times*ln(1+(n_docs-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(1-0.75+0.75*len/avg_len))) score from qq join df using(term) cross join sz join post using(term) group by all),
+ k as (select *, row_number() over (partition by query_id order by round(score,9) desc, doc_id) rank from s where score>0)"""
+
+
+def questions(spark, d):
+    five = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), five.alias("query"))
+
+
+def bm25(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    return retrieval.Index(docs).search(questions(spark, d)), docs
+
+
+@query(BM25 + " select query_id, rank, doc_id, round(score,6) score from k where rank<=5")
+def q_bm25_topk(spark, d):
+    return bm25(spark, d)[0].select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", r6("score", "score"))
+
+
+@query(
+    BM25
+    + r""", h as (select k.query_id, k.doc_id, d.text body, array_to_string(string_split(b.text,' ')[1:5],' ') query from k join documents d on d.doc_id=k.doc_id join benchmark b on b.item_id=k.query_id where rank=1),
+ p as (select query_id, doc_id, query, unnest(string_split(body, chr(10))) p, generate_subscripts(string_split(body, chr(10)),1) i from h),
+ o as (select *, len(list_intersect(list_distinct(regexp_extract_all(lower(p),'[a-z0-9]+')), list_distinct(regexp_extract_all(lower(query),'[a-z0-9]+')))) o from p),
+ f as (select *, row_number() over (partition by query_id order by o desc, i) rn from o)
+ select query_id, doc_id, substr(trim(regexp_replace(p,'[\s\p{Z}]+',' ','g')),1,200) snippet from f where rn=1"""
+)
+def q_snippet(spark, d):
+    hits, docs = bm25(spark, d)
+    top = hits.filter("rank = 1").join(questions(spark, d), "query_id").join(docs, "doc_id")
+    return top.select("query_id", "doc_id", retrieval.snippet(F.col("body"), F.col("query"), "\n").alias("snippet"))
+
+
+@query("with r as (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) rn from orders where o_orderdate <= timestamp '1998-01-01') select o_custkey, o_orderkey from r where rn=1")
+def q_as_of(spark, d):
+    rows = table(spark, d, "orders")
+    return retrieval.current(rows, "o_custkey", "o_orderdate", F.lit("1998-01-01").cast("timestamp"), [F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("with o as (select o_orderkey::varchar doc_id, strftime(o_orderdate,'%Y-%m-%d') effective_date, case when o_orderkey % 7 = 0 then (o_orderkey-1)::varchar end supersedes from orders), l as (select * from o where effective_date <= '1996-01-01') select doc_id from l where doc_id not in (select supersedes from l where supersedes is not null)")
+def q_effective_documents(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("effective_date"), F.when(F.col("o_orderkey") % 7 == 0, (F.col("o_orderkey") - 1).cast("string")).alias("supersedes"))
+    return retrieval.effective(o, "1996-01-01").select("doc_id")
+
+
+@query("with a as (select distinct l_orderkey*3 k from lineitem where l_linenumber=1) select k::varchar doc_id, coalesce(o_orderpriority, 'error: no document '||k) as text from a left join orders on o_orderkey=k")
+def q_get_documents(spark, d):
+    asked = table(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 3).cast("string").alias("doc_id")).distinct()
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("text"))
+    return retrieval.get_documents(asked, docs)
+
+
+@query()
+def q_near_dup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return similarity.near_duplicates(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), "doc_id", "text").select("a", "b", r6("jaccard", "jaccard"))
+
+
+# --- checks of data
+
+LANGS = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.10, "it": 0.05}
+
+
+@query("with w(lang, share) as (values ('en',0.55::double),('de',0.15),('fr',0.15),('es',0.10),('it',0.05)), h as (select lang, count(*) c from documents group by lang) select w.lang, coalesce(c,0) have, round_even(share*300,0)::bigint want, abs(coalesce(c,0)-round_even(share*300,0)) > 10 off from w left join h using(lang)")
+def q_quota_check(spark, d):
+    return quality.mix_report(table(spark, d, "documents"), "lang", LANGS, 300, 10)
+
+
+@query("select o_custkey, count(*) n from orders group by o_custkey having count(*)>1")
+def q_duplicate_ids(spark, d):
+    return quality.duplicates(table(spark, d, "orders"), "o_custkey")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def q_fk_violations(spark, d):
+    return quality.orphans(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), "doc_id")
+
+
+@query("with t as (select event_id, user_id, event_type, row_number() over (partition by user_id, event_type order by event_id) rn from events) select event_id, user_id, event_type from t where rn=1")
+def q_first_occurrence(spark, d):
+    rows = table(spark, d, "events").withColumn("k", F.concat_ws("/", "user_id", "event_type"))
+    return sampling.first_per(rows, "k", [F.col("event_id")], 1).select("event_id", "user_id", "event_type")
+
+
+@query("with t as (select event_id, event_type, row_number() over (partition by event_type order by event_id) rn from events) select event_id, event_type from t where rn<=20")
+def q_first_n_per_type(spark, d):
+    return sampling.first_per(table(spark, d, "events"), "event_type", [F.col("event_id")], 20).select("event_id", "event_type")
+
+
+@query("select doc_id from (select doc_id, row_number() over (order by md5('11-'||doc_id), doc_id) rn from labels) where rn <= (select round_even(0.2*count(*),0) from labels)")
+def q_seeded_sample(spark, d):
+    return sampling.sample(table(spark, d, "labels"), 0.2, 11, "doc_id").select("doc_id")
+
+
+@query()
+def q_stratified_sample(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
+    return sampling.stratified_sample(rows, ["lang", "quality"], 60, 3, 11, "doc_id").select("doc_id", "lang", "quality")
+
+
+@query("select lang, count(*) n, round(sum(1-quality)/count(*),6) rate, round((p+z*z/(2*n)) / (1+z*z/n) - z*sqrt(p*(1-p)/n+z*z/(4*n*n))/(1+z*z/n),6) lo, round((p+z*z/(2*n)) / (1+z*z/n) + z*sqrt(p*(1-p)/n+z*z/(4*n*n))/(1+z*z/n),6) hi from (select lang, quality, count(*) over (partition by lang)::double n, avg(1-quality) over (partition by lang)::double p, 1.959963984540054::double z from labels join documents using(doc_id)) group by lang, n, p, z".replace("count(*) n,", "n::bigint n,"))
+def q_noise_floor(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    v = rows.select(F.col("lang").alias("split"), F.when(F.col("quality") == 1, "ok").otherwise("fixed").alias("verdict"))
+    return quality.noise_floor(v).select(F.col("split").alias("lang"), "n", r6("rate", "rate"), r6("lo", "lo"), r6("hi", "hi"))
+
+
+# --- agreement and bias
+
+RATERS = "select quality=1 pred, toxic=0 truth, doc_id from labels"
+COUNTS = f"with p as ({RATERS}), c as (select count_if(not pred and not truth)::double tn, count_if(pred and not truth)::double fp, count_if(not pred and truth)::double fn, count_if(pred and truth)::double tp from p), m as (select *, tn+fp+fn+tp n, (tp+tn)/(tn+fp+fn+tp) raw, (tp+fp)/(tn+fp+fn+tp) a, (tp+fn)/(tn+fp+fn+tp) b from c)"
+
+
+def raters(spark, d):
+    return table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("pred"), (F.col("toxic") == 0).alias("truth"))
+
+
+@query(COUNTS + " select round(raw,6) raw, round((raw-(a*b+(1-a)*(1-b)))/(1-(a*b+(1-a)*(1-b))),6) kappa, round((raw-2*((a+b)/2)*(1-(a+b)/2))/(1-2*((a+b)/2)*(1-(a+b)/2)),6) ac1, round(2*raw-1,6) pabak, round(tp/(tp+fp),6) as precision, round(tp/(tp+fn),6) recall from m")
+def q_agreement(spark, d):
+    return st.agreement(raters(spark, d)).select(*(r6(c, c) for c in st.metrics()))
+
+
+@query(f"with p as ({RATERS}) select count_if(not pred and not truth)::bigint tn, count_if(pred and not truth)::bigint fp, count_if(not pred and truth)::bigint fn, count_if(pred and truth)::bigint tp from p")
+def q_confusion(spark, d):
+    return st.agreement(raters(spark, d)).select("tn", "fp", "fn", "tp")
+
+
+@query(
+    f"""with p as ({RATERS}), k as (select cast(row_number() over (order by doc_id) as bigint)-1 k, count(*) over () n, pred, truth from p),
+ r as (select b.b, ('0x'||substr(md5('{SEED}-'||b.b||'-'||k.k),1,8))::BIGINT % n k from k cross join (select unnest(range(200)) b) b),
+ c as (select b, count_if(not pred and not truth)::double tn, count_if(pred and not truth)::double fp, count_if(not pred and truth)::double fn, count_if(pred and truth)::double tp from r join k using(k) group by b),
+ m as (select *, (tp+tn)/(tn+fp+fn+tp) raw, (tp+fp)/(tn+fp+fn+tp) a, (tp+fn)/(tn+fp+fn+tp) t from c),
+ x as (select (raw-(a*t+(1-a)*(1-t)))/(1-(a*t+(1-a)*(1-t))) kappa from m)
+ select round(quantile_cont(kappa,0.025),6) lo, round(quantile_cont(kappa,0.975),6) hi from x"""
+)
+def q_kappa_ci(spark, d):
+    return st.agreement_report(raters(spark, d), 200, SEED, "doc_id").filter("metric = 'kappa'").select(r6("lo", "lo"), r6("hi", "hi"))
+
+
+LENGTHS = "select doc_id, source g, ln(n_chars) x, quality::double y from documents join labels using(doc_id)"
+
+
+def lengths(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("source").alias("g"), F.log("n_chars").alias("x")).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("y"), F.col("toxic").alias("t")), "doc_id")
+
+
+SUMS = "sum(n) n, sum(sx) sx, sum(sy) sy, sum(sxy) sxy, sum(sxx) sxx"
+SLOPE = "(n*sxy-sx*sy)/(n*sxx-sx*sx)"
+
+
+@query(
+    f"""with l as ({LENGTHS}), s as (select g, cast(row_number() over (order by g) as bigint)-1 k, count(*) over () gs, count(*)::double n, sum(x) sx, sum(y) sy, sum(x*y) sxy, sum(x*x) sxx from l group by g),
+ r as (select b.b, ('0x'||substr(md5('{SEED}-'||b.b||'-'||s.k),1,8))::BIGINT % gs k from s cross join (select unnest(range(500)) b) b),
+ t as (select b, {SUMS} from r join s using(k) group by b), x as (select {SLOPE} s from t), p as (select {SLOPE} slope from (select {SUMS} from s))
+ select round((select slope from p),6) slope, round(quantile_cont(s,0.025),6) lo, round(quantile_cont(s,0.975),6) hi from x"""
+)
+def q_slope_cluster(spark, d):
+    return st.slope_ci(lengths(spark, d), 500, SEED).select(r6("slope", "slope"), r6("lo", "lo"), r6("hi", "hi"))
+
+
+@query("with l as (select ln(n_chars) x, quality::double y, toxic g from documents join labels using(doc_id)), c as (select x-avg(x) over (partition by g) x, y-avg(y) over (partition by g) y from l) select round(coalesce(sum(x*y)/nullif(sqrt(sum(x*x)*sum(y*y)),0),0),6) partial_corr from c")
+def q_partial_corr(spark, d):
+    return st.partial_correlation(lengths(spark, d), "x", "y", "t").select(r6("partial_corr", "partial_corr"))
+
+
+@query("select doc_id, round(ln(length(text||' and more words follow here')::double/length(text))/ln(1.5),6) x from documents where length(text) > 0")
+def q_length_x(spark, d):
+    docs = table(spark, d, "documents").filter("length(text) > 0")
+    return docs.select("doc_id", r6(text.length_x(F.concat("text", F.lit(" and more words follow here")), F.col("text")), "x"))
+
+
+# --- scores
+
+CASES = """select conv_id, turn, case conv_id % 9 when 0 then 'timeout' when 1 then 'error' else 'ok' end status, case turn % 4 when 0 then 'lookup' when 1 then 'unanswerable' when 2 then 'arithmetic' else 'multi_hop' end kind,
+ case when turn % 4 = 1 then 'abstain' when turn % 3 = 0 then 'free_text' else 'numeric' end answer_kind, length(text) % 2 = 0 hit, case length(text) % 3 when 0 then null else (length(text)%3-1)/1.0 end recall,
+ length(text) % 7 = 0 abstained, length(text) % 11 = 0 judge_error, length(text) % 5 < 4 correct, length(text) % 13 > 1 faithful, length(text) % 17 = 0 unjudged from conversations"""
+
+
+def cases(spark, d):
+    n, t = F.length("text"), F.col("turn")
+    status = F.when(F.col("conv_id") % 9 == 0, "timeout").when(F.col("conv_id") % 9 == 1, "error").otherwise("ok")
+    kind = F.when(t % 4 == 0, "lookup").when(t % 4 == 1, "unanswerable").when(t % 4 == 2, "arithmetic").otherwise("multi_hop")
+    answer = F.when(t % 4 == 1, "abstain").when(t % 3 == 0, "free_text").otherwise("numeric")
+    judge = F.when(n % 17 != 0, F.struct((n % 5 < 4).alias("correct"), (n % 13 > 1).alias("faithful")))
+    return table(spark, d, "conversations").select("conv_id", "turn", status.alias("status"), kind.alias("kind"), answer.alias("answer_kind"), (n % 2 == 0).alias("hit"), F.when(n % 3 != 0, (n % 3 - 1).cast("double")).alias("recall"), (n % 7 == 0).alias("abstained"), (n % 11 == 0).alias("judge_error"), judge.alias("judge"))
+
+
+@query(f"with c as ({CASES}) select conv_id, turn, case when status<>'ok' then false when kind='unanswerable' then abstained when abstained then false when answer_kind='free_text' and (judge_error or unjudged) then null when answer_kind='free_text' then correct and faithful and coalesce(recall,0)>0 else hit and coalesce(recall,0)>0 end success from c")
+def q_success_rule(spark, d):
+    c = cases(spark, d)
+    return c.select("conv_id", "turn", scoring.task_success(F.col("status"), F.col("kind"), F.col("answer_kind"), F.col("hit"), F.col("recall"), F.col("abstained"), F.col("judge_error"), F.col("judge")).alias("success"))
+
+
+@query("select conv_id, turn, case when conv_id%10=0 then 'error' when conv_id%10=1 then 'timeout' when conv_id%10=2 or length(text)%40 > 20 then 'limit' when turn%3=0 then 'format_error' else 'ok' end status from conversations")
+def q_sample_status(spark, d):
+    k = F.col("conv_id") % 10
+    status = scoring.sample_status(F.when(k == 0, "x"), F.when(k == 1, "time").when(k == 2, "message"), F.length("text") % 40, F.when(F.col("turn") % 3 != 0, "y"), 20)
+    return table(spark, d, "conversations").select("conv_id", "turn", status.alias("status"))
+
+
+@query("with s as (select l_orderkey k, list_distinct(list(l_partkey%7)) cited, list_distinct(list(l_suppkey%5)) gold from lineitem group by l_orderkey), h as (select *, len(list_intersect(list_intersect(cited,gold),[0,1,2,3])) hits from s) select k, round(hits::double/nullif(len(cited),0),6) as precision, round(hits::double/nullif(len(gold),0),6) recall from h")
+def q_citation_pr(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list((F.col("l_partkey") % 7).cast("long")).alias("cited"), F.collect_list((F.col("l_suppkey") % 5).cast("long")).alias("gold"))
+    c = parsing.citation_scores(F.col("cited"), F.col("gold"), F.array(*(F.lit(i).cast("long") for i in range(4))))
+    return rows.select("k", r6(c["precision"], "precision"), r6(c["recall"], "recall"))
+
+
+@query(r"select doc_id, try_cast(replace(regexp_extract(replace(replace(replace(text,'$',''),'€',''),'£',''), '-?[0-9][0-9,]*(?:\.[0-9]+)?'),',','') as double) number from documents")
+def q_first_number(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.first_number(F.col("text")).alias("number"))
+
+
+@query("select p_partkey, abs(p_retailprice - (p_retailprice + (p_partkey%13-6)*0.002*p_retailprice)) <= greatest(0.005*abs(p_retailprice),0.01) ok from (select p_partkey, round(p_retailprice,2) p_retailprice from part where p_partkey%13 not in (3,4,8,9))")
+def q_numeric_match(spark, d):
+    p = table(spark, d, "part").filter("p_partkey % 13 not in (3,4,8,9)").withColumn("ref", F.round("p_retailprice", 2))
+    answer = F.concat(F.lit("It is $"), F.col("ref") + (F.col("p_partkey") % 13 - 6) * 0.002 * F.col("ref"), F.lit(" in all"))
+    return p.select("p_partkey", text.match_answer(answer, F.col("ref").cast("string"), F.lit("numeric")).alias("ok"))
+
+
+@query("select a.p_partkey, lower(a.p_name)=lower(b.p_name) ok from part a join part b on b.p_partkey = a.p_partkey - a.p_partkey%2")
+def q_exact_match(spark, d):
+    p = table(spark, d, "part")
+    b = p.select((F.col("p_partkey")).alias("k"), F.upper("p_name").alias("ref"))
+    return p.join(b, F.col("k") == F.col("p_partkey") - F.col("p_partkey") % 2).select("p_partkey", text.match_answer(F.concat(F.col("p_name"), F.lit(" ! ")), F.col("ref"), F.lit("exact")).alias("ok"))
+
+
+@query(r"select doc_id, array_to_string(list_sort(list_transform(regexp_extract_all(text,'[A-Z]{2,3}-[0-9]{3}|[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x,',',''))),' ') signature from documents")
+def q_facts_signature(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(text.facts_signature(F.col("text")), " ").alias("signature"))
+
+
+@query("select doc_id, len(regexp_extract_all(lower(text),'[a-z0-9]+'))::bigint n_tokens from documents")
+def q_tokenize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(text),'[^\p{L}\p{N}_\s\p{Z}]','','g'),'[\s\p{Z}]+',' ','g'))) norm_md5 from documents")
+def q_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize(F.col("text")).cast("binary")).alias("norm_md5"))
+
+
+@query("select doc_id, 'sha256:'||sha256(text) hash from documents")
+def q_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.sha256(F.col("text")).alias("hash"))
+
+
+# --- usage and cost
+
+PRICES = [("R", 1.0, 5.0), ("N", 0.25, 1.25), ("default", 2.0, 8.0)]
+
+
+@query("with p(m,i,o) as (values ('R',1.0::double,5.0::double),('N',0.25,1.25)) select l_returnflag model, round(sum(l_partkey*coalesce(i,2.0)+l_suppkey*coalesce(o,8.0))/1e6,6) cost_usd, sum(l_partkey)::bigint tokens_in, sum(l_suppkey)::bigint tokens_out from lineitem left join p on m=l_returnflag group by l_returnflag")
+def q_cost_by_model(spark, d):
+    usage = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("model")).agg(F.sum("l_partkey").alias("tokens_in"), F.sum("l_suppkey").alias("tokens_out"))
+    prices = spark.createDataFrame(PRICES, "model string, input double, output double")
+    return scoring.priced(usage, prices).select("model", r6("cost_usd", "cost_usd"), "tokens_in", "tokens_out")
+
+
+# --- transcripts
+
+
+def transcripts(spark, d):
+    none = F.lit(None).cast("map<string,string>")
+    call = F.struct(F.when(F.col("turn") % 3 == 0, "get_doc").otherwise("search_docs").alias("function"), F.when(F.col("turn") % 3 == 0, F.create_map(F.lit("doc_id"), F.concat(F.lit("D"), (F.length("text") % 4).cast("string")))).otherwise(none).alias("arguments"))
+    m = F.struct("turn", F.when(F.col("role") == "system", "tool").otherwise(F.col("role")).alias("role"), F.array(call).alias("tool_calls"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m.alias("m")), lambda a, b: (a["turn"] - b["turn"]).cast("int")).alias("messages"))
+
+
+@query("select conv_id, coalesce(string_agg(distinct 'D'||(length(text)%4), ',' order by 'D'||(length(text)%4)) filter (where turn%3=0),'') ids from conversations group by conv_id")
+def q_fetched_ids(spark, d):
+    return transcripts(spark, d).select("conv_id", F.array_join(F.array_sort(parsing.fetched_documents(F.col("messages"))), ",").alias("ids"))
+
+
+@query("select conv_id, count_if(role='system')::bigint n_tools from conversations group by conv_id")
+def q_tool_calls(spark, d):
+    return transcripts(spark, d).select("conv_id", parsing.tool_messages(F.col("messages")).cast("long").alias("n_tools"))
+
+
+@query("select conv_id, turn, case when turn%4=3 then null else 'D'||conv_id end answer, case when turn%4<>3 then turn%2=0 end abstain from conversations")
+def q_parse_final(spark, d):
+    t = F.col("turn")
+    body = F.format_string('{"answer": "D%s", "citations": [], "abstain": %s}', F.col("conv_id"), F.when(t % 2 == 0, "true").otherwise("false"))
+    body = F.when(t % 4 == 3, F.concat(F.substring_index(body, "}", 1), F.lit(', "more": 1}'))).otherwise(body)
+    said = F.concat(F.lit('FINAL: {"answer": "old", "citations": [], "abstain": false}\nwords\n'), F.lit("FINAL: "), body, F.lit("\n"))
+    f = parsing.parse_final(said)
+    return table(spark, d, "conversations").select("conv_id", "turn", f["answer"].alias("answer"), f["abstain"].alias("abstain"))
+
+
+@query("select conv_id, turn, case when turn%3<>2 then turn%2=0 end correct from conversations")
+def q_parse_verdict(spark, d):
+    t = F.col("turn")
+    said = F.concat(F.lit("I think {"), F.format_string('"correct": %s, "faithful": true, "reason": "r"', F.when(t % 3 == 2, '"yes"').when(t % 2 == 0, "true").otherwise("false")), F.lit("} so."))
+    return table(spark, d, "conversations").select("conv_id", "turn", parsing.parse_verdict(said)["correct"].alias("correct"))
+
+
+@query("select o_orderkey, o_orderstatus verdict from orders")
+def q_marker_round_trip(spark, d):
+    m = parsing.marker(head_sha=F.col("o_orderkey").cast("string"), verdict=F.col("o_orderstatus"), run_id=F.lit("r"))
+    read = parsing.parse_marker(F.concat(F.lit("text\n"), m, F.lit("\nmore")))
+    return table(spark, d, "orders").select(read["head_sha"].cast("long").alias("o_orderkey"), read["verdict"].alias("verdict"))
+
+
+# --- calibration
+
+
+@query("with k as (select event_id, user_id example, event_type, row_number() over (partition by user_id order by event_id desc) rn from events), v as (select example, event_type <> 'error' pred from k where rn=1 and event_type<>'signup') select doc_id, pred, quality=1 truth from labels join v on example = doc_id")
+def q_labels_with_verdicts(spark, d):
+    key = table(spark, d, "events").select(F.col("user_id").alias("example_id"), F.col("event_id").alias("ord"), F.when(F.col("event_type") != "signup", F.col("event_type") != "error").alias("judge_pass"))
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("example_id"), F.when(F.col("quality") == 1, "pass").otherwise("fail").alias("human_label"))
+    return judging.labelled_verdicts(labels, key).select(F.col("example_id").alias("doc_id"), "pred", "truth")
+
+
+def examples(spark, d):
+    p = table(spark, d, "part")
+    ref = F.concat(F.col("p_size").cast("string"), F.lit("; "), F.col("p_brand"))
+    answer = F.concat(F.lit("It holds "), F.col("p_size").cast("string"), F.lit(" units; it is "), F.col("p_type"))
+    return p.select(F.col("p_partkey").cast("string").alias("example_id"), ref.alias("reference"), answer.alias("answer"), F.array(F.lit("PRD-001")).alias("citations"), F.lit(None).cast("string").alias("synthetic"))
+
+
+def no_docs(spark):
+    return spark.createDataFrame([], "id string, text string, body string")
+
+
+@query("select p_partkey||'~wrong_number' example_id, 'It holds '||(p_size+7)||' units; it is '||p_type answer from part")
+def q_corrupt_number(spark, d):
+    return judging.corrupted(examples(spark, d), no_docs(spark), "wrong_number", "").select("example_id", "answer")
+
+
+@query("select p_partkey||'~dropped_fact' example_id, 'It holds '||p_size||' units' answer from part")
+def q_corrupt_fact(spark, d):
+    return judging.corrupted(examples(spark, d), no_docs(spark), "dropped_fact", "").select("example_id", "answer")
+
+
+@query("select p_partkey::varchar example_id, count(*) n from part cross join (values (0.5),(1.0)) group by p_partkey")
+def q_pad(spark, d):
+    """Two padded forms of every answer that reach their length."""
+    rows = judging.perturbations(examples(spark, d)).join(examples(spark, d).select("example_id", "answer"), "example_id")
+    return rows.filter(F.col("text").startswith(F.col("answer")) & (F.col("x") >= 0.99)).groupBy("example_id").agg(F.count("*").alias("n"))
+
+
+# --- power
+
+
+def grid(spark):
+    return spark.range(1).select(F.explode(F.array(*(F.lit(float(x)) for x in (-8, -7, -6, -5, 0)))).alias("true_delta")).crossJoin(spark.createDataFrame([(0.28, 149), (0.45, 300)], "sd double, n long"))  # ten rows
+
+
+PHI = "0.5*(1+(case when z<0 then -1 else 1 end)*(1-(t*(0.254829592+t*(-0.284496736+t*(1.421413741+t*(-1.453152027+t*1.061405429)))))*exp(-z*z/2)))"
+
+
+@query(f"with g as (select d::double true_delta, sd::double sd, n from (values (-8),(-7),(-6),(-5),(0)) a(d) cross join (values (0.28,149),(0.45,300)) b(sd,n)), z as (select *, (-greatest(0.02, {st.Z975!r}*sd/sqrt(n)) - true_delta/100)/(sd/sqrt(n)) z from g), t as (select *, 1/(1+0.3275911*abs(z)/sqrt(2)) t from z) select true_delta, sd, n::bigint n, round({PHI},6) p from t")
+def q_power_analytic(spark, d):
+    return grid(spark).select("true_delta", "sd", "n", r6(st.analytic_block(F.col("true_delta"), F.col("sd"), F.col("n")), "p"))
+
+
+@query(f"select sd::double sd, n::bigint n, round({st.Z975 + st.Z80!r}*sd/sqrt(n),6) mde from (values (0.28,149),(0.45,300)) b(sd,n)")
+def q_mde(spark, d):
+    return grid(spark).select("sd", "n", r6(st.mde(F.col("sd"), F.col("n")), "mde")).distinct()
+
+
+@query()
+def q_power_mc(spark, d):
+    return st.power_table(st.simulated(spark, [-8, -5, 0], 0.28, 149, 200, 300))
+
+
+@query()
+def q_safe_eval(spark, d):
+    p = table(spark, d, "part")
+    text_ = F.format_string("%s * (%s + 2) - %s / %s", "p_size", "p_partkey", F.round("p_retailprice", 2).cast("string"), F.col("p_size") % 5)
+    return p.select("p_partkey", calculator.calculate(text_).alias("answer"))
+
+
+@query("select n_name, rpad(repeat('█', least(greatest(floor(n_nationkey/25.0*20),0),20)::int),20,'░') bar from nation")
+def q_bar(spark, d):
+    return table(spark, d, "nation").select("n_name", text.bar(F.col("n_nationkey") / 25).alias("bar"))
