@@ -153,10 +153,10 @@ def q_false_block_rate(spark, d):
     return st.false_block_rate(v).select("runs", r6("rate", "rate"), "passed")
 
 
-@query("with c as (select l_orderkey, l_linenumber, l_extendedprice/1e6*50 cost from lineitem), s as (select *, coalesce(sum(cost) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding),0) spent from c) select l_orderkey, l_linenumber, round(spent,6) spent, spent >= 4 refused from s")
+@query("with c as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_extendedprice/1e6*50 cost from lineitem), s as (select *, coalesce(sum(cost) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding),0) spent from c) select l_orderkey, l_linenumber, round(spent,8) spent, spent >= 4 refused from s")
 def q_running_cost_cap(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_extendedprice") / 1e6 * 50).alias("cost"))
-    return pairing.running_cost(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "cost", 4.0).select("l_orderkey", "l_linenumber", r6("spent", "spent"), "refused")
+    return pairing.running_cost(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "cost", 4.0).select("l_orderkey", "l_linenumber", F.round("spent", 8).alias("spent"), "refused")
 
 
 # --- retrieval

@@ -8,13 +8,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from verdigris.functions.text import KIND_LABELS, kind_of, sha256
 from verdigris.sources import schemas
 
-FIELDS = [f.name for f in T._parse_datatype_string(schemas.TASK).fields]
+FIELDS = [x.split()[0] for x in schemas.TASK.split(", ")]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -29,8 +28,7 @@ def read_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
     lines = raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "json")).filter(F.trim("json") != "").withColumn("line", F.col("pos") + 1)
-    kind = T._parse_datatype_string(schemas.TASK)
-    parsed = lines.withColumn("t", F.from_json("json", kind)).withColumn("keys", F.array_sort(F.json_object_keys("json")))
+    parsed = lines.withColumn("t", F.from_json("json", schemas.TASK)).withColumn("keys", F.array_sort(F.json_object_keys("json")))
     flat = parsed.select("file", "line", "keys", "json", *(F.col(f"t.{f}").alias(f) for f in FIELDS))
     once = F.row_number().over(W.partitionBy("file", "id").orderBy("line")) > 1
     fields = F.array(*map(F.lit, sorted(FIELDS)))

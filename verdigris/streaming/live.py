@@ -19,9 +19,9 @@ def once(rows: DataFrame, late: str = "1 hour") -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "task_id", "repeat"])
 
 
-def success_rate(rows: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Success by variant and tumbling window; rows without a verdict do not count."""
-    w = rows.withWatermark("ts", late).groupBy(F.window("ts", width), "variant")
+def success_rate(rows: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Success by variant and tumbling window; rows without a verdict do not count. `late` sets the watermark of rows that have none yet."""
+    w = (rows.withWatermark("ts", late) if late else rows).groupBy(F.window("ts", width), "variant")
     return w.agg(F.avg(F.col("success").cast("double")).alias("rate"), F.count("success").alias("n")).select(F.col("window.start").alias("start"), "variant", "rate", "n")
 
 
