@@ -26,7 +26,7 @@ K = MINIMA * BANDS
 LEAST_ESTIMATE = PERCENT / 100 - 6 * (PERCENT / 100 * (1 - PERCENT / 100) / K) ** 0.5
 PIVOTS = 3
 #: Residual buckets of more members than this are compared by rare shingles.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 8
 _random = np.random.default_rng(20240501)
 MULTIPLY = _random.integers(0, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _random.integers(0, 1 << 63, K, dtype=np.uint64)
@@ -135,7 +135,7 @@ def confirmed(pairs: DataFrame) -> DataFrame:
 
 
 def rare_shingles(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, token): each text's rarest shingles among `texts`, as many as two similar sets cannot both be without."""
+    """(node, token, place, size): each text's rarest shingles among `texts`, from the rarest on (place from 1), as many as two similar sets cannot both be without."""
 
     def run(batches):
         for b in batches:
@@ -151,7 +151,13 @@ def rare_shingles(texts: DataFrame, scratch: Scratch) -> DataFrame:
     ranked = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("list"))
     size = F.size("list")
     need = size - F.ceil(size * F.lit(PERCENT / 100) - 1e-9) + 1
-    return ranked.select("node", F.explode(F.slice("list", F.lit(1), need.cast("int"))).alias("x")).filter("x.often > 1").select("node", "x.token")
+    first = ranked.select("node", size.alias("size"), F.posexplode(F.slice("list", F.lit(1), need.cast("int"))).alias("place", "x"))
+    return first.filter("x.often > 1").select("node", "x.token", F.col("place") + 1, "size").toDF("node", "token", "place", "size")
+
+
+#: Two sets whose first common shingle, in order of rarity, stands at these places can still be similar enough. It is the first common one that
+#: must fulfil this, so no similar pair is lost.
+WITHIN_REACH = f"{100 + PERCENT} * (least(size_a - place_a, size_b - place_b) + 1) >= {PERCENT} * (size_a + size_b) and 100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -226,16 +232,16 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         whole = components(links, scratch)
         rest = unsettled(tried.select("bucket", "node"), whole)
     if not rest.isEmpty():
-        sides = lambda t, by: [t.select(by, *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component"))) for s in ("a", "b")]
+        sides = lambda t, by: [t.select(by, *(F.col(c).alias(f"{c}_{s}") for c in t.columns if c != by)) for s in ("a", "b")]
         apart = "component_a <> component_b and node_a < node_b"
-        x, y = sides(rest.filter(F.col("n") <= SMALL_BUCKET), "bucket")
+        x, y = sides(rest.filter(F.col("n") <= SMALL_BUCKET).drop("n"), "bucket")
         more = x.join(y, "bucket").filter(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         large = scratch.table(rest.filter(F.col("n") > SMALL_BUCKET).select("node", "component").distinct())
         if not large.isEmpty():
             rare = rare_shingles(texts.join(large, "node", "left_semi").dropDuplicates(["node"]), scratch).join(large, "node")
             of = rare.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
             x, y = sides(scratch.table(rare.join(of, "token")), "token")
-            more = more.union(x.join(y, "token").filter(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+            more = more.union(x.join(y, "token").filter(f"{apart} and {WITHIN_REACH}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         links = scratch.table(whole.select(F.col("component").alias("a"), F.col("node").alias("b")).union(verify(more.distinct())))
         whole = components(links, scratch)
     of = scratch.table(classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
