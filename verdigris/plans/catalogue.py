@@ -542,3 +542,124 @@ def q_safe_eval(spark, d):
 @query("select n_name, rpad(repeat('█', least(greatest(floor(n_nationkey/25.0*20),0),20)::int),20,'░') bar from nation")
 def q_bar(spark, d):
     return table(spark, d, "nation").select("n_name", text.bar(F.col("n_nationkey") / 25).alias("bar"))
+
+
+# --- projections, predicates and the rest of the inventory
+
+
+@query("select 'PRC-'||lpad((p_partkey%1000)::varchar,3,'0') id, 'pricing' kind from part")
+def q_kind_of(spark, d):
+    ident = F.concat(F.lit("PRC-"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"))
+    return table(spark, d, "part").select(ident.alias("id"), text.kind_of(ident).alias("kind"))
+
+
+@query("select n_name, lower(string_split(n_name,' ')[1]) family from nation")
+def q_model_family(spark, d):
+    model = F.concat(F.lit("vendor/"), F.regexp_replace("n_name", " ", "-"), F.lit("-4-5"))
+    return table(spark, d, "nation").select("n_name", text.model_family(model).alias("family"))
+
+
+@query("select p_partkey, '# '||p_name||chr(10)||chr(10)||'Holds '||p_size||' units.' body from part")
+def q_render_document(spark, d):
+    from verdigris.sources.files import render_documents
+
+    p = table(spark, d, "part")
+    fact = F.struct(F.lit(0).alias("ord"), F.lit("size").alias("key"), F.col("p_size").cast("string").alias("value"), F.lit("Holds {value} units.").alias("text"))
+    docs = p.select("p_partkey", F.concat(F.lit("PRD-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"), F.lit("2024-01-01").alias("effective_date"), F.lit(None).cast("string").alias("supersedes"), F.array(fact).alias("facts"), F.array().cast("array<string>").alias("refs"))
+    lines = F.filter(F.split("text", "\n"), lambda x: (x != "") & (F.startswith(x, F.lit("# ")) | F.startswith(x, F.lit("Holds "))))
+    return render_documents(docs, "Acme").select("p_partkey", F.array_join(lines, "\n\n").alias("body"))
+
+
+@query("select format('dev-{:04d}', row_number() over (order by p_partkey)) id, p_partkey from part where p_size > 25")
+def q_sequential_ids(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = table(spark, d, "part").filter("p_size > 25")
+    return rows.select(F.format_string("%s-%04d", F.lit("dev"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p_partkey"))).alias("id"), "p_partkey")
+
+
+@query("select l_orderkey, array_to_string(list_concat(['lookup'], list_sort(list(distinct l_shipmode))),',') tags from (select l_orderkey, case l_linenumber%3 when 0 then 'hr' when 1 then 'org' else 'product' end l_shipmode from lineitem) group by l_orderkey")
+def q_tags_of_gold(spark, d):
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "hr").when(F.col("l_linenumber") % 3 == 1, "org").otherwise("product")
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(kind)).alias("k"))
+    return g.select("l_orderkey", F.array_join(F.concat(F.array(F.lit("lookup")), "k"), ",").alias("tags"))
+
+
+@query("select doc_id, len(list_filter(list_transform(string_split(text,chr(10)), lambda x: trim(x)), lambda x: x <> '' and not starts_with(x,'The') and not starts_with(x,'Licensed')))::bigint n from documents")
+def q_fact_sentences(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(text.fact_sentences(F.col("text"), ["The", "Licensed"])).cast("long").alias("n"))
+
+
+@query(r"with p as (select doc_id, text answer, substr(text,1,(length(text)*(doc_id%7)//10)::int) compressed from documents), f as (select *, list_sort(regexp_extract_all(answer,'[A-Z]{2,3}-[0-9]{3}|[0-9][0-9,]*(?:\.[0-9]+)?')) a, list_sort(regexp_extract_all(compressed,'[A-Z]{2,3}-[0-9]{3}|[0-9][0-9,]*(?:\.[0-9]+)?')) b from p) select doc_id from f where length(compressed) <= 0.7*length(answer) and list_transform(a, lambda x: replace(x,',','')) = list_transform(b, lambda x: replace(x,',',''))")
+def q_kept_compressions(spark, d):
+    part = F.expr("(length(text) * (doc_id % 7)) div 10").cast("int")
+    pairs = table(spark, d, "documents").select("doc_id", F.col("text").alias("answer"), F.substr("text", F.lit(1), part).alias("compressed"))
+    return judging.kept_compressions(pairs).select("doc_id")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where quality=1)")
+def q_to_label(spark, d):
+    done = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("example_id"))
+    return judging.to_label(table(spark, d, "documents").select(F.col("doc_id").alias("example_id")), done).select(F.col("example_id").alias("doc_id"))
+
+
+@query("with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^\\p{L}\\p{N}_\\s\\p{Z}]','','g'),'[\\s\\p{Z}]+',' ','g')) n from documents where n_chars < 3000) select doc_id, case when length(n)<5 then 1 else len(list_distinct(list_transform(generate_series(1,length(n)-4), lambda i: substr(n,i::int,5)))) end::bigint shingles from n")
+def q_shingles(spark, d):
+    return table(spark, d, "documents").filter("n_chars < 3000").select("doc_id", F.size(text.shingles(text.normalize(F.col("text")))).cast("long").alias("shingles"))
+
+
+@query("with s as (select user_id, event_id, row_number() over (partition by user_id order by md5('3-'||event_id), event_id) rn from events) select user_id, event_id from s where rn <= 3")
+def q_shuffled_choice(spark, d):
+    return sampling.first_per(table(spark, d, "events"), "user_id", [sampling.hash_order(3, "event_id"), F.col("event_id")], 3).select("user_id", "event_id")
+
+
+@query("select o_custkey, bool_or(o_orderpriority like '1-%' or o_orderstatus = 'P') gated from orders group by o_custkey")
+def q_any_gated(spark, d):
+    hit = F.startswith("o_orderpriority", F.lit("1-")) | (F.col("o_orderstatus") == "P")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.bool_or(hit).alias("gated"))
+
+
+@query("select lang, source, count(*) n from documents group by rollup(lang, source)")
+def q_mix_rollup(spark, d):
+    return table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""with l as (select doc_id, cast(row_number() over (order by doc_id) as bigint)-1 k, count(*) over () n, ln(n_chars) x, quality::double y, toxic g from documents join labels using(doc_id)),
+ r as (select b.b, ('0x'||substr(md5('{SEED}-'||b.b||'-'||l.k),1,8))::BIGINT % n k from l cross join (select unnest(range(100)) b) b),
+ s as (select b, g, covar_pop(x,y)*count(*) xy, var_pop(x)*count(*) xx, var_pop(y)*count(*) yy from r join l using(k) group by b, g),
+ t as (select b, case when sum(xx)>1e-18 and sum(yy)>1e-18 then sum(xy)/sqrt(sum(xx)*sum(yy)) else 0 end r from s group by b)
+ select round(quantile_cont(r,0.025),6) lo, round(quantile_cont(r,0.975),6) hi from t"""
+)
+def q_partial_corr_ci(spark, d):
+    return st.partial_correlation_ci(lengths(spark, d), "x", "y", "t", "doc_id", 100, SEED).select(r6("lo", "lo"), r6("hi", "hi"))
+
+
+@query("with a as (select l_returnflag, l_linestatus, l_quantity x, l_extendedprice y from lineitem) select l_returnflag, l_linestatus, round(regr_slope(y,x),4) slope from a group by all")
+def q_ols_slope(spark, d):
+    rows = table(spark, d, "lineitem")
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"))
+
+
+@query("select user_id, event_type, count(*) n, round(avg(value),6) avg_value from events where event_type in ('click','view','error') group by all having count(*) >= 2")
+def q_counts_by_type(spark, d):
+    rows = table(spark, d, "events").filter(F.col("event_type").isin("click", "view", "error"))
+    return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), r6(F.avg("value"), "avg_value")).filter("n >= 2")
+
+
+@query(BM25 + " select query_id, string_agg(doc_id||' | t'||doc_id||' | s', chr(10) order by rank) \"text\" from k where rank<=5 group by query_id")
+def q_hit_lines(spark, d):
+    hits = bm25(spark, d)[0].withColumn("title", F.concat(F.lit("t"), F.col("doc_id").cast("string"))).withColumn("snippet", F.lit("s"))
+    return retrieval.hit_lines(hits)
+
+
+@query()
+def q_bootstrap_numpy(spark, d):
+    rows = pairing.tag_deltas(pairing.paired(*runs(spark, d)), tags_of(spark, d))
+    return st.bootstrap_by_group(rows, "tag", "d", "task_id", 2000, SEED)
+
+
+@query("select doc_id, round(avg(x),6) margin from (select doc_id, unnest([quality, toxic]) x from labels) group by doc_id")
+def q_variants_cross_product(spark, d):
+    rows = table(spark, d, "labels").select("doc_id", F.explode(F.array("quality", "toxic")).alias("x"))
+    return rows.groupBy("doc_id").agg(r6(F.avg("x"), "margin"))
