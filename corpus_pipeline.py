@@ -45,4 +45,5 @@ def run(spark, sf_dir):
     scratch, docs = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir))
+        scratch.keep(docs)  # what an earlier stage left has been read
     return STAGES[-1][1](spark, docs, sf_dir)
