@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: The vocabulary is broadcast; a larger file is refused.
 MAX_VOCAB_BYTES = 64 << 20
-#: Pieces longer than this are never kept in the piece cache, which is emptied at this many entries.
-MAX_CACHED_PIECE, MAX_CACHED = 64, 300_000
+#: Pieces longer than this are never kept in the piece cache; it and the table of judged pairs are emptied at so many entries.
+MAX_CACHED_PIECE, MAX_CACHED, MAX_PAIRS = 64, 200_000, 300_000
 NONE = 1 << 62
 
 
@@ -73,7 +73,7 @@ class PrefixBPE:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether `right` can stand after `left`: no merge across the border comes before those that make the two."""
-        if len(self._pairs) > 2_000_000:
+        if len(self._pairs) > MAX_PAIRS:
             self._pairs.clear()
         get, known = self.ranks.get, self.whole(left) and self.whole(right)
         a, b, i, j = self.spine(left, 1), self.spine(right, 0), 0, 0

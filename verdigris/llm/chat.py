@@ -194,7 +194,8 @@ def label_lines(lines: DataFrame, hmm: Hmm) -> DataFrame:
 
     full = rows.withColumn("h", F.xxhash64("text")).withColumn("symbol", symbol(F.col("text")))
     full = full.join(ends, full["conv_id"].eqNullSafe(F.col("c")) & (F.col("block") == F.col("k"))).select("conv_id", "block", "turn", "line", "h", "s", "e", "symbol", "text")
-    told = scratch.table(grouped(full, ["conv_id", "block"], ["turn", "line", "h"], trace, "conv_id long, block long, turn long, line long, text string, role int, begins boolean"))
+    told = table = scratch.table(grouped(full, ["conv_id", "block"], ["turn", "line", "h"], trace, "conv_id long, block long, turn long, line long, text string, role int, begins boolean"))
+    scratch.keep(table)
     # where the turn of each line starts: in its block, or carried over from an earlier block
     told = told.withColumn("at", F.struct("turn", "line"))
     upto = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -41,21 +41,32 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.made = 0
 
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
+        self.made += 1
+        path = f"{self.root}/{self.made}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[len(self.paths)] = path
+        self.paths[self.made] = path
         out._scratch = path
         return out
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        wanted = {t._scratch for t in tables}
+        self._delete([p for p in self.paths.values() if p not in wanted])
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete([t._scratch for t in tables])
+
+    def _delete(self, paths: list[str]) -> None:
+        context = self.spark.sparkContext
+        for p in paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = {k: p for k, p in self.paths.items() if p not in paths}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -245,6 +245,7 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         links = scratch.table(whole.select(F.col("component").alias("a"), F.col("node").alias("b")).union(verify(more.distinct())))
         whole = components(links, scratch)
     of = scratch.table(classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
+    scratch.keep(prints, of)
     # the same key may stand in several classes; links by node already join those
     out = prints.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))

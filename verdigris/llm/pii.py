@@ -203,6 +203,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
             break
         joined = flat.join(best, F.col("inst") == F.col("i"), "left")
         flat = scratch.table(joined.withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("as", F.lit(-1))).otherwise(F.col("kind"))).drop("i", "as"))
+    scratch.keep(read, flat)
     new = flat.filter("not seed and kind >= 0").groupBy(F.col("own").alias("o")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     out = read.join(new, F.col("own") == F.col("o"), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
@@ -228,7 +229,7 @@ def mask_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     at, spans_at = columns.index(text), len(columns)
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
             made = []
             for t, spans in zip(b.column(at).to_pylist(), b.column(spans_at).to_pylist()):
                 if t and spans:
