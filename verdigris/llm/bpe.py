@@ -14,14 +14,15 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The vocabulary is broadcast; a larger file is refused.
 MAX_VOCAB_BYTES = 64 << 20
-#: Pieces longer than this are never kept in the piece cache; it and the table of judged pairs are emptied at so many entries.
-MAX_CACHED_PIECE, MAX_CACHED, MAX_PAIRS = 64, 200_000, 300_000
+#: Pieces longer than this are never kept in the piece cache; it and the tables of judged pairs and of shared prefixes are emptied at so many entries.
+MAX_CACHED_PIECE, MAX_CACHED, MAX_PAIRS, MAX_PREFIXES = 64, 100_000, 300_000, 200_000
 NONE = 1 << 62
 
 
@@ -37,6 +38,7 @@ class PrefixBPE:
         self.longest = max(map(len, self.ranks), default=1)
         # every ending of a token; its rank if it is itself one, else -1
         self.tails = dict.fromkeys((t[i:] for t in self.ranks for i in range(len(t))), -1) | self.ranks
+        self.prefixes: dict[bytes, int] = {}
         self._whole: dict[int, bool] = {}
         self._pairs: dict[int, bool] = {}
         self._spines: tuple[dict, dict] = ({}, {})
@@ -128,11 +130,38 @@ class PrefixBPE:
         """Ids of one match of the split pattern; a piece that is itself a token is that token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        last = [-1] * (len(piece) + 1)
-        if len(piece) > 200:  # else the entries that are asked for are enough
+        if len(piece) > MAX_CACHED_PIECE:
+            last = [-1] * (len(piece) + 1)
             self.fill(piece, last, 0, len(piece))
-        self.ending(piece, len(piece), last)
-        return self.follow(last, len(piece))
+            return self.follow(last, len(piece))
+        if len(self.prefixes) > MAX_PREFIXES:
+            self.prefixes.clear()
+        out = []
+        while piece:
+            out.append(token := self.shared_ending(piece))
+            piece = piece[: -len(self.tokens[token])]
+        return out[::-1]
+
+    def shared_ending(self, prefix: bytes) -> int:
+        """The last token of a prefix, from a table that all short pieces share: words with a common beginning have its entries in common."""
+        if (token := self.prefixes.get(prefix)) is not None:
+            return token
+        tail, pair, fits, begin = self.tails.get, self._pairs.get, [], len(prefix) - 1
+        while begin >= 0 and (token := tail(prefix[begin:])) is not None:
+            if token >= 0:
+                fits.append((begin, token))
+            begin -= 1
+        for begin, token in reversed(fits):
+            if not begin:
+                known = self.whole(token)
+            else:
+                before = self.shared_ending(prefix[:begin])
+                if (known := pair(before << 32 | token)) is None:
+                    known = self.follows(before, token)
+            if known:
+                self.prefixes[prefix] = token
+                return token
+        raise ValueError("the vocabulary lacks a single byte of the text")
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -172,15 +201,17 @@ class PrefixTable:
 
 
 class PieceCache(dict):
-    """piece -> its ids as int32 bytes."""
+    """piece -> its ids as int32 bytes. Pieces move to `older` when it is full, and back when they are asked for, so frequent ones stay."""
 
     def __init__(self, bpe: PrefixBPE):
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.bpe.encode_piece(piece.encode())).tobytes()
+        if (ids := self.older.get(piece)) is None:
+            ids = array("i", self.bpe.encode_piece(piece.encode())).tobytes()
         if len(piece) <= MAX_CACHED_PIECE:
             if len(self) >= MAX_CACHED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -244,25 +275,32 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", out: st
     schema = docs.withColumn(out, F.lit(None).cast("binary")).schema
 
     def run(batches):
-        tokens = None
+        data, start, size = token_bytes(sent.value)
         for b in batches:
-            if tokens is None:
-                tokens = PrefixBPETokens(sent.value)
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 100):
+                part = b.slice(lo, 100)
                 column = part.column(at)
-                flat, off = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([0 if n is None else n for n in column.value_lengths().to_pylist()])])
-                valid = column.is_valid().to_pylist()
-                made = [b"".join(map(tokens, flat[off[i] : off[i + 1]].tolist())) if valid[i] else None for i in range(len(valid))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=schema.names)
+                ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                lens = size[ids]
+                ends = np.zeros(len(ids) + 1, np.int64)
+                np.cumsum(lens, out=ends[1:])
+                text = data[np.repeat(start[ids] - ends[:-1], lens) + np.arange(ends[-1])]
+                rows = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                made = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends[rows]), pa.py_buffer(text)])
+                if column.null_count:
+                    made = pa.compute.if_else(column.is_valid(), made, pa.scalar(None, pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, made.cast(pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
-def PrefixBPETokens(rank_file: bytes):
-    """rank -> bytes, without the encoder's other tables."""
-    lines = [x.split() for x in rank_file.splitlines() if x.strip()]
-    return {int(b): base64.b64decode(a) for a, b in lines}.__getitem__
+def token_bytes(rank_file: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens end to end, and where each rank's begin and how many they are."""
+    found = {int(b): base64.b64decode(a) for a, b in (x.split() for x in rank_file.splitlines() if x.strip())}
+    size = np.zeros(max(found, default=-1) + 1, np.int64)
+    for rank, token in found.items():
+        size[rank] = len(token)
+    return np.frombuffer(b"".join(found.get(i, b"") for i in range(len(size))), np.uint8), np.cumsum(size) - size, size
 
 
 def digest_columns(encoded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

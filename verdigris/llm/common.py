@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.sources.scratch import Scratch, shared_dir  # noqa: F401
+
 # Executors need no installed copy of this subpackage: its functions travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules["verdigris.llm"])
 
@@ -26,49 +25,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, else (unset, as in tests) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_own_checkpoint_dir", None) or tempfile.mkdtemp(prefix="verdigris-")
-        spark._own_checkpoint_dir = found
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder so that lineage is cut and a lost executor costs nothing but a reread."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        self.made = 0
-
-    def table(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[self.made] = path
-        out._scratch = path
-        return out
-
-    def keep(self, *tables: DataFrame) -> None:
-        """Delete all tables but these."""
-        wanted = {t._scratch for t in tables}
-        self._delete([p for p in self.paths.values() if p not in wanted])
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        self._delete([t._scratch for t in tables])
-
-    def _delete(self, paths: list[str]) -> None:
-        context = self.spark.sparkContext
-        for p in paths:
-            path = context._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-        self.paths = {k: p for k, p in self.paths.items() if p not in paths}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
