@@ -70,3 +70,30 @@ def test_files_and_pages(spark, tmp_path):
     got = spark.read.format("pages_of_numbers").option("size", "10").option("pages", "2").load()
     assert sorted(r["n"] for r in got.collect()) == list(range(25))
     assert files.file_hash(spark, [str(tmp_path / "m.json")]).startswith("sha256:")
+
+
+def test_calls_batches_and_stable_files(spark, tmp_path):
+    from verdigris.operators import judging
+    from verdigris.operators import statistics as st
+
+    tasks = spark.createDataFrame([("a", "good"), ("b", "bad")], "id string, input string")
+
+    def agent(asked):
+        if asked == "bad":
+            raise TimeoutError("late")
+        return {"completion": "FINAL: x", "usage": {"m": (3, 4)}, "total_time": 0.5}
+
+    got = judging.generate(tasks, 2, agent)
+    rows = {(r["sample_id"], r["epoch"]): r for r in got.collect()}
+    assert len(rows) == 4 and rows["a", 2]["usage"]["m"]["out"] == 4 and rows["b", 1]["error"] == "TimeoutError: late"
+    root = str(tmp_path / "job")
+    assert files.finished_batches(spark, root) is None
+    for _ in range(2):
+        files.write_batch(tasks, root, "1")
+    files.write_batch(tasks.limit(1), root, "2")
+    assert files.finished_batches(spark, root).groupBy("batch").count().count() == 2 and files.finished_batches(spark, root).count() == 3
+    path = tmp_path / "t.jsonl"
+    assert files.write_ordered_lines(tasks.withColumn("n", F.lit(None).cast("string")).repartition(3), str(path), "id") == 2
+    assert path.read_bytes() == b'{"id":"a","input":"good","n":null}\n{"id":"b","input":"bad","n":null}\n'
+    v = spark.range(1).select(st.analytic_verdict(F.lit(-0.1), F.lit(0.28), F.lit(149)).alias("a"), st.analytic_verdict(F.lit(-0.03), F.lit(0.45), F.lit(300)).alias("b")).first()
+    assert (v["a"], v["b"]) == ("block", "warn") and files.new_run_id("r").startswith("r20")

@@ -261,3 +261,8 @@ def false_block_rate(verdicts: DataFrame, most: float = 0.05) -> DataFrame:
     """Share of blocks among runs of equal sides, and whether it is small enough."""
     rate = F.avg((F.col("verdict") == "block").cast("double"))
     return verdicts.agg(F.count("*").alias("runs"), rate.alias("rate"), F.coalesce(rate <= most, F.lit(False)).alias("passed"))
+
+
+def analytic_verdict(delta: Column, sd: Column, n: Column, eps_points: float = 2.0) -> Column:
+    """The gate rule with the normal upper bound in place of the bootstrap's."""
+    return gate(delta, delta + F.lit(Z975) * sd / F.sqrt(n), eps_points)

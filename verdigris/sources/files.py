@@ -163,3 +163,39 @@ class ResultCache:
 
     def put(self, key: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/key={key}")
+
+
+def write_ordered_lines(df: DataFrame, path: str, *order: str) -> int:
+    """One JSON-lines file with the same bytes every time: rows by `order`, streamed through the driver, nulls kept. For authored tables."""
+    n = 0
+    with open(path, "w", encoding="utf-8", newline="\n") as f:
+        for row in df.orderBy(*order).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            f.write(row["j"] + "\n")
+            n += 1
+    return n
+
+
+def write_batch(rows: DataFrame, root: str, batch: str) -> None:
+    """One batch of a long job: writing it again replaces it, so a job can start over where it stopped."""
+    rows.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch={batch}")
+
+
+def finished_batches(spark: SparkSession, root: str) -> DataFrame | None:
+    """All batches that were written to the end, with `batch`; None before the first."""
+    if not path_exists(spark, root):
+        return None
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(root)
+    done = [str(s.getPath()) for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder) if path_exists(spark, f"{s.getPath()}/_SUCCESS")]
+    return spark.read.option("basePath", root).parquet(*done) if done else None
+
+
+def new_run_id(prefix: str = "") -> str:
+    from datetime import UTC, datetime
+
+    return prefix + datetime.now(UTC).strftime("%Y%m%dT%H%M%SZ")
+
+
+def observed(rows: DataFrame, name: str) -> DataFrame:
+    """rows with metrics (samples, failures, cost) reported to listeners when they are computed."""
+    return rows.observe(name, F.count("*").alias("samples"), F.count_if(F.col("status") != "ok").alias("not_ok"), F.sum("cost_usd").alias("cost_usd"))
