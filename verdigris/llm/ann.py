@@ -192,8 +192,9 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, key: str = "vec
                 take = pa.array(row, pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), part.column(0).take(take), part.column(1).take(take), pa.array([True] * len(row), pa.bool_())], names=at_block.names)
 
-    n_blocks = F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), (F.col("leaf") + 1).cast("int")) if len(blocks) <= 4096 else F.lit(1)
-    stored = placed.select("leaf", F.pmod(F.xxhash64("id", F.lit(17)), n_blocks).alias("block"), "id", "v", F.lit(False).alias("is_query"))
+    # a row a leaf, at most as many as the sample has vectors
+    cut = spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks)], "leaf long, n_blocks long")
+    stored = placed.join(F.broadcast(cut), "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit(17)), F.col("n_blocks")).alias("block"), "id", "v", F.lit(False).alias("is_query"))
     asked = placed.filter("q").select("id", "v").mapInArrow(visits, at_block)
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
