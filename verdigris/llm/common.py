@@ -42,7 +42,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def slices(off: np.ndarray, most: int = 1 << 20):
+def slices(off: np.ndarray, most: int = 1 << 18):
     """Row ranges of about `most` bytes each, one row at least."""
     lo, n = 0, len(off) - 1
     while lo < n:
@@ -68,7 +68,7 @@ class Words:
     @classmethod
     def _powers(cls, n: int):
         if len(cls.powers[0]) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 18)
             with np.errstate(over="ignore"):
                 cls.powers = tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, b, np.uint64))]) for b in (BASE, BASE_INV))
         return cls.powers

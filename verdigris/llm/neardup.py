@@ -197,7 +197,8 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     first = usable.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")))
     nodes = scratch.table(first.groupBy("node", "digest").agg(*(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))).drop("digest"))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+    # written first, so that the join deals out both sides anew and a bucket with many members can be split over tasks
+    shared = scratch.table(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1"))
     buckets = scratch.table(members.join(shared, "bucket").select("bucket", "node", "pivot"))
     wanted = buckets.select(F.col("node").alias("w")).distinct()
     texts = source.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").select(F.col("doc_id").alias("node"), "text")
@@ -217,8 +218,8 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def unsettled(rest: DataFrame, whole: DataFrame) -> DataFrame:
         """Members of buckets that still hold two components at least."""
-        rest = rest.join(whole, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        of = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y")
+        rest = scratch.table(rest.join(whole, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+        of = scratch.table(rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y"))
         return scratch.table(rest.join(of, "bucket").select("bucket", "node", "component", "n"))
 
     rest = unsettled(rest, whole)
@@ -226,6 +227,7 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if rest.isEmpty():
             break
         pivot = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")).alias("p")).select("bucket", "p.node", "p.component").toDF("bucket", "pivot", "of")
+        pivot = scratch.table(pivot)
         tried = rest.join(pivot, "bucket").filter("node <> pivot")
         more = tried.filter("component <> of").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         links = scratch.table(whole.select(F.col("component").alias("a"), F.col("node").alias("b")).union(verify(more)))
@@ -239,8 +241,9 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         large = scratch.table(rest.filter(F.col("n") > SMALL_BUCKET).select("node", "component").distinct())
         if not large.isEmpty():
             rare = rare_shingles(texts.join(large, "node", "left_semi").dropDuplicates(["node"]), scratch).join(large, "node")
+            rare = scratch.table(rare)
             of = rare.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("token")
-            x, y = sides(scratch.table(rare.join(of, "token")), "token")
+            x, y = sides(scratch.table(rare.join(scratch.table(of), "token")), "token")
             more = more.union(x.join(y, "token").filter(f"{apart} and {WITHIN_REACH}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         links = scratch.table(whole.select(F.col("component").alias("a"), F.col("node").alias("b")).union(verify(more.distinct())))
         whole = components(links, scratch)
