@@ -164,22 +164,22 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for each node of links (a, b): component is the smallest node reachable. Alternating large-star and small-star."""
 
     def written(df):
-        table = scratch.table(df.filter("u > v").distinct())
-        return table, table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return scratch.table(df.filter("u > v").distinct())
 
-    edges, state = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    while state[0]:
+    def settled(edges):
+        """Each node has one edge to a smaller one, which has none: the components are stars around their smallest nodes."""
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("center")).union(edges.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("center").alias("center")).filter("up > 1 or (up = 1 and center = 1)").isEmpty()
+
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while not settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = scratch.table(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct())
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        found, now = written(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))))
+        found = written(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))))
         scratch.drop(edges, large)
-        edges, stop = found, now == state
-        state = now
-        if stop:
-            break
+        edges = found
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
