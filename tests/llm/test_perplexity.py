@@ -57,3 +57,69 @@ def test_bands_reject_gibberish_and_keep_prose(spark):
     out = {x["doc_id"]: x for x in q.judge_documents(docs).collect()}
     assert all(out[i]["kept"] for i in range(300)) and not out[900]["kept"] and not out[901]["kept"] and out[903]["base_failed"]
     assert len(out) == len(rows) and q.judge_documents(docs.limit(0)).count() == 0
+
+
+def plain_weights(texts):
+    """high and low of every pair of words (here split at blanks), from counts without one occurrence of it."""
+    from collections import Counter
+
+    c = Counter(p for t in texts for p in zip(["", *t.split()], t.split()))
+
+    def cuts(counts):
+        of = Counter(counts)
+        y = of[1] / max(of[1] + 2 * of[2], 1)
+        d = [0.0] + [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.1), k - 0.1) if of[k] and of[k + 1] else 0.5 * k for k in (1, 2, 3)]
+        return lambda n: d[min(n, 3)]
+
+    kinds = Counter(w for _, w in c)
+    take, lower = cuts(c.values()), cuts(kinds.values())
+    out = {}
+    for pair in c:
+        less = Counter(c)
+        less[pair] -= 1
+        less = +less
+        follow = {w: n for (v, w), n in less.items() if v == pair[0]}
+        k = Counter(w for _, w in less)
+        total, types = sum(follow.values()), sum(k.values())
+        back = sum(map(take, follow.values())) / total if total else 1.0
+        seen = (follow.get(pair[1], 0) - take(follow.get(pair[1], 0))) / total if total else 0.0
+        out[pair] = (c[pair], seen + back * (k[pair[1]] - lower(k[pair[1]])) / types, back * sum(map(lower, k.values())) / types)
+    return out
+
+
+def test_pairs_of_words_are_weighed_as_by_plain_kneser_ney(spark):
+    from verdigris.llm.common import Scratch
+
+    texts = ["the cat sat on the mat with the other cat", "a dog and the cat ran to the old mat", "кот и пёс", "кот и кот"] * 2 + ["the end"]
+    scratch = Scratch(spark, "t")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = sorted((r["n"], round(r["high"], 9), round(r["low"], 9)) for r in q.weigh_pairs(scratch.table(q.count_pairs(docs)), scratch).collect())
+    assert got == sorted((n, round(h, 9), round(v, 9)) for n, h, v in plain_weights(texts).values())
+
+
+def test_words_marks_and_characters_without_spaces():
+    raw, off = utf8(pa.array(["Ab 12,x", "世界a", "", "пёс"]))
+    start, end, row, context, word, _ = q.pairs(raw, off)
+    assert [raw[a:b].tobytes().decode() for a, b in zip(start, end)] == ["Ab", "12", ",", "x", "世", "界", "a", "пёс"]
+    assert row.tolist() == [0] * 4 + [1] * 3 + [3] and [c == 0 for c in context] == [True, False, False, False, True, False, False, True]
+
+
+def test_shuffled_words_and_other_scripts_are_told_from_prose(spark, monkeypatch):
+    r = random.Random(5)
+    rows = []
+    for lang, letters in (("en", "abcdefghijklmnop"), ("ru", "абвгдежзийклмноп")):
+        words = ["".join(r.choice(letters) for _ in range(r.randrange(3, 8))) for _ in range(200)]
+        after = {w: [words[(3 * i + k) % 200] for k in range(3)] for i, w in enumerate(words)}
+        for i in range(200):
+            text = [r.choice(words)]
+            while len(text) < 200:
+                text.append(r.choice(after[text[-1]]))
+            rows.append((len(rows), " ".join(text), lang))
+        rows.append((len(rows), " ".join(r.choice(words) for _ in range(400)), lang))
+        if lang == "ru":
+            rows.append((len(rows), " ".join("".join(r.choice(letters) for _ in w) for w in r.choices(words, k=200)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    inside = {x["doc_id"]: x["in_band"] for x in q.judge_documents(docs).collect()}
+    assert [i for i, k in sorted(inside.items()) if not k] == [200, 401, 402]
+    monkeypatch.setattr(q, "MAX_BROADCAST_PAIRS", 0)  # every pair by the join
+    assert {x["doc_id"]: x["in_band"] for x in q.judge_documents(docs).collect()} == inside

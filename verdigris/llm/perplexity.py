@@ -1,11 +1,17 @@
 """Quality rules: word and line statistics, and bands of n-gram perplexity.
 
-The language model is a modified Kneser-Ney model of order 4 over a 32-symbol alphabet (white space, folded Latin letters,
-digits, classes of other characters). Spark counts the n-grams of every text, pre-aggregated in each task; since there are
-at most 32**4 of them, the model has at most 1,082,400 entries whatever the corpus. It is kept as arrays of hashes in
-ascending order with their discounted probabilities and back-off weights, found by binary search. Each language has its own
-lower and upper bound of perplexity, from the quartiles of all its documents that pass the base rules; a text beyond them
-is rejected. The bounds widen for short texts, whose perplexity varies more.
+The language model is a modified Kneser-Ney model of word pairs that backs off to words and, below them, to their spelling. A
+word is a run of letters, digits (folded to one) and bytes beyond ASCII; marks, and characters of scripts written without
+spaces, stand alone. Spark counts the pairs with map-side aggregation; pairs, contexts and words are partitioned tables that
+grow with the corpus. As a text is scored by a model that counted it, each pair is scored without one of its
+occurrences, so nothing is known for being itself. The most frequent pairs are sent to the tasks as arrays of hashes in ascending
+order, found by binary search; all others are joined. Spelling is a modified Kneser-Ney model of order 4 over a 32-symbol
+alphabet (white space, folded Latin letters, digits, classes of other characters), kept as such arrays too, and by
+the share of each code point that is not folded to a letter.
+
+Each language has its own lower and upper bound of the perplexity of spelling, and an upper bound of that of words (copies lower it, so
+it has no lower one), from the quartiles of all its documents that pass the base rules; a text beyond them is rejected. The
+bounds widen for short texts, whose perplexity varies more.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import SPACE, Words, mix, slices, utf8
+from verdigris.llm.common import LOWER, SPACE, Scratch, Words, mix, slices, utf8
 
 ORDER, BITS = 4, 5
 SYMBOLS = 1 << BITS
@@ -28,6 +34,15 @@ LOWER_WIDTH, UPPER_WIDTH, LEAST_SPREAD, SHORT = 3.5, 5.6, 0.03, 1000.0
 LEAST_DOCS = 30
 #: Bands of more languages than this are joined, not broadcast.
 MAX_BROADCAST_LANGUAGES = 10_000
+#: Most pairs of words sent to the tasks; rarer ones are joined.
+MAX_BROADCAST_PAIRS = 1 << 20
+#: 0 white space, 1 letters, digits and bytes beyond ASCII, 2 marks, each a word of its own.
+KIND = np.array([0 if SPACE[b] else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
+#: Lead bytes of characters of scripts without spaces between words (from U+3000 on), each a word of its own.
+ALONE = np.zeros(256, bool)
+ALONE[0xE3:0xF5] = True
+FOLD = LOWER.copy()
+FOLD[48:58] = 48
 SYMBOL_MARK = np.zeros(256, bool)
 SYMBOL_MARK[list(b"#*$%&|<>")] = True
 
@@ -49,6 +64,12 @@ ASCII, LATIN = _alphabet()
 
 def symbols(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One symbol a character of one or two bytes (more for longer ones), and each text's offsets in them."""
+    sym, place = placed(raw, off)
+    return sym, place[off - off[0]]
+
+
+def placed(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols, and how many of them stand before each byte."""
     data = raw[off[0] : off[-1]]
     out = ASCII[data]
     after = np.flatnonzero(data[:-1] == 0xC3) + 1
@@ -58,7 +79,36 @@ def symbols(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] &= ~(digit[1:] & digit[:-1])  # a run of digits is one symbol, so numbers weigh as one rare word
     place = np.zeros(len(data) + 1, np.int64)
     np.cumsum(keep, out=place[1:])
-    return out[keep], place[off - off[0]]
+    return out[keep], place
+
+
+def points(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and code point of every character beyond ASCII that is not folded to a letter."""
+    data = raw[off[0] : off[-1]]
+    at = np.flatnonzero(data >= 0xC0)
+    pad = np.concatenate([data, np.zeros(3, np.uint8)])
+    at = at[(data[at] != 0xC3) | (LATIN[pad[at + 1]] == 28)]
+    x, *b = (pad[at + i].astype(np.int32) for i in range(4))
+    b = [y & 63 for y in b]
+    return at, np.where(x < 0xE0, (x & 31) << 6 | b[0], np.where(x < 0xF0, (x & 15) << 12 | b[0] << 6 | b[1], (x & 7) << 18 | b[0] << 12 | b[1] << 6 | b[2]))
+
+
+def share_of_points(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """Log of the share of each code point among those of `points`; Unicode bounds what reaches the driver."""
+
+    def run(batches):
+        total = np.zeros(0x110000, np.int64)
+        for b in batches:
+            raw, off = utf8(b.column(0))
+            for lo, hi in slices(off):
+                total += np.bincount(points(raw, off[lo : hi + 1])[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["point", "n"])
+
+    rows = docs.select(text).mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(0x110000, np.float32)
+    out[rows["point"].to_numpy(np.int64)] = np.log(rows["n"].to_numpy(float) / max(rows["n"].sum(), 1))
+    return out
 
 
 def grams(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -141,6 +191,92 @@ def fit_model(docs: DataFrame, text: str = "text") -> Model:
     return Model(keys[at], values[at].astype(np.float32))
 
 
+def pairs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end, row, context (hash of the word before, 0 at a text's start), hash and pair of every word."""
+    w = Words(FOLD[raw[off[0] : off[-1]]], off - off[0], lower=False)
+    kind, n = KIND[w.data], len(w.data)
+    lead = np.maximum.accumulate(np.where((w.data & 0xC0) != 0x80, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+    alone = ALONE[w.data[lead]]
+    new = np.ones(n, bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | (alone[1:] != alone[:-1])
+    new |= ALONE[w.data]
+    new[w.off[w.off < n]] = True
+    stops = np.append(np.flatnonzero(new), n)
+    start = np.flatnonzero(new & (kind > 0))
+    end = stops[np.searchsorted(stops, start, "right")] if len(start) else start
+    word = w.span_hash(start, end)
+    row = np.searchsorted(w.off, start, "right") - 1
+    context = np.zeros(len(word), np.uint64)
+    context[1:] = np.where(row[1:] == row[:-1], word[:-1], np.uint64(0))
+    return start, end, row, context, word, (context << np.uint64(1) | context >> np.uint64(63)) ^ word
+
+
+def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """context, word (hashes), n over every text."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def counted():
+            if held:
+                context, word, pair = (np.concatenate(x) for x in zip(*held))
+                _, at, n = np.unique(pair, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (context, word)] + [pa.array(n)], names=["context", "word", "n"])
+                held.clear()
+
+        for b in batches:
+            raw, off = utf8(b.column(0))
+            for lo, hi in slices(off):
+                held.append(pairs(raw, off[lo : hi + 1])[3:])
+                if sum(len(x[0]) for x in held) > 2_000_000:
+                    yield from counted()
+        yield from counted()
+
+    return docs.select(text).mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
+
+
+def discounts(counts: DataFrame, n: str):
+    """What modified Kneser-Ney takes from a count, as a function of its column."""
+    of = [0, *counts.agg(*(F.coalesce(F.sum((F.col(n) == k).cast("long")), F.lit(0)) for k in range(1, 5))).first()]
+    y = of[1] / max(of[1] + 2 * of[2], 1)
+    cut = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.1), k - 0.1) if of[k] and of[k + 1] else 0.5 * k for k in (1, 2, 3)]
+    return lambda c: F.when(c < 1, 0.0).when(c < 2, cut[0]).when(c < 3, cut[1]).otherwise(cut[2])
+
+
+def weigh_pairs(counts: DataFrame, scratch: Scratch) -> DataFrame:
+    """pair, n, high, low: a pair's word has probability high + low x that of its spelling, without one occurrence of the pair."""
+    take = discounts(counts, "n")
+    contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum(take(F.col("n"))).alias("freed"))
+    words = scratch.table(counts.groupBy("word").agg(F.count("*").alias("kinds")))
+    lower = discounts(words, "kinds")
+    all_kinds, all_freed = words.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum(lower(F.col("kinds"))), F.lit(0.0))).first()
+    rows = counts.join(contexts, "context").join(words, "word")
+    n, left = F.col("n"), F.col("total") - 1
+    kinds = F.col("kinds") - (n == 1).cast("long")  # a pair met once is one context less of its word
+    others = F.lit(all_kinds) - (n == 1).cast("long")
+    seen = F.when(left > 0, (n - 1 - take(n - 1)) / left).otherwise(0.0)
+    back = F.when(left > 0, (F.col("freed") - take(n) + take(n - 1)) / left).otherwise(1.0)
+    share = F.when(others > 0, (kinds - lower(kinds)) / others).otherwise(0.0)
+    spelt = F.when(others > 0, (all_freed - lower(F.col("kinds")) + lower(kinds)) / others).otherwise(1.0)
+    pair = F.shiftleft("context", 1).bitwiseOR(F.shiftrightunsigned("context", 63)).bitwiseXOR(F.col("word"))  # as in `pairs`
+    return scratch.table(rows.select(pair.alias("pair"), "n", (seen + back * share).alias("high"), (back * spelt).alias("low")))
+
+
+def frequent_pairs(weights: DataFrame) -> tuple[np.ndarray, ...]:
+    """(keys ascending, high, low) of the most frequent pairs, MAX_BROADCAST_PAIRS at most."""
+    size = F.floor(F.log2("n")).cast("int")
+    least, found = 64, 0
+    for r in sorted(weights.groupBy(size.alias("k")).count().collect(), reverse=True):  # 64 rows at most
+        found += r["count"]
+        if found > MAX_BROADCAST_PAIRS:
+            break
+        least = r["k"]
+    rows = weights.filter(size >= least).select("pair", "high", "low").toPandas()
+    key = rows["pair"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(key)
+    return (key[at], rows["high"].to_numpy(float)[at], rows["low"].to_numpy(float)[at])
+
+
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_scored long, log_perplexity double"
 NAMES = [x.split()[0] for x in METRICS.split(", ")]
 
@@ -191,56 +327,95 @@ def measure(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> list[np.ndar
     return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, n, mean]
 
 
-def measured(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of `docs` and METRICS."""
-    docs = docs.drop(*NAMES)
-    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.values))
-    at, names = docs.columns.index(text), [*docs.columns, *NAMES]
+def scan(docs: DataFrame, model: Model, shares: np.ndarray, frequent: tuple[np.ndarray, ...]) -> DataFrame:
+    """For each row of (own, lang, text): own, lang, METRICS, the cost of its frequent pairs, and its rare pairs with the log of their spelling."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, shares, *frequent))
+    names = ["own", "lang", *NAMES, "cost", "rare"]
 
     def run(batches):
         table = None
         for b in batches:
-            table = Model(*sent.value).table() if table is None else table
-            raw, off = utf8(b.column(at))
+            if table is None:
+                keys, values, shares, known, high, low = sent.value
+                table = Model(keys, values).table()
+            raw, off = utf8(b.column(2))
             for lo, hi in slices(off):
-                part = b.slice(lo, hi - lo)
-                made = [pa.array(x) for x in measure(raw, off[lo : hi + 1], table)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + METRICS
-    return docs.mapInArrow(run, schema)
-
-
-def fit_bands(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, low, high (log perplexity), spread; the row whose `fallback` is true holds the bounds over all documents."""
-    scored = measured(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")), model).filter("not base_failed")
-    q = scored.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 1000).alias("q"))
+                part, mine = b.slice(lo, hi - lo), off[lo : hi + 1]
+                made = measure(raw, mine, table)
+                sym, place = placed(raw, mine)
+                logs = np.zeros(len(sym) + 1)
+                np.cumsum(table[grams(sym, place[mine - mine[0]])], out=logs[1:])
+                start, end, row, _, _, pair = pairs(raw, mine)
+                unfolded = np.zeros(len(place))
+                first, point = points(raw, mine)
+                unfolded[first + 1] = shares[point]
+                unfolded = np.cumsum(unfolded)
+                spelling = logs[place[end]] - logs[place[start]] + unfolded[end] - unfolded[start]
+                at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
+                hit = known[at] == pair if len(known) else np.zeros(len(pair), bool)
+                h, v, sp = high[at[hit]], low[at[hit]], spelling[hit]
+                with np.errstate(divide="ignore"):
+                    cost = -np.logaddexp(np.log(h), np.log(v) + sp)
+                made.append(np.bincount(row[hit], cost, hi - lo).astype(float))
+                rare = pa.StructArray.from_arrays([pa.array(pair[~hit].view(np.int64)), pa.array(spelling[~hit].astype(np.float32))], ["pair", "spelling"])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=hi - lo))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x) for x in made), pa.ListArray.from_arrays(pa.array(offsets), rare)], names=names)
+
+    return docs.select("own", "lang", "text").mapInArrow(run, f"own long, lang string, {METRICS}, cost double, rare array<struct<pair:long,spelling:float>>")
+
+
+def score_texts(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang") -> DataFrame:
+    """own (hash of text and language), lang, METRICS, log_word_perplexity (a symbol, as log_perplexity is) and copies, a row for each text and language."""
+    source = docs.select(F.xxhash64(text, lang).alias("own"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    weights = weigh_pairs(scratch.table(count_pairs(source)), scratch)
+    scratch.keep(weights)
+    read = scratch.table(scan(source, fit_model(source), share_of_points(source), frequent_pairs(weights)))
+    rare = read.select("own", F.explode("rare").alias("x")).select("own", "x.*").join(weights, "pair")
+    cost = -F.when(F.col("high") > 0, F.log(F.col("high") + F.col("low") * F.exp(F.col("spelling").cast("double")))).otherwise(F.log("low") + F.col("spelling"))
+    rare = rare.groupBy("own").agg(F.sum(cost).alias("more"))
+    texts = read.groupBy("own").agg(F.first("lang").alias("lang"), *(F.first(c).alias(c) for c in [*NAMES, "cost"]), F.count("*").alias("copies"))
+    total = F.col("cost") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))  # each copy has brought its rare pairs
+    out = texts.join(rare, "own", "left").withColumn("log_word_perplexity", total / F.greatest("n_scored", F.lit(1)))
+    return scratch.table(out.select("own", "lang", *NAMES, "log_word_perplexity", "copies"))
+
+
+def fit_bands(texts: DataFrame) -> DataFrame:
+    """lang, low, mid, high (log perplexity), word_mid, word_high (that of words) from what score_texts gives, each text as often as it occurs."""
+    scored = texts.filter("not base_failed").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
+    q = scored.groupBy("lang").agg(F.count("*").alias("n"), quartiles("log_perplexity").alias("q"), quartiles("log_word_perplexity").alias("w"))
     q = q.filter(F.col("n") >= LEAST_DOCS)
     q = q.withColumn("spread", F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST_SPREAD)))
-    return q.select("lang", (F.col("q")[1] - LOWER_WIDTH * F.col("spread")).alias("low"), F.col("q")[1].alias("mid"), (F.col("q")[1] + UPPER_WIDTH * F.col("spread")).alias("high"))
+    # of the upper half only, as copies widen the lower one
+    words = F.col("w")[1] + UPPER_WIDTH * F.greatest((F.col("w")[2] - F.col("w")[1]) / 0.6745, F.lit(LEAST_SPREAD))
+    return q.select("lang", (F.col("q")[1] - LOWER_WIDTH * F.col("spread")).alias("low"), F.col("q")[1].alias("mid"), (F.col("q")[1] + UPPER_WIDTH * F.col("spread")).alias("high"), F.col("w")[1].alias("word_mid"), words.alias("word_high"))
 
 
 def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """All columns of `docs`, METRICS, in_band boolean, kept boolean.
+    """All columns of `docs`, METRICS, log_word_perplexity double, in_band boolean, kept boolean.
 
-    kept is false if base_failed, or if the log perplexity leaves its language's band. Null and empty texts have no words and
+    kept is false if base_failed, or if a log perplexity leaves its language's band. Null and empty texts have no words and
     fail; long texts are read whole; repeated rows are judged alike (and each counts in the model); an empty table gives
     an empty result; columns named as the new ones are replaced. Languages (null is one) with fewer than LEAST_DOCS
     documents that pass the base rules use the widest bounds of the others; without any bounds the band rejects nothing.
     """
-    docs = docs.drop(*NAMES, "in_band", "kept", "_low", "_mid", "_high")
-    model = fit_model(docs, text)
-    bands = fit_bands(docs, model, text, lang)
+    docs = docs.drop(*NAMES, "log_word_perplexity", "in_band", "kept", "_low", "_mid", "_high", "_word_mid", "_word_high")
     spark = docs.sparkSession
+    scratch = Scratch(spark, "quality")
+    texts = score_texts(docs, scratch, text, lang)
+    scratch.keep(texts)
+    bands = fit_bands(texts)
     some = bands.limit(MAX_BROADCAST_LANGUAGES + 1).toPandas()
     small = len(some) <= MAX_BROADCAST_LANGUAGES
     widest = (some["low"].min(), some["high"].max()) if len(some) else (float("-inf"), float("inf"))
-    right = spark.createDataFrame([tuple(x) for x in some.itertuples(index=False)], "_lang string, _low double, _mid double, _high double") if small else bands.toDF("_lang", "_low", "_mid", "_high")
-    scored = measured(docs, model, text)
+    words = (some["word_mid"].max(), some["word_high"].max()) if len(some) else (0.0, float("inf"))
+    right = spark.createDataFrame([tuple(x) for x in some.itertuples(index=False)], "_lang string, _low double, _mid double, _high double, _word_mid double, _word_high double") if small else bands.toDF("_lang", "_low", "_mid", "_high", "_word_mid", "_word_high")
+    scored = docs.withColumn("_own", F.xxhash64(text, lang)).join(texts.select(F.col("own").alias("_of"), *NAMES, "log_word_perplexity"), F.col("_own") == F.col("_of")).drop("_own", "_of")
     scored = scored.join(F.broadcast(right) if small else right, scored[lang].eqNullSafe(right["_lang"]), "left")
     wider = F.sqrt(1 + SHORT / F.greatest(F.col("n_scored"), F.lit(1)))
     low, high = F.coalesce("_low", F.lit(float(widest[0]))), F.coalesce("_high", F.lit(float(widest[1])))
     mid = F.coalesce("_mid", (low + high) / 2)
     x = F.col("log_perplexity") - mid
-    inside = F.when(F.lit(len(some) == 0), F.lit(True)).otherwise((x >= (low - mid) * wider) & (x <= (high - mid) * wider))
-    return scored.withColumn("in_band", inside).withColumn("kept", F.expr("not base_failed and in_band")).drop("_lang", "_low", "_mid", "_high")
+    word_mid, word_high = F.coalesce("_word_mid", F.lit(float(words[0]))), F.coalesce("_word_high", F.lit(float(words[1])))
+    inside = F.when(F.lit(len(some) == 0), F.lit(True)).otherwise((x >= (low - mid) * wider) & (x <= (high - mid) * wider) & (F.col("log_word_perplexity") - word_mid <= (word_high - word_mid) * wider))
+    return scored.withColumn("in_band", inside).withColumn("kept", F.expr("not base_failed and in_band")).drop("_lang", "_low", "_mid", "_high", "_word_mid", "_word_high")
