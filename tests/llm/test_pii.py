@@ -47,3 +47,23 @@ def test_contexts_discover_identifiers_and_leave_others_alone(spark):
     masked = {r["doc_id"]: r["text"] for r in pii.mask_documents(docs).collect()}
     assert masked[100] == "other words then member number: [CARD] and more" and masked[103] is None and masked[101] == rows[16][1]
     assert pii.find_personal_data(docs.limit(0)).count() == 0 and pii.mask_documents(docs).count() == len(rows) + 1
+
+
+def test_candidates_are_all_cores_and_digits_over_several_words(spark):
+    phones = ["+1 (555) 555-0100", "+44 20 7946 0958", "+49 30 901820 11", "+33 1 70 18 99 00"]
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005"]
+    rows = [(i, f"please w{i} call me at: {p} or write") for i, p in enumerate(phones * 6)]
+    rows += [(100 + i, f"w{i} acct={c} x{i}") for i, c in enumerate(cards * 6)] + [(200 + i, f'w{i} {{"card":"{c}"}} x{i}') for i, c in enumerate(cards * 6)]
+    asked = {
+        300: ("please call me at: (555) 010-0199 or write", "phone", "(555) 010-0199"),
+        301: ("please call me at: 030 555 12 34 or write", "phone", "030 555 12 34"),
+        302: ("other acct=99887766 here", "card", "99887766"),
+        303: ('other {"card":"5551234567"} here', "card", "5551234567"),
+        304: ("the acct other=99887755 here", "", ""),
+        305: ("made of 030 555 12 35 parts", "", ""),
+        306: ("é call me at: 555 1234 5x or write", "phone", "555 1234"),
+    }
+    rows += [(i, t) for i, (t, _, _) in asked.items()]
+    found = pii.report(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    out = {r["doc_id"]: r["spans"] for r in found.filter("doc_id >= 300").collect()}
+    assert out == {i: f"{kind}:{t.index(what)}:{t.index(what) + len(what)}" if kind else "" for i, (t, kind, what) in asked.items()}

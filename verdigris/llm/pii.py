@@ -1,10 +1,10 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts discover.
 
 Emails, IP addresses, card and phone numbers found by the base patterns are seed instances. The words to the left of an instance
-are lexical patterns (the last word; the last two). Spark counts, for each pattern, how often a labelled instance
+are lexical patterns (the last word; the last two); what stands before an instance in its own word, as in `acct=123`, is the last word. Spark counts, for each pattern, how often a labelled instance
 follows it and how often anything does, over the whole corpus; the share is the pattern's confidence. Patterns with enough distinct instances
-and a high confidence score the unlabelled identifier-like tokens that follow them (noisy-or over patterns); what passes
-is labelled and the next round starts from the larger set.
+and a high confidence score the unlabelled identifier-like spans that follow them (noisy-or over patterns): every run of a word's characters, and
+digits in groups over several words. What passes is labelled and the next round starts from the larger set.
 
 The patterns whose occurrences a pass counts are sent to the tasks as a bitmap of fixed size; counts of patterns that only
 share its bits are dropped by the exact join that follows.
@@ -33,6 +33,12 @@ IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(rb"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
 CORE = re.compile(rb"[A-Za-z0-9](?:[A-Za-z0-9._%+@:/-]*[A-Za-z0-9])?")
+#: Digits in groups, maybe over several words, as phones and cards are written; as long as those at most.
+GROUPS = re.compile(rb"(?<![A-Za-z0-9._%+@:/-])\(?[0-9](?:[ ().-]{0,3}+[0-9])++")
+MAX_GROUPS_DIGITS, MAX_GROUPS_BYTES = 19, 40
+IS_CORE = np.zeros(256, bool)
+IS_CORE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@:/-")] = True
+IS_LETTER = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 IS_LOCAL = np.zeros(256, bool)
 IS_LOCAL[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")] = True
 DIGITS = frozenset(b"0123456789")
@@ -87,6 +93,60 @@ def contexts(w: Words) -> tuple[np.ndarray, np.ndarray]:
         return mix(one + np.uint64(1)), mix(one * np.uint64(0x9FB21C651E98DF25) + two + np.uint64(2))
 
 
+def left_of(w: Words, one: np.ndarray, two: np.ndarray, at: np.ndarray, last: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of spans that begin at bytes `at`, and which of them have their last word inside their own.
+
+    `last` and `outside` are those of `marks`: letters and digits before `at` in its word count if a character that no core holds follows them.
+    """
+    word = np.searchsorted(w.start, at, "right") - 1
+    before = np.where(at > 0, last[np.maximum(at - 1, 0)], -1)
+    inside = before >= w.start[word]
+    inside &= outside[at] > outside[np.where(inside, before + 1, at)]
+    word_one, word_two = one[word], two[word]
+    if inside.any():
+        i = word[inside]
+        prefix = w.span_hash(w.start[i], before[inside] + 1)
+        previous = np.where((i > 0) & (w.row[i - 1] == w.row[i]), w.hash[i - 1], np.uint64(0))
+        with np.errstate(over="ignore"):
+            word_one[inside], word_two[inside] = mix(prefix + np.uint64(1)), mix(prefix * np.uint64(0x9FB21C651E98DF25) + previous + np.uint64(2))
+    return word_one, word_two, inside
+
+
+def marks(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The last letter or digit up to each byte, and how many bytes before each that no core holds."""
+    last = np.maximum.accumulate(np.where(IS_LETTER[w.data], np.arange(len(w.data)), -1)) if len(w.data) else np.zeros(0, np.int64)
+    outside = np.zeros(len(w.data) + 1, np.int64)
+    np.cumsum(~IS_CORE[w.data], out=outside[1:])
+    return last, outside
+
+
+def core_starts(w: Words) -> np.ndarray:
+    """Where the cores begin: the first letter or digit of each run that a core may hold, in one text."""
+    core, letter = IS_CORE[w.data], IS_CORE[w.data] & IS_LETTER[w.data]
+    new = np.zeros(len(core) + 1, bool)
+    new[:-1] = core
+    new[1:-1] &= ~core[:-1]
+    new[w.off] = True
+    run = np.cumsum(new[:-1])
+    at = np.flatnonzero(letter)
+    first = np.ones(len(at), bool)
+    first[1:] = run[at[1:]] != run[at[:-1]]
+    return at[first]
+
+
+def groups(text: bytes):
+    """Digits in groups over several words."""
+    for m in GROUPS.finditer(text):
+        a, z = m.span()
+        if text[z : z + 1].isalnum():
+            z = a + len(text[a : max(text.rfind(b" ", a, z), a)].rstrip(b" (.-"))
+        elif text[z : z + 1] == b")" and b"(" in text[text.rfind(b" ", a, z) + 1 : z]:
+            z += 1
+        what = text[a:z]
+        if b" " in what and z - a <= MAX_GROUPS_BYTES and LEAST_DIGITS <= sum(c in DIGITS for c in what) <= MAX_GROUPS_DIGITS:
+            yield a, z
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """For each row of (doc_id, own, text): base spans, and the instances (labelled or not) with their left contexts, offsets in code points."""
     digit = np.zeros(256, bool)
@@ -105,7 +165,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 ats = np.zeros(len(w.data) + 1, np.int64)
                 np.cumsum(w.data == 64, out=ats[1:])
                 likely = (digits[w.end] - digits[w.start] >= LEAST_DIGITS) | (ats[w.end] > ats[w.start])
-                base, n_base, found, n_found = [], [], [], []
+                last, outside = marks(w)
+                base, n_base, found, n_found, starts = [], [], [], [], []
                 for r in range(hi - lo):
                     s, e = int(w.off[r]), int(w.off[r + 1])
                     spans, mine = [], []
@@ -116,30 +177,33 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         taken = sorted((a, z) for a, _, z in spans)
                         for i in range(int(w.first[r]), int(w.first[r + 1])) if likely[w.first[r] : w.first[r + 1]].any() else ():
                             if likely[i]:
-                                core = CORE.search(text, int(w.start[i]) - s, int(w.end[i]) - s)
-                                if core and (sum(c in DIGITS for c in core[0]) >= LEAST_DIGITS or b"@" in core[0]) and not any(a < core.end() and core.start() < z for a, z in taken):
-                                    mine.append((core.start(), core.end(), -1, core[0]))
+                                for core in CORE.finditer(text, int(w.start[i]) - s, int(w.end[i]) - s):
+                                    if (sum(c in DIGITS for c in core[0]) >= LEAST_DIGITS or b"@" in core[0]) and not any(a < core.end() and core.start() < z for a, z in taken):
+                                        mine.append((core.start(), core.end(), -1, core[0]))
+                        if digits[e] - digits[s] >= LEAST_DIGITS:
+                            mine += [(a, z, -1, text[a:z]) for a, z in groups(text) if not any(x < z and a < y for x, y in taken)]
                     n_base.append(len(spans))
                     n_found.append(len(mine))
                     p0 = int(points[s])
                     base += [(int(points[s + a]) - p0, k, int(points[s + z]) - p0) for a, k, z in spans]
                     for a, z, k, what in mine:
-                        i = int(np.searchsorted(w.start, s + a, "right")) - 1
-                        found.append((int(points[s + a]) - p0, int(points[s + z]) - p0, k, what.decode("utf-8", "replace"), int(one[i].view(np.int64)), int(two[i].view(np.int64))))
+                        starts.append(s + a)
+                        found.append((int(points[s + a]) - p0, int(points[s + z]) - p0, k, what.decode("utf-8", "replace")))
+                left = left_of(w, one, two, np.array(starts, np.int64), last, outside)[:2]
                 column = lambda rows, i, t: pa.array([x[i] for x in rows], t)
                 lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(lo, hi - lo),
                     b.column(1).slice(lo, hi - lo),
                     lists(n_base, pa.StructArray.from_arrays([column(base, i, pa.int32()) for i in range(3)], ["start", "kind", "end"])),
-                    lists(n_found, pa.StructArray.from_arrays([column(found, i, t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["start", "end", "kind", "what", "one", "two"])),
+                    lists(n_found, pa.StructArray.from_arrays([*(column(found, i, t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()))), *(pa.array(x.view(np.int64)) for x in left)], ["start", "end", "kind", "what", "one", "two"])),
                 ], names=["doc_id", "own", "base", "found"])
 
     return docs.mapInArrow(run, "doc_id long, own long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,kind:int,what:string,one:long,two:long>>")
 
 
 def count_contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(pattern, n): how often each left context that the bitmap may hold occurs in (text)."""
+    """(pattern, n): how often each left context, of a word or of a core inside one, that the bitmap may hold occurs in (text)."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def run(batches):
@@ -155,7 +219,10 @@ def count_contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for b in batches:
             raw, off = utf8(b.column(0))
             for lo, hi in slices(off):
-                for pattern in contexts(Words(raw, off[lo : hi + 1])):
+                w = Words(raw, off[lo : hi + 1])
+                one, two = contexts(w)
+                more = left_of(w, one, two, core_starts(w), *marks(w))
+                for pattern in (one, two, more[0][more[2]], more[1][more[2]]):
                     at = (pattern % np.uint64(BITMAP_BITS)).astype(np.int64)
                     held.append(pattern[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
                 if sum(map(len, held)) > 2_000_000:
@@ -205,6 +272,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
         flat = scratch.table(joined.withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("as", F.lit(-1))).otherwise(F.col("kind"))).drop("i", "as"))
     scratch.keep(read, flat)
     new = flat.filter("not seed and kind >= 0").groupBy(F.col("own").alias("o")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    # a part of a longer span says nothing more
+    new = new.withColumn("more", F.expr("filter(more, x -> not exists(more, y -> y.start <= x.start and x.end <= y.end and y.end - y.start > x.end - x.start))"))
     out = read.join(new, F.col("own") == F.col("o"), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
     return out.select("doc_id", "own", "base", spans.alias("spans"))
