@@ -67,3 +67,14 @@ def test_candidates_are_all_cores_and_digits_over_several_words(spark):
     found = pii.report(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
     out = {r["doc_id"]: r["spans"] for r in found.filter("doc_id >= 300").collect()}
     assert out == {i: f"{kind}:{t.index(what)}:{t.index(what) + len(what)}" if kind else "" for i, (t, kind, what) in asked.items()}
+
+
+def test_rounds_go_on_until_nothing_new_is_labelled(spark):
+    cards = ["4111111111111111", "5500005555555559", "4012888888881881", "378282246310005"]
+    sets = [cards] + [[f"{k}{i}77-{i}{k}A" for i in range(4)] for k in range(1, 6)]
+    rows = []
+    for k in range(5):  # context k is made certain by set k and followed by set k + 1 now and then
+        rows += [f"w{i} field{'abcde'[k]} {x} v{i}" for i, x in enumerate(sets[k] * 6)] + [f"y{i} field{'abcde'[k]} {x} z{i}" for i, x in enumerate(sets[k + 1])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.report(pii.find_personal_data(docs)).collect()}
+    assert [rows[i] for i, x in sorted(out.items()) if not x.startswith("card:")] == []

@@ -4,7 +4,7 @@ Emails, IP addresses, card and phone numbers found by the base patterns are seed
 are lexical patterns (the last word; the last two); what stands before an instance in its own word, as in `acct=123`, is the last word. Spark counts, for each pattern, how often a labelled instance
 follows it and how often anything does, over the whole corpus; the share is the pattern's confidence. Patterns with enough distinct instances
 and a high confidence score the unlabelled identifier-like spans that follow them (noisy-or over patterns): every run of a word's characters, and
-digits in groups over several words. What passes is labelled and the next round starts from the larger set.
+digits in groups over several words. What passes is labelled and the next round starts from the larger set, until a round labels nothing new.
 
 The patterns whose occurrences a pass counts are sent to the tasks as a bitmap of fixed size; counts of patterns that only
 share its bits are dropped by the exact join that follows.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import Scratch, Words, mix, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of bootstrapping; least distinct instances and least confidence of a pattern; least score of an instance.
-ROUNDS, LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_SCORE = 2, 3, 0.8, 0.8
+#: Least distinct instances and least confidence of a pattern; least score of an instance.
+LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_SCORE = 3, 0.8, 0.8
 #: Digits that make a token identifier-like (an at sign does too).
 LEAST_DIGITS = 4
 BITMAP_BITS = 1 << 24
@@ -253,9 +253,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     read = scratch.table(occurrences(source))
     flat = read.select("own", F.explode("found").alias("x")).select("own", "x.*").distinct()
     flat = scratch.table(flat.withColumn("seed", F.col("kind") >= 0).withColumn("inst", F.xxhash64("what")).drop("what"))
-    for _ in range(ROUNDS):
-        if flat.filter("kind < 0").isEmpty():
-            break
+    while not flat.filter("kind < 0").isEmpty():  # labels only grow, so this ends
         edges = flat.select("inst", "kind", F.explode(F.array("one", "two")).alias("pattern")).groupBy("pattern", "kind", "inst").agg(F.count("*").alias("n"))
         edges = scratch.table(edges)
         known = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("hits"))
@@ -268,8 +266,9 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
         best = scratch.table(best.select(F.col("inst").alias("i"), "as"))
         if best.isEmpty():
             break
-        joined = flat.join(best, F.col("inst") == F.col("i"), "left")
+        before, joined = flat, flat.join(best, F.col("inst") == F.col("i"), "left")
         flat = scratch.table(joined.withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("as", F.lit(-1))).otherwise(F.col("kind"))).drop("i", "as"))
+        scratch.drop(before, edges, known, best)
     scratch.keep(read, flat)
     new = flat.filter("not seed and kind >= 0").groupBy(F.col("own").alias("o")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
     # a part of a longer span says nothing more
