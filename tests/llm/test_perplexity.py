@@ -123,3 +123,14 @@ def test_shuffled_words_and_other_scripts_are_told_from_prose(spark, monkeypatch
     assert [i for i, k in sorted(inside.items()) if not k] == [200, 401, 402]
     monkeypatch.setattr(q, "MAX_BROADCAST_PAIRS", 0)  # every pair by the join
     assert {x["doc_id"]: x["in_band"] for x in q.judge_documents(docs).collect()} == inside
+
+
+def test_rare_languages_are_judged_by_one_rule_at_all_sizes(spark):
+    r = random.Random(7)
+    words = ["".join(r.choice(["an", "er", "on", "the", "ing", "ed", "is"]) for _ in range(r.randrange(1, 4))) for _ in range(300)]
+    prose = lambda: " ".join(r.choice(words) for _ in range(80))
+    bad = " ".join("".join(r.choice("zqxjkvw") for _ in range(r.randrange(3, 9))) for _ in range(150))
+    for n in (1, 28, 29, 30):
+        rows = [(i, prose(), "xx") for i in range(n)] + [(900, bad, "xx")] + [(1000 + i, prose(), "en") for i in range(29 if n == 1 else 200)]
+        kept = {x["doc_id"]: x["kept"] for x in q.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert [i for i, k in kept.items() if not k] == [900], n

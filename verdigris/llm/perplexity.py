@@ -30,7 +30,7 @@ ORDER, BITS = 4, 5
 SYMBOLS = 1 << BITS
 #: Bounds in robust standard deviations from a language's median; the least deviation; symbols at which a text's own spread equals it.
 LOWER_WIDTH, UPPER_WIDTH, LEAST_SPREAD, SHORT = 3.5, 5.6, 0.03, 1000.0
-#: Languages with fewer documents use the bounds over all documents.
+#: Documents of a language at which its own statistics weigh as much as those of all documents.
 LEAST_DOCS = 30
 #: Bands of more languages than this are joined, not broadcast.
 MAX_BROADCAST_LANGUAGES = 10_000
@@ -380,11 +380,17 @@ def score_texts(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str
 
 
 def fit_bands(texts: DataFrame) -> DataFrame:
-    """lang, low, mid, high (log perplexity), word_mid, word_high (that of words) from what score_texts gives, each text as often as it occurs."""
+    """lang, low, mid, high (log perplexity), word_mid, word_high (that of words) from what score_texts gives, each text as often as it occurs.
+
+    The quartiles of every language are drawn towards those of all documents, the more the fewer documents it has.
+    """
     scored = texts.filter("not base_failed").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
-    q = scored.groupBy("lang").agg(F.count("*").alias("n"), quartiles("log_perplexity").alias("q"), quartiles("log_word_perplexity").alias("w"))
-    q = q.filter(F.col("n") >= LEAST_DOCS)
+    of = F.count("*").alias("n"), quartiles("log_perplexity").alias("q"), quartiles("log_word_perplexity").alias("w")
+    q = scored.groupBy("lang").agg(*of).crossJoin(F.broadcast(scored.agg(*of).toDF("all", "all_q", "all_w")))  # one row
+    own = 1 / (1 + F.pow(LEAST_DOCS / F.col("n"), F.lit(2)))
+    shrunk = lambda c: F.zip_with(c, f"all_{c}", lambda x, y: own * x + (1 - own) * y).alias(c)
+    q = q.select("lang", shrunk("q"), shrunk("w"))
     q = q.withColumn("spread", F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST_SPREAD)))
     # of the upper half only, as copies widen the lower one
     words = F.col("w")[1] + UPPER_WIDTH * F.greatest((F.col("w")[2] - F.col("w")[1]) / 0.6745, F.lit(LEAST_SPREAD))
@@ -396,8 +402,8 @@ def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang") ->
 
     kept is false if base_failed, or if a log perplexity leaves its language's band. Null and empty texts have no words and
     fail; long texts are read whole; repeated rows are judged alike (and each counts in the model); an empty table gives
-    an empty result; columns named as the new ones are replaced. Languages (null is one) with fewer than LEAST_DOCS
-    documents that pass the base rules use the widest bounds of the others; without any bounds the band rejects nothing.
+    an empty result; columns named as the new ones are replaced. Every language (null is one) has its own band,
+    drawn towards all documents by how few of its documents pass the base rules.
     """
     docs = docs.drop(*NAMES, "log_word_perplexity", "in_band", "kept", "_low", "_mid", "_high", "_word_mid", "_word_high")
     spark = docs.sparkSession
@@ -407,15 +413,12 @@ def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     bands = fit_bands(texts)
     some = bands.limit(MAX_BROADCAST_LANGUAGES + 1).toPandas()
     small = len(some) <= MAX_BROADCAST_LANGUAGES
-    widest = (some["low"].min(), some["high"].max()) if len(some) else (float("-inf"), float("inf"))
-    words = (some["word_mid"].max(), some["word_high"].max()) if len(some) else (0.0, float("inf"))
     right = spark.createDataFrame([tuple(x) for x in some.itertuples(index=False)], "_lang string, _low double, _mid double, _high double, _word_mid double, _word_high double") if small else bands.toDF("_lang", "_low", "_mid", "_high", "_word_mid", "_word_high")
     scored = docs.withColumn("_own", F.xxhash64(text, lang)).join(texts.select(F.col("own").alias("_of"), *NAMES, "log_word_perplexity"), F.col("_own") == F.col("_of")).drop("_own", "_of")
     scored = scored.join(F.broadcast(right) if small else right, scored[lang].eqNullSafe(right["_lang"]), "left")
     wider = F.sqrt(1 + SHORT / F.greatest(F.col("n_scored"), F.lit(1)))
-    low, high = F.coalesce("_low", F.lit(float(widest[0]))), F.coalesce("_high", F.lit(float(widest[1])))
-    mid = F.coalesce("_mid", (low + high) / 2)
-    x = F.col("log_perplexity") - mid
-    word_mid, word_high = F.coalesce("_word_mid", F.lit(float(words[0]))), F.coalesce("_word_high", F.lit(float(words[1])))
-    inside = F.when(F.lit(len(some) == 0), F.lit(True)).otherwise((x >= (low - mid) * wider) & (x <= (high - mid) * wider) & (F.col("log_word_perplexity") - word_mid <= (word_high - word_mid) * wider))
+    x, word = F.col("log_perplexity") - F.col("_mid"), F.col("log_word_perplexity") - F.col("_word_mid")
+    inside = (x >= (F.col("_low") - F.col("_mid")) * wider) & (x <= (F.col("_high") - F.col("_mid")) * wider) & (word <= (F.col("_word_high") - F.col("_word_mid")) * wider)
+    # only a language without any document that passes the base rules has no band
+    inside = F.coalesce(inside, F.lit(True))
     return scored.withColumn("in_band", inside).withColumn("kept", F.expr("not base_failed and in_band")).drop("_lang", "_low", "_mid", "_high", "_word_mid", "_word_high")
