@@ -34,6 +34,10 @@ class Scratch:
         out._scratch = path
         return out
 
+    def reclaim(self) -> None:
+        """Let Spark delete the shuffle files of plans that nobody holds any longer; it does so after a collection on the driver."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def keep(self, *tables: DataFrame) -> None:
         """Delete all tables but these."""
         wanted = {t._scratch for t in tables}
