@@ -20,9 +20,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z lower-cased, every other byte as it is.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Odd multiplier of the polynomial word hash, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INV = pow(BASE, -1, 1 << 64)
+#: The word hash is two polynomials modulo this prime (a power of two as modulus would let structured words collide), and their bases.
+PRIME, BASES = (1 << 31) - 1, (1_389_171_503, 870_331_691)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -63,14 +62,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a run of texts: `hash` (uint64), `row` (index of the text), `start` and `end` (bytes in the run)."""
 
-    powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+    powers: tuple[np.ndarray, ...] = ()
 
     @classmethod
-    def _powers(cls, n: int):
-        if len(cls.powers[0]) < n:
-            n = max(n, 1 << 18)
-            with np.errstate(over="ignore"):
-                cls.powers = tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n - 1, b, np.uint64))]) for b in (BASE, BASE_INV))
+    def _powers(cls, n: int) -> tuple[np.ndarray, ...]:
+        """Powers of each base and of its inverse."""
+        if not cls.powers or len(cls.powers[0]) < n:
+            made = []
+            for base in (*BASES, *(pow(b, -1, PRIME) for b in BASES)):
+                out = np.ones(1, np.uint64)
+                while len(out) < max(n, 1 << 18):
+                    out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+                made.append(out.astype(np.uint32))
+            cls.powers = tuple(made)
         return cls.powers
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool = True):
@@ -90,14 +94,16 @@ class Words:
         last = ~space & (after | edge[1:])
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.space = space
-        power, inverse = self._powers(n + 1)
-        with np.errstate(over="ignore"):
-            low = (LOWER[data] if lower else data).astype(np.uint64)
-            low += np.uint64(1)
-            low *= power[:n]
+        powers = self._powers(n + 1)
+        low = (LOWER[data] if lower else data).astype(np.uint64)
+        low += np.uint64(1)
+        self._totals, self._inverses = [], powers[2:]
+        for power in powers[:2]:
+            x = low * power[:n]
+            x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
             total = np.zeros(n + 1, np.uint64)
-            np.cumsum(low, out=total[1:])
-        self._total, self._inverse = total, inverse
+            np.cumsum(x, out=total[1:])
+            self._totals.append(total)
         self.hash = self.span_hash(self.start, self.end)
         self.row = np.searchsorted(off, self.start, "right") - 1
         # word positions at which each text's words begin
@@ -105,8 +111,12 @@ class Words:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each span, wherever it stands."""
+        p, out = np.uint64(PRIME), (end - start).astype(np.uint64)
         with np.errstate(over="ignore"):
-            return mix((self._total[end] - self._total[start]) * self._inverse[start] + (end - start).astype(np.uint64))
+            out = mix(out)
+            for total, inverse in zip(self._totals, self._inverses):
+                out = mix(out + (total[end] - total[start]) % p * inverse[start] % p)
+        return out
 
     def per_row(self, marked: np.ndarray) -> np.ndarray:
         """How many bytes of each text are marked."""
@@ -127,6 +137,19 @@ class Words:
             return mix(h[at]), at
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def list_array(values: np.ndarray, counts) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
