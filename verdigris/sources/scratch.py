@@ -23,6 +23,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        self.names: dict[str, str] = {}
         self.made = 0
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -34,6 +35,17 @@ class Scratch:
         out._scratch = path
         return out
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """A table whose rows are dealt by `key` as a shuffle would deal them, so that joins on the key leave it where it is."""
+        self.made += 1
+        path, name = f"{self.root}/{self.made}", f"verdigris_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        self.paths[self.made], self.names[path] = path, name
+        out._scratch = path
+        return out
+
     def reclaim(self) -> None:
         """Let Spark delete the shuffle files of plans that nobody holds any longer; it does so after a collection on the driver."""
         self.spark.sparkContext._jvm.System.gc()
@@ -50,6 +62,8 @@ class Scratch:
     def _delete(self, paths: list[str]) -> None:
         context = self.spark.sparkContext
         for p in paths:
+            if p in self.names:
+                self.spark.sql(f"drop table if exists {self.names.pop(p)}")
             path = context._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
         self.paths = {k: p for k, p in self.paths.items() if p not in paths}
