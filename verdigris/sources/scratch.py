@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,12 @@ class Scratch:
         return out
 
     def reclaim(self) -> None:
-        """Let Spark delete the shuffle files of plans that nobody holds any longer; it does so after a collection on the driver."""
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark delete the shuffle files of plans that nobody holds any longer: it does once the driver has collected them, which takes
+        Python's references and two collections of the JVM."""
+        gc.collect()
+        for _ in range(2):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
 
     def keep(self, *tables: DataFrame) -> None:
         """Delete all tables but these."""
