@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -104,10 +105,19 @@ class Words:
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(x, out=total[1:])
             self._totals.append(total)
-        self.hash = self.span_hash(self.start, self.end)
-        self.row = np.searchsorted(off, self.start, "right") - 1
-        # word positions at which each text's words begin
-        self.first = np.searchsorted(self.start, off)
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.span_hash(self.start, self.end)
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.searchsorted(self.off, self.start, "right") - 1
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Word positions at which each text's words begin."""
+        return np.searchsorted(self.start, self.off)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes of each span, wherever it stands."""
@@ -137,6 +147,28 @@ class Words:
             return mix(h[at]), at
 
 
+def distinct(keys: np.ndarray, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, an index of each, how often each occurs, and the place of every key among them.
+
+    Hashes are sorted range by range, about `at_once` of them at a time, which takes little more room than the results.
+    """
+    top = int(keys.max()).bit_length() if len(keys) else 0
+    parts = min(max(len(keys) // at_once, 1).bit_length() - 1, 6, top)
+    part_of = (keys >> np.uint64(top - parts)).astype(np.uint8)
+    place, found, base = np.empty(len(keys), np.int32), [], 0
+    for part in range(1 << parts):
+        mine = np.flatnonzero(part_of == part).astype(np.int32)
+        order = mine[np.argsort(keys[mine])]
+        ranked = keys[order]
+        new = np.ones(len(order), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        at = np.flatnonzero(new)
+        place[order] = np.cumsum(new, dtype=np.int32) + (base - 1)
+        found.append((ranked[at], order[at], np.diff(at, append=len(order)).astype(np.int32)))
+        base += len(at)
+    return (*(np.concatenate(x) for x in zip(*found)), place)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of df has."""
     taken = {c.lower() for c in df.columns}

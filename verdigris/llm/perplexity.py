@@ -2,12 +2,15 @@
 
 The language model is a modified Kneser-Ney model of word pairs that backs off to words and, below them, to their spelling. A
 word is a run of letters, digits (folded to one) and bytes beyond ASCII; marks, and characters of scripts written without
-spaces, stand alone. Spark counts the pairs with map-side aggregation; pairs, contexts and words are partitioned tables that
-grow with the corpus. As a text is scored by a model that counted it, each pair is scored without one of its
-occurrences, so nothing is known for being itself. The most frequent pairs are sent to the tasks as arrays of hashes in ascending
-order, found by binary search; all others are joined. Spelling is a modified Kneser-Ney model of order 4 over a 32-symbol
-alphabet (white space, folded Latin letters, digits, classes of other characters), kept as such arrays too, and by
-the share of each code point that is not folded to a letter.
+spaces, stand alone. Texts are read into chunks of word numbers. The pairs of a chunk, as hashes in ascending order, are counted in sorted arrays that
+the corpus' hashes are dealt over (see hashsums), and each chunk is told the corpus counts of its own pairs; in the same way what belongs to a
+word is added up: how often it stands before another, before how many words once, twice or more, and after how many. Nothing is
+kept for frequent pairs only, and nothing but scalars reaches the driver, so what is gathered grows with the corpus. As a text is
+scored by a model that counted it, each pair is scored without one of its occurrences, so nothing is known for being itself.
+
+Pair hashes have PAIR_BITS bits more than their number needs, so one in 2**PAIR_BITS pairs at most is counted with another one's. Spelling
+is a modified Kneser-Ney model of order 4 over a 32-symbol alphabet (white space, folded Latin letters, digits, classes of
+other characters), and the share of each code point that is not folded to a letter.
 
 Each language has its own lower and upper bound of the perplexity of spelling, and an upper bound of that of words (copies lower it, so
 it has no lower one), from the quartiles of all its documents that pass the base rules; a text beyond them is rejected. The
@@ -21,10 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from verdigris.llm.common import LOWER, SPACE, Scratch, Words, mix, slices, utf8
+from verdigris.llm.common import LOWER, SPACE, Scratch, Words, distinct, free_names, mix, slices, utf8
+from verdigris.llm.hashsums import REQUEST, add_up, bucket_bits, by_chunk, histogram, joined, packed, packed_sorted, request_batch, requests, unpacked, unpacked_sorted
 
 ORDER, BITS = 4, 5
 SYMBOLS = 1 << BITS
@@ -34,8 +40,12 @@ LOWER_WIDTH, UPPER_WIDTH, LEAST_SPREAD, SHORT = 3.5, 5.6, 0.03, 1000.0
 LEAST_DOCS = 30
 #: Bands of more languages than this are joined, not broadcast.
 MAX_BROADCAST_LANGUAGES = 10_000
-#: Most pairs of words sent to the tasks; rarer ones are joined.
-MAX_BROADCAST_PAIRS = 1 << 20
+#: Words of a chunk at least, unless its task has fewer; bits of a word's hash; bits of a pair's hash beyond those that number the pairs.
+CHUNK_WORDS, WORD_BITS, PAIR_BITS = 1 << 21, 48, 7
+#: Symbols of text in a bucket of chunks, on average: a few chunks, as a task gets all of its bucket at once.
+BUCKET_SYMBOLS = 1 << 24
+#: Bins of a log perplexity, for exact quartiles from counts.
+BINS = 1000
 #: 0 white space, 1 letters, digits and bytes beyond ASCII, 2 marks, each a word of its own.
 KIND = np.array([0 if SPACE[b] else 1 if b > 127 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
 #: Lead bytes of characters of scripts without spaces between words (from U+3000 on), each a word of its own.
@@ -93,24 +103,6 @@ def points(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.where(x < 0xE0, (x & 31) << 6 | b[0], np.where(x < 0xF0, (x & 15) << 12 | b[0] << 6 | b[1], (x & 7) << 18 | b[0] << 12 | b[1] << 6 | b[2]))
 
 
-def share_of_points(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log of the share of each code point among those of `points`; Unicode bounds what reaches the driver."""
-
-    def run(batches):
-        total = np.zeros(0x110000, np.int64)
-        for b in batches:
-            raw, off = utf8(b.column(0))
-            for lo, hi in slices(off):
-                total += np.bincount(points(raw, off[lo : hi + 1])[1], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["point", "n"])
-
-    rows = docs.select(text).mapInArrow(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(0x110000, np.float32)
-    out[rows["point"].to_numpy(np.int64)] = np.log(rows["n"].to_numpy(float) / max(rows["n"].sum(), 1))
-    return out
-
-
 def grams(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Packed 4-grams that end at each symbol; before a text stands white space."""
     key = sym.astype(np.int32)
@@ -125,19 +117,26 @@ def grams(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
-def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """gram int, n long over every text."""
+def count_spelling(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """How often each 4-gram of symbols and each code point of `points` occurs; the alphabet and Unicode bound what reaches the driver."""
+    size = SYMBOLS**ORDER
 
     def run(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
+        total = np.zeros(size + 0x110000, np.int64)
         for b in batches:
             raw, off = utf8(b.column(0))
             for lo, hi in slices(off):
-                total += np.bincount(grams(*symbols(raw, off[lo : hi + 1])), minlength=len(total))
+                mine = off[lo : hi + 1]
+                total[:size] += np.bincount(grams(*symbols(raw, mine)), minlength=size)
+                at, n = np.unique(points(raw, mine)[1], return_counts=True)
+                total[size + at] += n
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["what", "n"])
 
-    return docs.select(text).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(text).mapInArrow(run, "what int, n long").groupBy("what").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size + 0x110000, np.int64)
+    out[rows["what"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return out[:size], out[size:]
 
 
 @dataclass
@@ -167,17 +166,19 @@ class Model:
         return np.log(np.maximum(p, 1e-12)).astype(np.float32)
 
 
-def fit_model(docs: DataFrame, text: str = "text") -> Model:
-    """Modified Kneser-Ney from Spark's counts; only the bounded tables of distinct n-grams reach the driver."""
-    level = count_grams(docs, text)
-    rows = level.toPandas()  # 32**4 rows at most
-    gram, n = rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def cuts(of: list[int] | np.ndarray) -> np.ndarray:
+    """What modified Kneser-Ney takes from the counts 0, 1, 2, and 3 or more; of[k]: how many n-grams have count k."""
+    y = of[1] / max(of[1] + 2 * of[2], 1)
+    return np.array([0.0] + [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.1), k - 0.1) if of[k] and of[k + 1] else 0.5 * k for k in (1, 2, 3)])
+
+
+def fit_model(counts: np.ndarray) -> Model:
+    """Modified Kneser-Ney of spelling, from the counts of all 4-grams."""
+    gram = np.flatnonzero(counts)
+    n = counts[gram]
     keys, values = [], []
     for order in range(ORDER, 0, -1):
-        of = np.bincount(np.minimum(n, 5), minlength=5).astype(float)
-        y = of[1] / max(of[1] + 2 * of[2], 1)
-        cut = np.array([0.0] + [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.1), k - 0.1) if of[k] and of[k + 1] else 0.5 * k for k in (1, 2, 3)])
-        drop = cut[np.minimum(n, 3)]
+        drop = cuts(np.bincount(np.minimum(n, 5), minlength=5).astype(float))[np.minimum(n, 3)]
         context = gram >> BITS
         width = SYMBOLS ** (order - 1)
         total, freed = np.bincount(context, n, width), np.bincount(context, drop, width)
@@ -191,8 +192,16 @@ def fit_model(docs: DataFrame, text: str = "text") -> Model:
     return Model(keys[at], values[at].astype(np.float32))
 
 
-def pairs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Start, end, row, context (hash of the word before, 0 at a text's start), hash and pair of every word."""
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Log of each code point's share; 0 for those that do not occur."""
+    out = np.zeros(len(counts), np.float32)
+    at = np.flatnonzero(counts)
+    out[at] = np.log(counts[at] / counts.sum())
+    return out
+
+
+def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, end, row and hash (of WORD_BITS bits, never 0) of every word of the model."""
     w = Words(FOLD[raw[off[0] : off[-1]]], off - off[0], lower=False)
     kind, n = KIND[w.data], len(w.data)
     lead = np.maximum.accumulate(np.where((w.data & 0xC0) != 0x80, np.arange(n), 0)) if n else np.zeros(0, np.int64)
@@ -204,93 +213,41 @@ def pairs(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     stops = np.append(np.flatnonzero(new), n)
     start = np.flatnonzero(new & (kind > 0))
     end = stops[np.searchsorted(stops, start, "right")] if len(start) else start
-    word = w.span_hash(start, end)
-    row = np.searchsorted(w.off, start, "right") - 1
-    context = np.zeros(len(word), np.uint64)
-    context[1:] = np.where(row[1:] == row[:-1], word[:-1], np.uint64(0))
-    return start, end, row, context, word, (context << np.uint64(1) | context >> np.uint64(63)) ^ word
-
-
-def count_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """context, word (hashes), n over every text."""
-
-    def run(batches):
-        held: list[tuple] = []
-
-        def counted():
-            if held:
-                context, word, pair = (np.concatenate(x) for x in zip(*held))
-                _, at, n = np.unique(pair, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (context, word)] + [pa.array(n)], names=["context", "word", "n"])
-                held.clear()
-
-        for b in batches:
-            raw, off = utf8(b.column(0))
-            for lo, hi in slices(off):
-                held.append(pairs(raw, off[lo : hi + 1])[3:])
-                if sum(len(x[0]) for x in held) > 2_000_000:
-                    yield from counted()
-        yield from counted()
+    word = np.maximum(w.span_hash(start, end) >> np.uint64(64 - WORD_BITS), np.uint64(1))
+    return start, end, np.searchsorted(w.off, start, "right") - 1, word
 
-    return docs.select(text).mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
 
-
-def discounts(counts: DataFrame, n: str):
-    """What modified Kneser-Ney takes from a count, as a function of its column."""
-    of = [0, *counts.agg(*(F.coalesce(F.sum((F.col(n) == k).cast("long")), F.lit(0)) for k in range(1, 5))).first()]
-    y = of[1] / max(of[1] + 2 * of[2], 1)
-    cut = [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.1), k - 0.1) if of[k] and of[k + 1] else 0.5 * k for k in (1, 2, 3)]
-    return lambda c: F.when(c < 1, 0.0).when(c < 2, cut[0]).when(c < 3, cut[1]).otherwise(cut[2])
-
-
-def weigh_pairs(counts: DataFrame, scratch: Scratch) -> DataFrame:
-    """pair, n, high, low: a pair's word has probability high + low x that of its spelling, without one occurrence of the pair."""
-    take = discounts(counts, "n")
-    contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum(take(F.col("n"))).alias("freed"))
-    words = scratch.table(counts.groupBy("word").agg(F.count("*").alias("kinds")))
-    lower = discounts(words, "kinds")
-    all_kinds, all_freed = words.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum(lower(F.col("kinds"))), F.lit(0.0))).first()
-    rows = counts.join(contexts, "context").join(words, "word")
-    n, left = F.col("n"), F.col("total") - 1
-    kinds = F.col("kinds") - (n == 1).cast("long")  # a pair met once is one context less of its word
-    others = F.lit(all_kinds) - (n == 1).cast("long")
-    seen = F.when(left > 0, (n - 1 - take(n - 1)) / left).otherwise(0.0)
-    back = F.when(left > 0, (F.col("freed") - take(n) + take(n - 1)) / left).otherwise(1.0)
-    share = F.when(others > 0, (kinds - lower(kinds)) / others).otherwise(0.0)
-    spelt = F.when(others > 0, (all_freed - lower(F.col("kinds")) + lower(kinds)) / others).otherwise(1.0)
-    pair = F.shiftleft("context", 1).bitwiseOR(F.shiftrightunsigned("context", 63)).bitwiseXOR(F.col("word"))  # as in `pairs`
-    return scratch.table(rows.select(pair.alias("pair"), "n", (seen + back * share).alias("high"), (back * spelt).alias("low")))
-
-
-def frequent_pairs(weights: DataFrame) -> tuple[np.ndarray, ...]:
-    """(keys ascending, high, low) of the most frequent pairs, MAX_BROADCAST_PAIRS at most."""
-    size = F.floor(F.log2("n")).cast("int")
-    least, found = 64, 0
-    for r in sorted(weights.groupBy(size.alias("k")).count().collect(), reverse=True):  # 64 rows at most
-        found += r["count"]
-        if found > MAX_BROADCAST_PAIRS:
-            break
-        least = r["k"]
-    rows = weights.filter(size >= least).select("pair", "high", "low").toPandas()
-    key = rows["pair"].to_numpy(np.int64).view(np.uint64)
-    at = np.argsort(key)
-    return (key[at], rows["high"].to_numpy(float)[at], rows["low"].to_numpy(float)[at])
+def spelling(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log probability of the symbols of each word, as if white space stood before it, and of its code points."""
+    off = np.concatenate([[0], np.cumsum(end - start)])
+    raw = data[np.repeat(start - off[:-1], end - start) + np.arange(off[-1])]
+    sym, place = placed(raw, off)
+    logs = np.zeros(len(sym) + 1)
+    np.cumsum(table[grams(sym, place[off])], out=logs[1:])
+    unfolded = np.zeros(len(raw) + 1)
+    at, point = points(raw, off)
+    unfolded[at + 1] = share[point]
+    unfolded = np.cumsum(unfolded)
+    return logs[place[off[1:]]] - logs[place[off[:-1]]] + unfolded[off[1:]] - unfolded[off[:-1]]
 
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_scored long, log_perplexity double"
 NAMES = [x.split()[0] for x in METRICS.split(", ")]
 
 
-def first_of_each(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each element: is it the first of its value; how often the value occurs."""
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    group = np.cumsum(new) - 1
-    first, count = np.empty(len(key), bool), np.empty(len(key), np.int64)
-    first[order], count[order] = new, np.bincount(group, minlength=1)[group]
-    return first, count
+def repeated(key: np.ndarray) -> np.ndarray:
+    """The values that occur twice or more, in ascending order."""
+    ranked = np.sort(key)
+    return np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+
+
+def first_of_each(key: np.ndarray) -> np.ndarray:
+    """For each element: is it the first of its value."""
+    first = np.ones(len(key), bool)
+    at = np.flatnonzero(np.isin(key, repeated(key)))
+    first[at] = False
+    first[at[np.unique(key[at], return_index=True)[1]]] = True
+    return first
 
 
 def measure(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
@@ -309,12 +266,12 @@ def measure(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> list[np.ndar
     starts, ends = starts[filled], ends[filled]
     row = np.searchsorted(w.off, starts, "right") - 1
     with np.errstate(over="ignore"):
-        first, _ = first_of_each(w.span_hash(starts, ends) + mix(row.astype(np.uint64)))
-        n_dup_lines = np.bincount(row[~first], minlength=rows)
+        key = w.span_hash(starts, ends) + mix(row.astype(np.uint64))
+        n_dup_lines = np.bincount(row[~first_of_each(key)], minlength=rows)
         h, at = w.windows(5)
-        _, count = first_of_each(h + mix(w.row[at].astype(np.uint64))) if len(at) else (None, np.zeros(0, np.int64))
+        h += mix(w.row[at].astype(np.uint64))
     cover = np.zeros(len(w.hash) + 6, np.int64)
-    twice = at[count > 1]
+    twice = at[np.isin(h, repeated(h))]
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + 5, -1)
     n_repeat = np.bincount(w.row[np.cumsum(cover)[: len(w.hash)] > 0], minlength=rows)
@@ -327,76 +284,244 @@ def measure(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> list[np.ndar
     return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, n, mean]
 
 
-def scan(docs: DataFrame, model: Model, shares: np.ndarray, frequent: tuple[np.ndarray, ...]) -> DataFrame:
-    """For each row of (own, lang, text): own, lang, METRICS, the cost of its frequent pairs, and its rare pairs with the log of their spelling."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, shares, *frequent))
-    names = ["own", "lang", *NAMES, "cost", "rare"]
+DOCUMENT = f"own long, other long, lang string, {METRICS}"
+
+
+def to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def scan(docs: DataFrame, model: Model, share: np.ndarray) -> DataFrame:
+    """Chunks of (own, other, lang, text), some texts each: their DOCUMENT rows, numbers of words, distinct words with their spelling, and the words' numbers."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, share))
+    names = ["own", "other", "lang", *NAMES]
 
     def run(batches):
-        table = None
+        table, made, held, task, n_chunks = None, [], [], TaskContext.get().partitionId(), 0
+
+        def chunk():
+            word, hashes, spelt, count = (np.concatenate([h.pop() for h in held]) for _ in range(4))
+            known, _, often, number = distinct(word)
+            rank = np.empty(len(known), np.int64)  # frequent words get small numbers, which take less room
+            by_count = np.argsort(-often, kind="stable")
+            rank[by_count] = np.arange(len(known))
+            at = np.searchsorted(known, hashes)
+            logs = np.zeros(len(known), np.float16)
+            logs[at] = spelt
+            batch = pa.Table.from_batches(made).combine_chunks().to_batches()
+            row = [(task << 32) + n_chunks, len(word), to_bytes(batch[0]), packed(count), packed_sorted(known), packed(rank), logs.tobytes(), packed(rank[number])]
+            made.clear(), held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=CHUNK_NAMES)
+
         for b in batches:
             if table is None:
-                keys, values, shares, known, high, low = sent.value
+                keys, values, share = sent.value
                 table = Model(keys, values).table()
-            raw, off = utf8(b.column(2))
+            raw, off = utf8(b.column(3))
             for lo, hi in slices(off):
                 part, mine = b.slice(lo, hi - lo), off[lo : hi + 1]
-                made = measure(raw, mine, table)
-                sym, place = placed(raw, mine)
-                logs = np.zeros(len(sym) + 1)
-                np.cumsum(table[grams(sym, place[mine - mine[0]])], out=logs[1:])
-                start, end, row, _, _, pair = pairs(raw, mine)
-                unfolded = np.zeros(len(place))
-                first, point = points(raw, mine)
-                unfolded[first + 1] = shares[point]
-                unfolded = np.cumsum(unfolded)
-                spelling = logs[place[end]] - logs[place[start]] + unfolded[end] - unfolded[start]
-                at = np.minimum(np.searchsorted(known, pair), max(len(known) - 1, 0))
-                hit = known[at] == pair if len(known) else np.zeros(len(pair), bool)
-                h, v, sp = high[at[hit]], low[at[hit]], spelling[hit]
-                with np.errstate(divide="ignore"):
-                    cost = -np.logaddexp(np.log(h), np.log(v) + sp)
-                made.append(np.bincount(row[hit], cost, hi - lo).astype(float))
-                rare = pa.StructArray.from_arrays([pa.array(pair[~hit].view(np.int64)), pa.array(spelling[~hit].astype(np.float32))], ["pair", "spelling"])
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=hi - lo))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x) for x in made), pa.ListArray.from_arrays(pa.array(offsets), rare)], names=names)
-
-    return docs.select("own", "lang", "text").mapInArrow(run, f"own long, lang string, {METRICS}, cost double, rare array<struct<pair:long,spelling:float>>")
+                made.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *(pa.array(x) for x in measure(raw, mine, table))], names=names))
+                start, end, row, word = words_of(raw, mine)
+                hashes, at, *_ = distinct(word)
+                held.append([np.bincount(row, minlength=hi - lo), spelling(raw[mine[0] : mine[-1]], start[at], end[at], table, share).astype(np.float16), hashes, word])
+                if sum(len(h[-1]) for h in held) >= CHUNK_WORDS:
+                    yield chunk()
+                    n_chunks += 1
+        if held:
+            yield chunk()
+
+    return docs.select("own", "other", "lang", "text").mapInArrow(run, CHUNK)
+
+
+CHUNK = "chunk long, n_words long, documents binary, counts binary, known binary, rank binary, spelt binary, words binary"
+CHUNK_NAMES = [x.split()[0] for x in CHUNK.split(", ")]
+
+
+class Chunk:
+    """One row of CHUNK: `hash` of each distinct word by its number, then 0 for what stands before a text; `word` and `context`, the numbers of
+    each word and of the one before it; `count`, how many words each text has."""
+
+    def __init__(self, row: dict):
+        known, rank = unpacked_sorted(row["known"]), unpacked(row["rank"]).astype(np.int32)
+        self.hash = np.zeros(len(known) + 1, np.uint64)
+        self.hash[rank] = known
+        self.spelt = np.zeros(len(known) + 1)
+        self.spelt[rank] = np.frombuffer(row["spelt"], np.float16)
+        count = unpacked(row["counts"]).astype(np.int64)
+        self.word = unpacked(row.pop("words")).astype(np.int32)
+        self.count = count
+        self.context = np.concatenate([np.array([len(known)], np.int32), self.word[:-1]])[: len(self.word)]
+        first = np.cumsum(count) - count
+        self.context[first[count > 0]] = len(known)
+        # words in ascending order of their hashes, with 0 before them
+        self.keys = np.concatenate([[np.uint64(0)], known])
+        self.order = np.concatenate([[len(known)], rank]).astype(np.int64)
+
+    def pairs(self, bits: int) -> np.ndarray:
+        out = np.empty(len(self.word), np.uint64)
+        with np.errstate(over="ignore"):
+            for lo in range(0, len(out), 1 << 18):
+                part = slice(lo, lo + (1 << 18))
+                out[part] = mix(self.hash[self.context[part]] * np.uint64(0x9FB21C651E98DF25) + self.hash[self.word[part]]) >> np.uint64(64 - bits)
+        return out
+
+
+def of_chunks(chunks: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """run(row of `columns`) -> record batches, for each chunk."""
+
+    def go(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from run({c: b.column(j)[i].as_py() for j, c in enumerate(columns)})
+
+    return chunks.select(*columns).mapInArrow(go, schema)
+
+
+def count_pairs(chunks: DataFrame, bits: int, lead: int, scratch: Scratch) -> DataFrame:
+    """Answers to all chunks: the corpus count of each of their distinct pairs."""
+
+    def ask(row):
+        keys, _, n, _ = distinct(Chunk(row).pairs(bits))
+        if rows := list(requests(row["chunk"], keys, [n], bits, lead)):
+            yield request_batch(rows)
+
+    return add_up(of_chunks(chunks, ["chunk", "counts", "known", "rank", "spelt", "words"], ask, REQUEST), scratch)
+
+
+def count_words(told: DataFrame, bits: int, lead: int, scratch: Scratch) -> DataFrame:
+    """Answers to all chunks: for each of their words, how often it stands before another, before how many it does once, twice, more often, and after how many."""
+
+    def ask(row):
+        c = Chunk(row)
+        first, (n,) = joined(row["pairs"])
+        at = distinct(c.pairs(bits))[1]
+        size = len(c.hash)
+        stats = [np.bincount(c.context, minlength=size)]
+        stats += [np.bincount(c.context[at[first & (np.minimum(n, 3) == k)]], minlength=size) for k in (1, 2, 3)]
+        stats.append(np.bincount(c.word[at[first]], minlength=size))
+        if rows := list(requests(row["chunk"], c.keys, [s[c.order] for s in stats], WORD_BITS, lead)):
+            yield request_batch(rows)
+
+    return add_up(of_chunks(told, ["chunk", "counts", "known", "rank", "spelt", "words", "pairs"], ask, REQUEST), scratch, of=4)
+
+
+def pair_costs(n, total, freed, kinds, spelt, cut_pair, cut_word, all_kinds: int, all_freed: float) -> np.ndarray:
+    """Negative log probability of a word after another, without one occurrence of the pair: n of the pair, total and freed mass of the
+    context, kinds of contexts and log of the spelling of the word."""
+    take, lower = (lambda x, c=c: c[np.clip(x, 0, 3).astype(np.int64)] for c in (cut_pair, cut_word))
+    left, once = total - 1.0, (n == 1).astype(float)
+    fewer, others = kinds - once, np.maximum(all_kinds - once, 1)  # a pair met once is one context less of its word
+    some = left > 0
+    left = np.where(some, left, 1)
+    seen = np.where(some, (n - 1 - take(n - 1)) / left, 0.0)
+    back = np.where(some, (freed - take(n) + take(n - 1)) / left, 1.0)
+    share = np.where(all_kinds > once, (fewer - lower(fewer)) / others, 0.0)
+    low = np.where(all_kinds > once, (all_freed - lower(kinds) + lower(fewer)) / others, 1.0)
+    with np.errstate(divide="ignore"):
+        return -np.logaddexp(np.log(np.maximum(seen + back * share, 0)), np.log(np.maximum(back * low, 1e-300)) + spelt)
+
+
+def score_chunks(told: DataFrame, bits: int, of_pairs: list[int], of_words: list[int]) -> DataFrame:
+    """The DOCUMENT rows of all chunks, with `cost`, the sum over their words."""
+    cut_pair, cut_word = cuts([0, *of_pairs[2:]]), cuts([0, *of_words[2:]])
+    n_words, all_kinds, one, two = of_words[:4]
+    # words that follow nothing (what stands before a text) have kinds 0 and free nothing
+    all_freed = cut_word[1] * one + cut_word[2] * two + cut_word[3] * max(n_words - 1 - one - two, 0)
+    names = ["own", "other", "lang", *NAMES, "cost"]
+
+    def run(row):
+        c = Chunk(row)
+        keys, at, _, inverse = distinct(c.pairs(bits))
+        cost = np.zeros(0)
+        if len(keys):
+            n = joined(row.pop("pairs"))[1][0]
+            stats = np.zeros((5, len(c.hash)))
+            for i, s in enumerate(joined(row.pop("words_told"))[1]):
+                stats[i, c.order] = s
+            freed = cut_pair[1:] @ stats[1:4]
+            cost = np.empty(len(keys))
+            for lo in range(0, len(keys), 1 << 18):
+                part = slice(lo, lo + (1 << 18))
+                context, word = c.context[at[part]], c.word[at[part]]
+                cost[part] = pair_costs(n[part].astype(float), stats[0, context], freed[context], stats[4, word], c.spelt[word], cut_pair, cut_word, all_kinds, all_freed)
+            cost = cost[inverse]
+        with pa.ipc.open_stream(row["documents"]) as stream:
+            for b in stream:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bincount(np.repeat(np.arange(len(c.count), dtype=np.int32), c.count), cost, len(c.count)).astype(float))], names=names)
+
+    return of_chunks(told, ["chunk", "documents", "counts", "known", "rank", "spelt", "words", "pairs", "words_told"], run, f"{DOCUMENT}, cost double")
+
+
+def own_hashes(text: str, lang: str) -> list[Column]:
+    """Two hashes that stand for a text and its language."""
+    return [F.xxhash64(text, lang), F.xxhash64(lang, F.lit(1), text)]
 
 
 def score_texts(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang") -> DataFrame:
-    """own (hash of text and language), lang, METRICS, log_word_perplexity (a symbol, as log_perplexity is) and copies, a row for each text and language."""
-    source = docs.select(F.xxhash64(text, lang).alias("own"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    weights = weigh_pairs(scratch.table(count_pairs(source)), scratch)
-    scratch.keep(weights)
-    read = scratch.table(scan(source, fit_model(source), share_of_points(source), frequent_pairs(weights)))
-    rare = read.select("own", F.explode("rare").alias("x")).select("own", "x.*").join(weights, "pair")
-    cost = -F.when(F.col("high") > 0, F.log(F.col("high") + F.col("low") * F.exp(F.col("spelling").cast("double")))).otherwise(F.log("low") + F.col("spelling"))
-    rare = rare.groupBy("own").agg(F.sum(cost).alias("more"))
-    texts = read.groupBy("own").agg(F.first("lang").alias("lang"), *(F.first(c).alias(c) for c in [*NAMES, "cost"]), F.count("*").alias("copies"))
-    total = F.col("cost") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))  # each copy has brought its rare pairs
-    out = texts.join(rare, "own", "left").withColumn("log_word_perplexity", total / F.greatest("n_scored", F.lit(1)))
-    return scratch.table(out.select("own", "lang", *NAMES, "log_word_perplexity", "copies"))
+    """own, other (hashes of text and language), lang, METRICS, log_word_perplexity (a symbol, as log_perplexity is) and copies, a row for each text and language."""
+    own, other = own_hashes(text, lang)
+    source = docs.select(own.alias("own"), other.alias("other"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    grams_, points_ = count_spelling(source)
+    chunks = scratch.bucketed(scan(source, fit_model(grams_), shares(points_)), "chunk", int(grams_.sum()) // BUCKET_SYMBOLS)
+    n_words = int(chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits, lead = min(64, n_words.bit_length() + PAIR_BITS), bucket_bits(n_words, partitions)
+    pairs = count_pairs(chunks, bits, lead, scratch)
+    scratch.reclaim()
+    asked = by_chunk(pairs, "pairs")
+    words = count_words(chunks.join(asked, "chunk"), bits, lead, scratch)
+    scratch.reclaim()
+    told = chunks.join(asked, "chunk", "left").join(by_chunk(words, "words_told"), "chunk", "left")
+    scored = score_chunks(told, bits, histogram(pairs), histogram(words))
+    # copies score alike in one chunk; in several, alike but for the rounding of sums
+    texts = scored.groupBy("own", "other").agg(F.min("lang").alias("lang"), *(F.min(c).alias(c) for c in [*NAMES, "cost"]), F.count("*").alias("copies"))
+    out = texts.withColumn("log_word_perplexity", F.col("cost") / F.greatest("n_scored", F.lit(1)))
+    return scratch.table(out.select("own", "other", "lang", *NAMES, "log_word_perplexity", "copies"))
+
+
+def quartiles(texts: DataFrame, by: list[str], of: str, name: str) -> DataFrame:
+    """by..., n, and the quartiles of a column as an array, exact up to the width of a bin and in any order of the rows."""
+    bins = texts.groupBy(*by, F.floor(F.col(of) * BINS).alias("bin")).agg(F.sum("copies").alias("m"))
+    whole = W.partitionBy(*by, F.lit(0))  # a row for each bin that occurs: thousands at most
+    upto = bins.withColumn("upto", F.sum("m").over(whole.orderBy("bin"))).withColumn("n", F.sum("m").over(whole))
+    at = [F.min(F.when(F.col("upto") >= q * F.col("n"), (F.col("bin") + 0.5) / BINS)) for q in (0.25, 0.5, 0.75)]
+    return upto.groupBy(*by).agg(F.first("n").alias("n"), F.array(*at).alias(name))
 
 
 def fit_bands(texts: DataFrame) -> DataFrame:
     """lang, low, mid, high (log perplexity), word_mid, word_high (that of words) from what score_texts gives, each text as often as it occurs.
 
-    The quartiles of every language are drawn towards those of all documents, the more the fewer documents it has.
+    The quartiles of every language are drawn towards those of all documents, the more the fewer documents it has. Without any text that
+    passes the base rules there is no row.
     """
-    scored = texts.filter("not base_failed").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 1000)
-    of = F.count("*").alias("n"), quartiles("log_perplexity").alias("q"), quartiles("log_word_perplexity").alias("w")
-    q = scored.groupBy("lang").agg(*of).crossJoin(F.broadcast(scored.agg(*of).toDF("all", "all_q", "all_w")))  # one row
+    scored = texts.filter("not base_failed").withColumn("lang", F.struct("lang"))  # so that a null language is joined as any other
+    of = lambda by: [quartiles(scored, by, c, n) for c, n in (("log_perplexity", "q"), ("log_word_perplexity", "w"))]
+    (q, w), (all_q, all_w) = of(["lang"]), of([])
+    every = all_q.select(F.col("q").alias("all_q")).crossJoin(all_w.select(F.col("w").alias("all_w")))  # one row each
+    q = q.join(w.drop("n"), "lang").crossJoin(F.broadcast(every))
     own = 1 / (1 + F.pow(LEAST_DOCS / F.col("n"), F.lit(2)))
     shrunk = lambda c: F.zip_with(c, f"all_{c}", lambda x, y: own * x + (1 - own) * y).alias(c)
-    q = q.select("lang", shrunk("q"), shrunk("w"))
+    q = q.select(F.col("lang.lang").alias("lang"), shrunk("q"), shrunk("w"))
     q = q.withColumn("spread", F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST_SPREAD)))
     # of the upper half only, as copies widen the lower one
     words = F.col("w")[1] + UPPER_WIDTH * F.greatest((F.col("w")[2] - F.col("w")[1]) / 0.6745, F.lit(LEAST_SPREAD))
     return q.select("lang", (F.col("q")[1] - LOWER_WIDTH * F.col("spread")).alias("low"), F.col("q")[1].alias("mid"), (F.col("q")[1] + UPPER_WIDTH * F.col("spread")).alias("high"), F.col("w")[1].alias("word_mid"), words.alias("word_high"))
 
 
+def judge_texts(texts: DataFrame, bands: DataFrame) -> DataFrame:
+    """texts with in_band. Only where a language has no text that passes the base rules there is no band; none of its texts is kept anyway."""
+    few = bands.count() <= MAX_BROADCAST_LANGUAGES
+    right = bands.withColumnRenamed("lang", "of_lang")
+    rows = texts.join(F.broadcast(right) if few else right, texts["lang"].eqNullSafe(right["of_lang"]), "left")
+    wider = F.sqrt(1 + SHORT / F.greatest(F.col("n_scored"), F.lit(1)))
+    x, word = F.col("log_perplexity") - F.col("mid"), F.col("log_word_perplexity") - F.col("word_mid")
+    inside = (x >= (F.col("low") - F.col("mid")) * wider) & (x <= (F.col("high") - F.col("mid")) * wider) & (word <= (F.col("word_high") - F.col("word_mid")) * wider)
+    return rows.withColumn("in_band", F.coalesce(inside, F.lit(True))).select(*texts.columns, "in_band")
+
+
 def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """All columns of `docs`, METRICS, log_word_perplexity double, in_band boolean, kept boolean.
 
@@ -405,20 +530,15 @@ def judge_documents(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     an empty result; columns named as the new ones are replaced. Every language (null is one) has its own band,
     drawn towards all documents by how few of its documents pass the base rules.
     """
-    docs = docs.drop(*NAMES, "log_word_perplexity", "in_band", "kept", "_low", "_mid", "_high", "_word_mid", "_word_high")
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
+    made = [*NAMES, "log_word_perplexity", "in_band", "kept"]
+    docs = docs.drop(*made)
+    scratch = Scratch(docs.sparkSession, "quality")
     texts = score_texts(docs, scratch, text, lang)
     scratch.keep(texts)
-    bands = fit_bands(texts)
-    some = bands.limit(MAX_BROADCAST_LANGUAGES + 1).toPandas()
-    small = len(some) <= MAX_BROADCAST_LANGUAGES
-    right = spark.createDataFrame([tuple(x) for x in some.itertuples(index=False)], "_lang string, _low double, _mid double, _high double, _word_mid double, _word_high double") if small else bands.toDF("_lang", "_low", "_mid", "_high", "_word_mid", "_word_high")
-    scored = docs.withColumn("_own", F.xxhash64(text, lang)).join(texts.select(F.col("own").alias("_of"), *NAMES, "log_word_perplexity"), F.col("_own") == F.col("_of")).drop("_own", "_of")
-    scored = scored.join(F.broadcast(right) if small else right, scored[lang].eqNullSafe(right["_lang"]), "left")
-    wider = F.sqrt(1 + SHORT / F.greatest(F.col("n_scored"), F.lit(1)))
-    x, word = F.col("log_perplexity") - F.col("_mid"), F.col("log_word_perplexity") - F.col("_word_mid")
-    inside = (x >= (F.col("_low") - F.col("_mid")) * wider) & (x <= (F.col("_high") - F.col("_mid")) * wider) & (word <= (F.col("_word_high") - F.col("_word_mid")) * wider)
-    # only a language without any document that passes the base rules has no band
-    inside = F.coalesce(inside, F.lit(True))
-    return scored.withColumn("in_band", inside).withColumn("kept", F.expr("not base_failed and in_band")).drop("_lang", "_low", "_mid", "_high", "_word_mid", "_word_high")
+    bands = scratch.table(fit_bands(texts))
+    right = scratch.table(judge_texts(texts, bands).drop("lang", "copies"))
+    scratch.keep(right)
+    own, other = free_names(docs, "own", "other")
+    right = right.withColumnsRenamed({"own": own, "other": other}).withColumn("kept", F.expr("not base_failed and in_band"))
+    a, b = own_hashes(text, lang)
+    return docs.withColumn(own, a).withColumn(other, b).join(right, [own, other]).select(*docs.columns, *made)
