@@ -67,3 +67,28 @@ def test_null_keys_repeats_and_empty_tables(spark):
     left = neardup.drop_copies(docs)
     assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["5", "None", "None"]
     assert neardup.find_groups(docs.limit(0)).count() == 0 and neardup.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_structured_words_do_not_collide_and_texts_under_one_key_are_apart(spark):
+    t, u = "a", "b"
+    for _ in range(10):
+        t, u = t + u, u + t
+    one, two = "k l m n o p q r s t u v", "A B C D E F G H I J K L"
+    rows = [(1, t), (2, u), (5, one), (5, two), (9, two), (9, one + " x y z"), (9, two), (9, one + " x y z")]
+    docs = spark.createDataFrame([(*r, "d", "k") for r in rows], "doc_id long, text string, _digest string, _key string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.find_groups(docs).collect()} == {(1, 1), (2, 2), (5, 5), (9, 5), (9, 9)}
+    left = neardup.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted({(1, t), (2, u), (5, one), (5, two), (9, one + " x y z")})
+
+
+def test_the_query_equals_its_sql(spark):
+    import duckdb
+
+    from verdigris.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    sql = duckdb.connect()
+    sql.execute(f"create view documents as select * from read_parquet('{data}/documents.parquet')")
+    got = queries.op2_minhash(spark, data)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect())) == sorted(sql.sql(f"select doc_id, n_shingles, component_id, kept from ({queries.ORACLES['op2_minhash']})").fetchall())

@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash with banding, signature and exact verification, components by alternating stars.
 
-A document is the set of its distinct 3-word shingles. Equal sets collapse to one node first (128-bit set digests), so a
-group of exact copies, however large, is one node. Nodes with an equal band of minima share a bucket. In a bucket, every member is
+A document is the set of its distinct 3-word shingles. Equal texts are one node first (named by 128 bits of their SHA-256), so a
+group of exact copies, however large, is one node; texts that differ but have equal sets are compared like all others. Nodes with an equal band of minima share a bucket. In a bucket, every member is
 compared with a pivot, never all with all; what is then linked needs no more comparing. Members whose components still differ
 are compared with further pivots, and the few that stay apart after PIVOTS rounds with each other: directly in small
 buckets, and in larger ones only where two share one of their rarest shingles, which sets as similar as asked must do. No link is lost to a cap.
@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import Scratch, Words, mix, slices, utf8
+from verdigris.llm.common import Scratch, Words, free_names, mix, slices, utf8
 
 SHINGLE, PERCENT = 3, 85
 MINIMA, BANDS = 6, 32
@@ -52,11 +52,11 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.array([len(s) for s in sets], np.int64)
 
 
-def signatures(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the texts that have shingles: minima (rows x K, uint64), band keys (rows x BANDS, int64), digests (rows x 2)."""
+def signatures(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the texts that have shingles: minima (rows x K, uint64), band keys (rows x BANDS, int64)."""
     counts = counts[counts > 0]
     if not len(counts):
-        return np.zeros((0, K), np.uint64), np.zeros((0, BANDS), np.int64), np.zeros((0, 2), np.uint64)
+        return np.zeros((0, K), np.uint64), np.zeros((0, BANDS), np.int64)
     starts = np.cumsum(counts) - counts
     minima = np.empty((len(counts), K), np.uint64)
     with np.errstate(over="ignore"):
@@ -65,19 +65,23 @@ def signatures(flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
         key = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(counts), 0)
         for i in range(MINIMA):
             key = mix(key * np.uint64(0xE7037ED1A0B428DB) + minima[:, i::MINIMA])
-        digest = np.stack([np.add.reduceat(mix(flat ^ np.uint64(c)), starts) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
-    return minima, key.view(np.int64), digest
+    return minima, key.view(np.int64)
+
+
+def digest_of(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text; null texts are empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, bands, sig (low 16 bits of each minimum) of (doc_id, text); the last three null without shingles."""
+    """doc_id, digest, n_shingles, bands, sig (low 16 bits of each minimum) of (doc_id, digest, text); the last two null without shingles."""
 
     def run(batches):
         for b in batches:
-            raw, off = utf8(b.column(1))
+            raw, off = utf8(b.column(2))
             for lo, hi in slices(off):
                 flat, counts = shingle_sets(raw, off[lo : hi + 1])
-                minima, bands, digest = signatures(flat, counts)
+                minima, bands = signatures(flat, counts)
                 empty = counts == 0
                 place = np.where(empty, 0, np.cumsum(~empty) - 1).astype(np.int32)
                 take = pa.array(place, mask=empty)
@@ -85,13 +89,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 band_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(lo, hi - lo),
+                    b.column(1).slice(lo, hi - lo),
                     pa.array(counts),
-                    pa.array([d.tobytes() for d in digest], pa.binary()).take(take),
                     band_lists.take(take),
                     pa.array([s.tobytes() for s in low], pa.binary()).take(take),
-                ], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+                ], names=["doc_id", "digest", "n_shingles", "bands", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>, sig binary")
 
 
 def likely(pairs: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def likely(pairs: DataFrame) -> DataFrame:
                 ok = (x == y).mean(1) >= LEAST_ESTIMATE
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, pairs.select("a", "b").schema)
 
 
 def text_shingles(text: str | None) -> set:
@@ -131,7 +135,7 @@ def confirmed(pairs: DataFrame) -> DataFrame:
                     ok.append(100 * both >= PERCENT * (len(kept) + len(other) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, pairs.select("a", "b").schema)
 
 
 def rare_shingles(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -142,11 +146,11 @@ def rare_shingles(texts: DataFrame, scratch: Scratch) -> DataFrame:
             raw, off = utf8(b.column(1))
             for lo, hi in slices(off):
                 flat, counts = shingle_sets(raw, off[lo : hi + 1])
-                nodes = np.repeat(b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False), counts)
+                nodes = b.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), counts)))
                 size = np.repeat(counts, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(size), pa.array(flat.view(np.int64))], names=["node", "size", "token"])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(size), pa.array(flat.view(np.int64))], names=["node", "size", "token"])
 
-    tokens = scratch.table(texts.select("node", "text").mapInArrow(run, "node long, size long, token long"))
+    tokens = scratch.table(texts.select("node", "text").mapInArrow(run, "node binary, size long, token long"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("list"))
     size = F.size("list")
@@ -174,11 +178,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while not settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written first, so that the join deals out both sides anew and the edges of a hub can be split over tasks
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        scratch.drop(least)
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")))
         found = written(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))))
-        scratch.drop(edges, large)
+        scratch.drop(edges, large, least)
         edges = found
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
@@ -187,22 +193,29 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """doc_id, n_shingles, component_id, kept: a row for each row of `docs`.
 
     Texts that are null, empty or without words have no shingles and link with nothing; rows without a key link with nothing
-    and are kept; a key that stands on several texts links through any of them; other columns are ignored; an empty table gives an empty result.
+    and are kept; of a key that stands on several texts, each text is a document of its own; component_id is the smallest key of the component;
+    repeated rows get equal rows; very long texts are read whole; other columns are ignored; an empty table gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "neardup")
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return grouped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))).drop("digest")
+
+
+def grouped(source: DataFrame) -> DataFrame:
+    """find_groups of (doc_id, text), with the digest of each row's text."""
+    scratch = Scratch(source.sparkSession, "neardup")
+    source = source.select("doc_id", digest_of(F.col("text")).alias("digest"), "text")
     prints = scratch.table(fingerprints(source))
     usable = prints.filter("doc_id is not null and n_shingles > 0")
-    classes = scratch.table(usable.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    first = usable.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")))
-    nodes = scratch.table(first.groupBy("node", "digest").agg(*(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))).drop("digest"))
+    classes = scratch.table(usable.groupBy("digest").agg(F.min("doc_id").alias("least")))
+    reps = classes.select(F.col("digest").alias("node"), "least")
+    of_rep = (F.col("digest") == F.col("node")) & (F.col("doc_id") == F.col("least"))
+    nodes = scratch.table(usable.join(reps, of_rep).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "bands", "sig"))))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     # written first, so that the join deals out both sides anew and a bucket with many members can be split over tasks
     shared = scratch.table(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1"))
     buckets = scratch.table(members.join(shared, "bucket").select("bucket", "node", "pivot"))
     wanted = buckets.select(F.col("node").alias("w")).distinct()
-    texts = source.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    texts = scratch.table(texts)
+    some = reps.join(wanted, F.col("node") == F.col("w"), "left_semi")
+    texts = scratch.table(source.join(some, of_rep).groupBy("node").agg(F.first("text").alias("text")))
     marks = scratch.table(nodes.join(wanted, F.col("node") == F.col("w"), "left_semi").select("node", "n_shingles", "sig"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -247,16 +260,29 @@ def find_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             more = more.union(x.join(y, "token").filter(f"{apart} and {WITHIN_REACH}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         links = scratch.table(whole.select(F.col("component").alias("a"), F.col("node").alias("b")).union(verify(more.distinct())))
         whole = components(links, scratch)
-    of = scratch.table(classes.join(whole, "node", "left").select("digest", F.coalesce("component", "node").alias("component")))
+    of = scratch.table(reps.join(whole, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    # only texts that share a component need its smallest key looked up
+    of = scratch.table(of.join(ids, "component").select(F.col("node").alias("d"), "component_id"))
     scratch.keep(prints, of)
-    # the same key may stand in several classes; links by node already join those
-    out = prints.select("doc_id", "n_shingles", "digest").join(of, "digest", "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = prints.select("doc_id", "n_shingles", "digest").join(of, F.col("digest") == F.col("d"), "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "digest").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each group: that with the smallest key; of rows that share a key, one."""
-    gone = find_groups(docs, key, text).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    return left.withColumn("_row", F.when(F.col(key).isNull(), F.xxhash64(text))).dropDuplicates([key, "_row"]).drop("_row")
+    """`docs` with one document of each group: that with the smallest key. A row goes only for its own text: if the text links to one of a smaller
+    key, or if another row has the same key and text; different texts under one key stay unless they are linked to others. Of rows that
+    share key and text, one stays, whichever; rows whose text is null, empty or without words stay, and so do rows without a key (equal ones once);
+    an empty table gives an empty result; all columns stay, whatever their names."""
+    key_, digest = free_names(docs, "key", "digest")
+    found = grouped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    gone = found.filter("not kept").select(F.col("doc_id").alias(key_), F.col("digest").alias(digest)).distinct()
+    named = docs.withColumn(digest, digest_of(F.col(text)))
+    left = named.join(gone, (F.col(key).cast("long") == gone[key_]) & (named[digest] == gone[digest]), "left_anti")
+    # rows alike in key and text, which only tables with repeated keys hold: found by key and digest alone, and only they are gathered
+    twice = found.groupBy(F.col("doc_id").alias(key_), F.col("digest").alias(digest)).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    if twice.isEmpty():
+        return left.drop(digest)
+    same = F.col(key).cast("long").eqNullSafe(twice[key_]) & (left[digest] == twice[digest])
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([key, digest])).drop(digest)

@@ -74,4 +74,14 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_perplexity": op10_perplexity,
 }
-ORACLES: dict[str, str] = {}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP2_SQL = rf"""with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') w from documents),
+ s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) sh from t),
+ n as (select t.doc_id, count(s.sh) n from t left join s using (doc_id) group by t.doc_id),
+ p as (select a.doc_id a, b.doc_id b, count(*) m from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+ l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 85 * (x.n + y.n - m)),
+ e as (select a, b from l union all select b, a from l),
+ c as (select doc_id, doc_id c from n union select e.b, c.c from c join e on e.a = c.doc_id)
+ select n.doc_id, any_value(n.n) n_shingles, min(c.c) component_id, n.doc_id = min(c.c) kept from n join c using (doc_id) group by n.doc_id"""
+
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL}
