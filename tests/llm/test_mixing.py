@@ -55,3 +55,30 @@ def test_rows_come_in_training_order_as_often_as_taken(spark):
     # the order of documents on a source's axis depends on the key, so only totals agree with the report
     assert abs(sum(got[d] * (d % 9) for d in got) - sum(n * (d % 9) for d, n in report.items())) <= 24
     assert mixing.mix_documents(docs.limit(0)).count() == 0 and mixing.mix_report(docs.limit(0)).count() == 0
+
+
+def test_the_query_equals_its_sql(spark):
+    import duckdb
+
+    from verdigris.llm import queries
+
+    for data in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        sql = duckdb.connect()
+        sql.execute(f"create view documents as select * from read_parquet('{data}/documents.parquet')")
+        got = queries.op5_mixing(spark, data)
+        want = sql.sql(queries.ORACLES["op5_mixing"])
+        key = lambda rows: sorted(tuple(None if x is None else round(float(x), 6) for x in r) for r in rows)
+        assert key(map(tuple, got.select(*want.columns).collect())) == key(want.fetchall())
+
+
+def test_the_report_covers_copies_nulls_and_clashes_in_training_order(spark):
+    text = "a b c d"
+    rows = [(1, text, "x", 1), (1, text, "x", 2), (1, text, "x", 3), (2, None, "x", 1), (3, "", None, 1), (None, "q r", None, 1), (4, "one two three " * 2000, "y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position int")
+    out = mixing.mix_report(docs).collect()
+    assert len(out) == len(rows) and sum(r["doc_id"] == 1 for r in out) == 3
+    assert all(r["taken"] <= 3 * r["size"] for r in out) and all((r["position"] is None) == (r["taken"] == 0) for r in out)
+    at = [-1.0 if r["position"] is None else r["position"] for r in out]
+    assert at == sorted(at) and mixing.mix_report(docs.limit(0)).count() == 0
+    mixed = mixing.mix_documents(docs.selectExpr("*", "'m' as _mine", "'t' as _theirs", "'p' as _position"))
+    assert {(r["_mine"], r["_theirs"], r["_position"]) for r in mixed.collect()} == {("m", "t", "p")}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from verdigris.llm.common import Scratch
+from verdigris.llm.common import Scratch, free_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by rank of the source, repeating; slopes of the schedules, likewise; most passes over a source.
@@ -55,6 +55,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most_passes: int = MOST_PA
     return s.select("source", "source_size", "n_rows", "weight", "slope", target.alias("target"))
 
 
+def words_in(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def plan_mix(docs: DataFrame, scratch: Scratch, key: Column, seed: int = 7, text: str = "text", source: str = "source") -> DataFrame:
     """For each distinct (key, source, size) of `docs`: how often it is taken and when.
 
@@ -63,13 +67,15 @@ def plan_mix(docs: DataFrame, scratch: Scratch, key: Column, seed: int = 7, text
     source's total differs from its target by half a document at most; then CORRECTIONS single documents that fit the rest are added or left out.
     No document is taken more than MOST_PASSES times.
     """
-    sized = docs.select(key.alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(key.alias("key"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"))
     sized = sized.groupBy("key", "source", "size").agg(F.count("*").alias("copies"))
-    sized = scratch.table(sized.withColumn("u", F.xxhash64(F.lit(seed), "key", "size")))
+    # 52 bits of an MD5, as any SQL engine can take them
+    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("key").cast("string"), F.col("size").cast("string")).cast("binary"))
+    sized = scratch.table(sized.withColumn("u", F.conv(F.substring(order, 1, 13), 16, 10).cast("long")))
     weighed = sized.withColumn("span", F.col("size") * F.col("copies"))
     targets = scratch.table(source_targets(weighed.select("source", F.col("span").alias("size"))))
     t = targets.alias("t")
-    spread = (F.shiftrightunsigned("u", 11).cast("double") / F.lit(float(1 << 53)))
+    spread = F.col("u") / F.lit(float(1 << 52))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / BUCKET_ROWS))
     rows = weighed.join(t, weighed["source"].eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
     rows = rows.withColumn("bucket", F.floor(spread * buckets).cast("long")).withColumn("block", F.floor(F.col("bucket") / BLOCK_BUCKETS).cast("long"))
@@ -122,17 +128,37 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", seed: int = 7, text: str
     gives an empty result. Texts are counted whole and shuffled once to meet their positions and once for the order.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    own = F.xxhash64(F.col(key), F.col(source), F.col(text))
-    plan = scratch.table(plan_mix(docs, scratch, own, seed, text, source).filter("passes > 0").select(F.col("key").alias("_mix_key"), F.explode("positions").alias("_mix_position")))
+    own = F.concat_ws("/", F.xxhash64(F.col(key), F.col(source), F.col(text)), F.xxhash64(F.col(text), F.lit(1), F.col(source), F.col(key)))
+    mine, theirs, position = free_names(docs, "mine", "theirs", "position")
+    plan = plan_mix(docs, scratch, own, seed, text, source).filter("passes > 0").select(F.col("key").alias(theirs), F.explode("positions").alias(position))
+    plan = scratch.table(plan)
     scratch.keep(plan)
-    joined = docs.withColumn("_mix_own", own).join(plan, F.col("_mix_own") == F.col("_mix_key"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "_mix_position", "_mix_key").sortWithinPartitions("_mix_position", "_mix_key").select(*docs.columns)
+    joined = docs.withColumn(mine, own).join(plan, F.col(mine) == F.col(theirs))
+    return in_order(joined, position, theirs).select(*docs.columns)
+
+
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows sorted across and within partitions, whose number stays."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
 
 
 def mix_report(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Each document's doc_id, size, source_size, target and taken."""
+    """Each document's doc_id, size, source_size, target, taken and position (the training time of its first pass, to 9 digits; null if it is not taken), in the order of training.
+
+    Rows alike in doc_id, source and size are copies that share one decision, each taken as often; null and empty texts have
+    size 0 and are never taken; a null source is one of its own, ranked last; null ids are allowed; ties in the hash go by id and size; other columns
+    are ignored; an empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "mix")
     plan = plan_mix(docs, scratch, F.col("doc_id"), seed)
-    rows = plan.withColumn("taken", F.col("size") * F.col("passes")).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    return rows.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+    made = [F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"), F.round(F.get("positions", F.lit(0)), 9).alias("position")]
+    plan = scratch.table(plan.select("source", "copies", *made))
+    scratch.keep(plan)
+    rows = plan.filter("copies = 1")
+    again = plan.filter("copies > 1")
+    if not again.isEmpty():  # each copy is a row of the table, however many there are
+        each = docs.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), words_in(F.col("text")).alias("n"))
+        same = again["doc_id"].eqNullSafe(F.col("i")) & again["source"].eqNullSafe(F.col("s")) & (again["size"] == F.col("n"))
+        rows = rows.unionByName(each.join(again, same).select(*plan.columns))
+    return in_order(rows.drop("source", "copies"), "position", "doc_id")
