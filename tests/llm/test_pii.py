@@ -78,3 +78,22 @@ def test_rounds_go_on_until_nothing_new_is_labelled(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
     out = {r["doc_id"]: r["spans"] for r in pii.report(pii.find_personal_data(docs)).collect()}
     assert [rows[i] for i, x in sorted(out.items()) if not x.startswith("card:")] == []
+
+
+def test_secrets_seed_contexts_that_discover_others(spark):
+    import hashlib
+
+    h = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'lorem ipsum token = "{h(i)}" dolor') for i in range(17)]
+    rows += [(100 + i, f"they deploykey {h(i if i < 17 else 500 + i)} afterwards sit amet") for i in range(20)]  # 17 are known
+    rows += [(200 + i, f"see commit {h(900 + i)} for more") for i in range(8)] + [(300, "password: short1"), (301, "the token = abcdefghijklmnopqrst")]
+    rounds: list[int] = []
+    docs = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string")
+    found = {r["doc_id"]: [rows_[s["start"] : s["end"]] for s in r["spans"]] for r in pii.find_personal_data(docs, rounds=rounds).collect() for rows_ in [dict(rows)[r["doc_id"]]]}
+    assert all(found[i] == [h(i)] for i in range(17)) and all(found[100 + i] == [h(i if i < 17 else 500 + i)] for i in range(20))
+    assert all(found[200 + i] == [] for i in range(8)) and found[300] == found[301] == []
+    assert rounds == [3, 0]
+    clash = docs.selectExpr("*", "1 as _own", "2 as _spans", "3 as _key")
+    masked = pii.mask_documents(clash).collect()
+    assert len(masked) == len(rows) + 2 and {(r["_own"], r["_spans"], r["_key"]) for r in masked} == {(1, 2, 3)}
+    assert {r["text"] for r in masked if r["doc_id"] == 3} == {'lorem ipsum token = "[SECRET]" dolor'}

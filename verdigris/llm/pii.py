@@ -1,9 +1,10 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts discover.
 
-Emails, IP addresses, card and phone numbers found by the base patterns are seed instances. The words to the left of an instance
-are lexical patterns (the last word; the last two); what stands before an instance in its own word, as in `acct=123`, is the last word. Spark counts, for each pattern, how often a labelled instance
-follows it and how often anything does, over the whole corpus; the share is the pattern's confidence. Patterns with enough distinct instances
-and a high confidence score the unlabelled identifier-like spans that follow them (noisy-or over patterns): every run of a word's characters, and
+Emails, IP addresses, card and phone numbers found by the base patterns are seed instances, and so are secrets: long values of letters and digits that
+are assigned to a name such as token or password. The words around an instance
+are lexical patterns (the last word before it; the last two; the next one); what stands before an instance in its own word, as in `acct=123`, is the last word. Spark counts, for each pattern, how often a labelled instance
+stands by it and how often anything does, over the whole corpus; the share is the pattern's confidence. Patterns with enough distinct instances
+and a high confidence score the unlabelled identifier-like spans that stand by them (noisy-or over patterns): every run of a word's characters, and
 digits in groups over several words. What passes is labelled and the next round starts from the larger set, until a round labels nothing new.
 
 The patterns whose occurrences a pass counts are sent to the tasks as a bitmap of fixed size; counts of patterns that only
@@ -16,12 +17,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import Scratch, Words, mix, slices, utf8
+from verdigris.llm.common import Scratch, Words, free_names, mix, slices, utf8
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: The kinds of the base patterns come first.
+BASE_KINDS, SECRET_KIND = 4, 4
 #: Least distinct instances and least confidence of a pattern; least score of an instance.
 LEAST_SUPPORT, LEAST_CONFIDENCE, LEAST_SCORE = 3, 0.8, 0.8
 #: Digits that make a token identifier-like (an at sign does too).
@@ -32,6 +35,9 @@ DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(rb"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
+#: A value of 16 characters or more, with letters and digits, that is assigned to a name of a secret.
+SECRET = re.compile(rb"""(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9](?:[A-Za-z0-9_+/.=-]*[A-Za-z0-9])?)""")
+LEAST_SECRET = 16
 CORE = re.compile(rb"[A-Za-z0-9](?:[A-Za-z0-9._%+@:/-]*[A-Za-z0-9])?")
 #: Digits in groups, maybe over several words, as phones and cards are written; as long as those at most.
 GROUPS = re.compile(rb"(?<![A-Za-z0-9._%+@:/-])\(?[0-9](?:[ ().-]{0,3}+[0-9])++")
@@ -83,6 +89,19 @@ def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def secret_spans(text: bytes) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of seed secrets."""
+    found = (m.span(1) for m in SECRET.finditer(text))
+    return [(a, SECRET_KIND, z) for a, z in found if z - a >= LEAST_SECRET and any(c in DIGITS for c in text[a:z]) and not text[a:z].isdigit()]
+
+
+def next_words(w: Words) -> np.ndarray:
+    """For every word: hash of the word to its right in the same text (none counts as a word)."""
+    after = np.zeros(len(w.hash), np.uint64)
+    after[:-1] = np.where(w.row[1:] == w.row[:-1], w.hash[1:], np.uint64(0))
+    return mix(after ^ np.uint64(0xA0761D6478BD642F))
+
+
 def contexts(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """For every word: hash of the one word and of the two words to its left in the same text (none counts as a word)."""
     n = len(w.hash)
@@ -148,16 +167,17 @@ def groups(text: bytes):
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """For each row of (doc_id, own, text): base spans, and the instances (labelled or not) with their left contexts, offsets in code points."""
+    """For each row of (doc_id, own, other, text): base spans, and the instances (labelled or not) with their contexts, offsets in code points."""
     digit = np.zeros(256, bool)
     digit[list(b"0123456789")] = True
 
     def run(batches):
         for b in batches:
-            raw, off = utf8(b.column(2))
+            raw, off = utf8(b.column(3))
             for lo, hi in slices(off):
                 w = Words(raw, off[lo : hi + 1])
                 one, two = contexts(w)
+                after = next_words(w)
                 points = np.zeros(len(w.data) + 1, np.int64)
                 np.cumsum((w.data & 0xC0) != 0x80, out=points[1:])
                 digits = np.zeros(len(w.data) + 1, np.int64)
@@ -166,15 +186,16 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 np.cumsum(w.data == 64, out=ats[1:])
                 likely = (digits[w.end] - digits[w.start] >= LEAST_DIGITS) | (ats[w.end] > ats[w.start])
                 last, outside = marks(w)
-                base, n_base, found, n_found, starts = [], [], [], [], []
+                base, n_base, found, n_found, starts, ends = [], [], [], [], [], []
                 for r in range(hi - lo):
                     s, e = int(w.off[r]), int(w.off[r + 1])
                     spans, mine = [], []
                     if digits[e] > digits[s] or ats[e] > ats[s]:
                         text = w.data[s:e].tobytes()
                         spans = base_spans(text)
-                        mine = [(a, z, k, text[a:z]) for a, k, z in spans]
-                        taken = sorted((a, z) for a, _, z in spans)
+                        seeds = spans + secret_spans(text)
+                        mine = [(a, z, k, text[a:z]) for a, k, z in seeds]
+                        taken = sorted((a, z) for a, _, z in seeds)
                         for i in range(int(w.first[r]), int(w.first[r + 1])) if likely[w.first[r] : w.first[r + 1]].any() else ():
                             if likely[i]:
                                 for core in CORE.finditer(text, int(w.start[i]) - s, int(w.end[i]) - s):
@@ -188,22 +209,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     base += [(int(points[s + a]) - p0, k, int(points[s + z]) - p0) for a, k, z in spans]
                     for a, z, k, what in mine:
                         starts.append(s + a)
+                        ends.append(s + z)
                         found.append((int(points[s + a]) - p0, int(points[s + z]) - p0, k, what.decode("utf-8", "replace")))
                 left = left_of(w, one, two, np.array(starts, np.int64), last, outside)[:2]
+                right = after[np.searchsorted(w.start, np.array(ends, np.int64) - 1, "right") - 1]
                 column = lambda rows, i, t: pa.array([x[i] for x in rows], t)
                 lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0).slice(lo, hi - lo),
                     b.column(1).slice(lo, hi - lo),
+                    b.column(2).slice(lo, hi - lo),
                     lists(n_base, pa.StructArray.from_arrays([column(base, i, pa.int32()) for i in range(3)], ["start", "kind", "end"])),
-                    lists(n_found, pa.StructArray.from_arrays([*(column(found, i, t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()))), *(pa.array(x.view(np.int64)) for x in left)], ["start", "end", "kind", "what", "one", "two"])),
-                ], names=["doc_id", "own", "base", "found"])
+                    lists(n_found, pa.StructArray.from_arrays([*(column(found, i, t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()))), *(pa.array(x.view(np.int64)) for x in (*left, right))], ["start", "end", "kind", "what", "one", "two", "right"])),
+                ], names=["doc_id", "own", "other", "base", "found"])
 
-    return docs.mapInArrow(run, "doc_id long, own long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,kind:int,what:string,one:long,two:long>>")
+    return docs.mapInArrow(run, "doc_id long, own long, other long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,kind:int,what:string,one:long,two:long,right:long>>")
 
 
 def count_contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(pattern, n): how often each left context, of a word or of a core inside one, that the bitmap may hold occurs in (text)."""
+    """(pattern, n): how often each context, of a word or of a core inside one, that the bitmap may hold occurs in (text)."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def run(batches):
@@ -222,7 +246,7 @@ def count_contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 w = Words(raw, off[lo : hi + 1])
                 one, two = contexts(w)
                 more = left_of(w, one, two, core_starts(w), *marks(w))
-                for pattern in (one, two, more[0][more[2]], more[1][more[2]]):
+                for pattern in (one, two, next_words(w), more[0][more[2]], more[1][more[2]]):
                     at = (pattern % np.uint64(BITMAP_BITS)).astype(np.int64)
                     held.append(pattern[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1])
                 if sum(map(len, held)) > 2_000_000:
@@ -242,19 +266,31 @@ def bitmap_of(patterns: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base and spans (arrays of start, kind index into KINDS, end; code points, end exclusive), a row for each row of `docs`.
+def own_hashes(key: str, text: str) -> list[Column]:
+    """Two hashes that stand for a row."""
+    return [F.xxhash64(key, text), F.xxhash64(text, F.lit(1), key)]
+
 
-    Null and empty texts have no spans; rows alike in key and text get the same spans; texts are read whole; null keys are
-    allowed; other columns are ignored; an empty table gives an empty result.
+def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: list[int] | None = None) -> DataFrame:
+    """doc_id, own, other (hashes of the row), base and spans (arrays of start, kind index into KINDS, end; code points, end exclusive), a row for each row of `docs`.
+
+    Null and empty texts have no spans; rows alike in key and text get the same spans (and each counts); texts are read whole; null keys are
+    allowed; of kinds that tie for a span the first one holds; other columns are ignored; an empty table gives an empty result. `rounds`, if given, is told
+    how many distinct instances each round has labelled.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    source = docs.select(F.col(key).alias("doc_id"), F.xxhash64(key, text).alias("own"), F.col(text).alias("text"))
+    own, other = own_hashes(key, text)
+    source = docs.select(F.col(key).alias("doc_id"), own.alias("own"), other.alias("other"), F.col(text).alias("text"))
     read = scratch.table(occurrences(source))
-    flat = read.select("own", F.explode("found").alias("x")).select("own", "x.*").distinct()
-    flat = scratch.table(flat.withColumn("seed", F.col("kind") >= 0).withColumn("inst", F.xxhash64("what")).drop("what"))
+    flat = read.select("own", "other", F.explode("found").alias("x")).select("own", "other", "x.*")
+    flat = flat.groupBy(*flat.columns).agg(F.count("*").alias("times"))  # repeated rows
+    flat = scratch.table(flat.withColumn("seed", F.col("kind").between(0, BASE_KINDS - 1)).withColumn("inst", F.xxhash64("what")).drop("what"))
+    labelled = lambda flat, best: flat.join(best, F.col("inst") == F.col("i"), "left").withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("as", F.lit(-1))).otherwise(F.col("kind"))).drop("i", "as")
+    # a seed is one wherever it stands
+    read_, flat = flat, scratch.table(labelled(flat, flat.filter("kind >= 0").groupBy(F.col("inst").alias("i")).agg(F.min("kind").alias("as"))))
+    scratch.drop(read_)
     while not flat.filter("kind < 0").isEmpty():  # labels only grow, so this ends
-        edges = flat.select("inst", "kind", F.explode(F.array("one", "two")).alias("pattern")).groupBy("pattern", "kind", "inst").agg(F.count("*").alias("n"))
+        edges = flat.select("inst", "kind", "times", F.explode(F.array("one", "two", "right")).alias("pattern")).groupBy("pattern", "kind", "inst").agg(F.sum("times").alias("n"))
         edges = scratch.table(edges)
         known = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("hits"))
         known = scratch.table(known.filter(F.col("support") >= LEAST_SUPPORT))
@@ -264,18 +300,20 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
         scored = edges.filter("kind < 0").select("pattern", "inst").join(sure.select("pattern", F.col("kind").alias("as"), "confidence"), "pattern").groupBy("inst", "as").agg(score.alias("score"))
         best = scored.groupBy("inst").agg(F.max(F.struct("score", -F.col("as"))).alias("b")).select("inst", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("as")).filter(F.col("score") >= LEAST_SCORE)
         best = scratch.table(best.select(F.col("inst").alias("i"), "as"))
-        if best.isEmpty():
+        n = best.count()
+        if rounds is not None:
+            rounds.append(n)
+        if not n:
             break
-        before, joined = flat, flat.join(best, F.col("inst") == F.col("i"), "left")
-        flat = scratch.table(joined.withColumn("kind", F.when(F.col("kind") < 0, F.coalesce("as", F.lit(-1))).otherwise(F.col("kind"))).drop("i", "as"))
+        before, flat = flat, scratch.table(labelled(flat, best))
         scratch.drop(before, edges, known, best)
     scratch.keep(read, flat)
-    new = flat.filter("not seed and kind >= 0").groupBy(F.col("own").alias("o")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("more"))
+    new = flat.filter("not seed and kind >= 0").groupBy(F.col("own").alias("o"), F.col("other").alias("p")).agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     # a part of a longer span says nothing more
     new = new.withColumn("more", F.expr("filter(more, x -> not exists(more, y -> y.start <= x.start and x.end <= y.end and y.end - y.start > x.end - x.start))"))
-    out = read.join(new, F.col("own") == F.col("o"), "left")
+    out = read.join(new, (F.col("own") == F.col("o")) & (F.col("other") == F.col("p")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
-    return out.select("doc_id", "own", "base", spans.alias("spans"))
+    return out.select("doc_id", "own", "other", "base", spans.alias("spans"))
 
 
 def written(spans):
@@ -286,28 +324,35 @@ def written(spans):
 def report(found: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, digest of the base spans and all spans as text."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *map(count, range(4)), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, range(BASE_KINDS)), F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def mask_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with each span of personal data in `text` replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = find_personal_data(docs, key, text).filter(F.size("spans") > 0).select(F.col("own").alias("_own"), F.col("spans").alias("_spans")).dropDuplicates(["_own"])
+    """`docs` with each span of personal data in `text` replaced by its kind in brackets; overlapping spans become one, named by the first.
+
+    Null, empty and clean texts stay as they are; repeated rows are masked alike; long texts are masked whole; null keys are allowed; all columns stay,
+    whatever their names; an empty table gives an empty result.
+    """
+    mine, mine_too, theirs, theirs_too, found_at = free_names(docs, "mine", "mine_too", "theirs", "theirs_too", "found")
+    found = find_personal_data(docs, key, text).filter(F.size("spans") > 0).groupBy(F.col("own").alias(theirs), F.col("other").alias(theirs_too)).agg(F.first("spans").alias(found_at))
     columns = docs.columns
-    joined = docs.withColumn("_key", F.xxhash64(key, text)).join(found, F.col("_key") == F.col("_own"), "left").drop("_key", "_own")
+    own, other = own_hashes(key, text)
+    joined = docs.withColumn(mine, own).withColumn(mine_too, other).join(found, (F.col(mine) == F.col(theirs)) & (F.col(mine_too) == F.col(theirs_too)), "left")
     at, spans_at = columns.index(text), len(columns)
 
     def run(batches):
-        for b in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
-            made = []
-            for t, spans in zip(b.column(at).to_pylist(), b.column(spans_at).to_pylist()):
-                if t and spans:
-                    parts, end = [], 0
-                    for s in spans:
-                        if s["start"] >= end:
-                            parts += [t[end : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                        end = max(end, s["end"])
-                    t = "".join([*parts, t[end:]])
-                made.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else b.column(i) for i in range(len(columns))], names=columns)
-
-    return joined.select(*columns, "_spans").mapInArrow(run, docs.schema)
+        for b in batches:
+            for lo, hi in slices(utf8(b.column(at))[1]):
+                part, made = b.slice(lo, hi - lo), []
+                for t, spans in zip(part.column(at).to_pylist(), part.column(spans_at).to_pylist()):
+                    if t and spans:
+                        parts, end = [], 0
+                        for s in spans:
+                            if s["start"] >= end:
+                                parts += [t[end : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
+                            end = max(end, s["end"])
+                        t = "".join([*parts, t[end:]])
+                    made.append(t)
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else part.column(i) for i in range(len(columns))], names=columns)
+
+    return joined.select(*columns, found_at).mapInArrow(run, docs.schema)
