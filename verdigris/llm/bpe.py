@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.llm.common import slices, utf8
+
 #: The vocabulary is broadcast; a larger file is refused.
 MAX_VOCAB_BYTES = 64 << 20
 #: Pieces longer than this are never kept in the piece cache; it and the tables of judged pairs and of shared prefixes are emptied at so many entries.
 MAX_CACHED_PIECE, MAX_CACHED, MAX_PAIRS, MAX_PREFIXES = 64, 100_000, 300_000, 200_000
 NONE = 1 << 62
+#: Bytes of text encoded or decoded at a time, one text at least.
+SLICE_BYTES = 1 << 20
 
 
 class PrefixBPE:
@@ -218,10 +223,13 @@ class PieceCache(dict):
 
 
 def encoder(rank_file: bytes, pattern: str):
-    """text -> int32 bytes of its ids. Kept in the worker process between tasks."""
-    kept = sys.modules["regex"].__dict__.setdefault("_verdigris_encoders", {})
+    """text -> int32 bytes of its ids. The last one is kept in the worker process between tasks, in a module of its own, as functions that
+    travel with a plan bring their globals along anew."""
+    kept = sys.modules.setdefault("_verdigris_worker", ModuleType("_verdigris_worker")).__dict__
     key = (hash(rank_file), pattern)
     if key not in kept:
+        for other in [k for k in kept if isinstance(k, tuple)]:
+            del kept[other]
         kept[key] = (PieceCache(PrefixBPE(rank_file)), regex.compile(pattern).findall)
     cache, split = kept[key]
     get = cache.__getitem__
@@ -255,8 +263,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     def run(batches):
         encode, _ = encoder(sent.value, pattern)
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo, hi in slices(utf8(b.column(at))[1], SLICE_BYTES):
+                part = b.slice(lo, hi - lo)
                 out = [encode(t) for t in part.column(at).to_pylist()]
                 values = np.frombuffer(b"".join(out), np.int32)
                 offsets = np.zeros(len(out) + 1, np.int32)
@@ -268,7 +276,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """All columns of `docs` and `out` (binary): the bytes of the ids. Null ids give null; ids outside the vocabulary raise."""
+    """All columns of `docs` and `out` (binary): the bytes of the ids.
+
+    Null ids give null, no ids give no bytes, ids outside the vocabulary raise; rows of any length are decoded whole; repeated rows are decoded
+    alike; a column named as `out` is replaced; an empty table gives an empty result.
+    """
     docs = docs.drop(out)
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     at = docs.columns.index(ids)
@@ -277,14 +289,18 @@ def decode_documents(docs: DataFrame, vocabulary: str, ids: str = "ids", out: st
     def run(batches):
         data, start, size = token_bytes(sent.value)
         for b in batches:
-            for lo in range(0, b.num_rows, 100):
-                part = b.slice(lo, 100)
+            rows = np.concatenate([[0], np.cumsum(b.column(at).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            for lo, hi in slices(rows, SLICE_BYTES // 4):
+                part = b.slice(lo, hi - lo)
                 column = part.column(at)
                 ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 lens = size[ids]
                 ends = np.zeros(len(ids) + 1, np.int64)
                 np.cumsum(lens, out=ends[1:])
-                text = data[np.repeat(start[ids] - ends[:-1], lens) + np.arange(ends[-1])]
+                text = np.empty(ends[-1], np.uint8)
+                for i in range(0, len(ids), SLICE_BYTES // 4):  # a long text's indices in parts
+                    j = min(i + SLICE_BYTES // 4, len(ids))
+                    text[ends[i] : ends[j]] = data[np.repeat(start[ids[i:j]] - ends[i:j], lens[i:j]) + np.arange(ends[i], ends[j])]
                 rows = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
                 made = pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends[rows]), pa.py_buffer(text)])
                 if column.null_count:
