@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from verdigris.llm.bpe import read_vocabulary
-from verdigris.llm.common import list_array
+from verdigris.llm.bpe import SLICE_BYTES, read_vocabulary
+from verdigris.llm.common import list_array, slices, utf8
 
 SCHEMA = "shard long, pack int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<int>"
 NAMES = [x.strip().split()[0] for x in SCHEMA.split(",")]
@@ -84,9 +84,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, length: int =
     """Packed rows of SCHEMA.
 
     ids: `length` ids as little-endian uint16 (uint32 for vocabularies over 65,535), filled up with `pad` (by default the first
-    free id); cu_seqlens: 0 and the cumulative lengths of the row's segments; position_resets: the position at which each segment starts counting (0, or
-    where a split document goes on); doc_ids and doc_offsets: whose tokens a segment holds and from which token on. Null and empty texts have no tokens and so no segment;
-    a null key is written as null; repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
+    free id); cu_seqlens: 0 and the cumulative lengths of the row's segments; position_resets: the places in the row at which positions
+    start at 0 again, one for each segment; doc_ids and doc_offsets: whose tokens a segment holds and from which token on. Null and empty texts have no tokens and so no segment;
+    a null key is written as null; which segments share a row, and how many rows a task leaves not quite full, follows the partitions of `docs`; repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
@@ -131,14 +131,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, length: int =
                     pa.array(used.astype(np.int32)),
                     pa.array([g.tobytes() for g in grid], pa.binary()),
                     list_array(cu, counts + 1),
-                    list_array(offset[segs].astype(np.int32), counts),
+                    list_array((begins - row_start[row]).astype(np.int32), counts),
                     docs_of,
                     list_array(offset[segs].astype(np.int32), counts),
                 ], names=NAMES)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
+            for lo, hi in slices(utf8(b.column(1))[1], SLICE_BYTES):
+                part = b.slice(lo, hi - lo)
                 for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = encode(t, disallowed_special=()) if t else ()
                     if len(ids):
