@@ -115,18 +115,20 @@ class RuleTable:
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, int]], url: str = "url") -> DataFrame:
     """All columns of `pages` and host, path, rule, score (of the classifier, null where a rule decides), verdict (allow or block).
 
-    Null urls and those without `://` have empty host and path and are judged by the classifier on those. Every url is
-    read whole; repeated rows are judged alike; an empty table gives an empty result; columns named as the new ones are replaced.
+    Null urls and those without `://` have empty host and path and are judged by the classifier on those. Of rules that tie in length the first listed wins. Every url is
+    read whole, however long; repeated rows are judged alike; an empty table gives an empty result; columns named as the new ones are replaced.
     """
     pages = pages.drop("host", "path", "rule", "score", "verdict")
     table, model = RuleTable(rules), UrlClassifier(labelled)
-    sent = pages.sparkSession.sparkContext.broadcast((table, model))
+    # plain values, so that workers need not have this module
+    sent = pages.sparkSession.sparkContext.broadcast((table.by_host, model.weights, model.bias))
     at, n = pages.columns.index(url), len(pages.columns)
     names = [*pages.columns, "host", "path", "rule", "score", "verdict"]
     schema = pages.select("*", *(F.lit(None).cast(t).alias(c) for c, t in zip(names[n:], ("string", "string", "string", "double", "string")))).schema
 
     def run(batches):
-        table, model = sent.value
+        table, model = RuleTable([]), UrlClassifier([])
+        table.by_host, model.weights, model.bias = sent.value
         for b in batches:
             out = []
             for u in b.column(at).to_pylist():
