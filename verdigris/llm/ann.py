@@ -161,12 +161,14 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, key: str = "vec
     x = np.array(sample["v"].tolist(), np.float64)
     tree = KMeansTree(x)
     share = calibrate(tree, x, top)
-    sent = spark.sparkContext.broadcast(tree)
+    sent = spark.sparkContext.broadcast(tree.__dict__)  # plain values, so that workers need not have this module
     columns = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("q", T.BooleanType()), T.StructField("leaf", T.LongType())])
 
     def assigned(batches):
+        tree = object.__new__(KMeansTree)
+        tree.__dict__.update(sent.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.assign(matrix(b.column(1))) if b.num_rows else np.zeros(0, np.int64))], names=columns.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.assign(matrix(b.column(1))) if b.num_rows else np.zeros(0, np.int64))], names=columns.names)
 
     placed = scratch.table(rows.mapInArrow(assigned, columns))
     # as many rows as leaves, whose number the sample bounds
@@ -178,7 +180,8 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, key: str = "vec
     at_block = T.StructType([T.StructField(n, t) for n, t in (("leaf", T.LongType()), ("block", T.LongType()), ("id", T.LongType()), ("v", T.ArrayType(T.DoubleType())), ("is_query", T.BooleanType()))])
 
     def visits(batches):
-        tree, (size, blocks) = sent.value, known.value
+        tree, (size, blocks) = object.__new__(KMeansTree), known.value
+        tree.__dict__.update(sent.value)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
