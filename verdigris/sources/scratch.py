@@ -10,10 +10,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: As many buckets as Spark allows by default.
+MAX_BUCKETS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, else (unset, as in tests) a temporary one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a local session (as in tests) gets a temporary one; on a cluster that would be a folder of each machine, so it raises.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark, "_own_checkpoint_dir", None) or tempfile.mkdtemp(prefix="verdigris-")
         spark._own_checkpoint_dir = found
     return found.rstrip("/")
@@ -37,11 +47,11 @@ class Scratch:
         out._scratch = path
         return out
 
-    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
-        """A table whose rows are dealt by `key` as a shuffle would deal them, so that joins on the key leave it where it is."""
+    def bucketed(self, df: DataFrame, key: str, least: int = 1) -> DataFrame:
+        """A table whose rows are dealt by `key` as a shuffle would deal them, over `least` buckets at least, so that joins on the key leave it where it is."""
         self.made += 1
         path, name = f"{self.root}/{self.made}", f"verdigris_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(max(least, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), MAX_BUCKETS)
         df.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         self.paths[self.made], self.names[path] = path, name
