@@ -34,6 +34,10 @@ def test_outcomes_of_the_gate(spark, tmp_path):
     assert run(ask | {"prior": {"head_sha": "s", "verdict": "block"}})["replayed"] and run(ask | {"prior": {"head_sha": "s", "verdict": "block"}, "reason": "flaky"}).get("replayed") is None
     assert run(cap=0.1)["outcome"] == "error" and "judge errors" in run(cand=results(spark, "c", lambda i, k: True, errors=5))["message"]
     assert orchestrate.equal_sides([(base, base)], 100, 1)["passed"]
+    assert "Success of the base" in out["report"] and "holds no agreement" in out["report"] and "Hash of rubric" in out["report"]
+    made = gate.write_outcome(spark, str(tmp_path / "out"), out)
+    assert [m.rsplit("/", 1)[-1] for m in made] == ["gate.json", "comment.md"] and (tmp_path / "out/comment.md").read_text() == out["report"]
+    assert transcripts.read_json(spark, made[0])["outcome"] == "block"
 
 
 @pytest.mark.parametrize(("judge", "want"), [("agrees", True), ("contrary", False), ("long", False)])
@@ -59,7 +63,13 @@ def test_report_drops_tag_rows_that_do_not_fit():
     tags = [{"tag": f"tag{i}" * 20, "n": 1, "delta": 0.01, "lo": 0.0, "hi": 0.1, "flagged": False} for i in range(900)]
     out = gate.render(result, tags, [], {})
     assert len(out) < gate.MOST_CHARS and "more tags" in out and gate.replay_note(gate.replay_note("x")) == gate.replay_note("x")
-    assert gate.axis(-20, -10, -15, 2)[0].count("o") == 1
+    assert len(gate.fitting(["x" * 9] * 5, 30, lambda n: f"{n}")) == 3 and gate.fitting(["x"], 5, str) == ["x"] and gate.fitting(["x" * 9], 5, str) == ["1"]
+    drawn = gate.bars(gate.interval(-20, 10, -5, 2), 20)
+    assert [x.count("<") - x.count(">") for x in drawn] == [-10, 5, 20, 2] and len({x.index("|") for x in drawn}) == 1
+    assert [t["tag"] for t in gate.largest([{"tag": t, "delta": x} for t, x in (("a", 0.1), ("b", -0.2), ("c", 0.2))], 2)] == ["b", "c"]
+    own = [{"author": "bot", "body": out}, {"author": "you", "body": out}, {"author": "bot", "body": None}]
+    assert gate.own_comments(own, "bot") == own[:1] and "no certificate" in gate.certificate_line(None)
+    assert gate.certificate_line({"certified": True, "created_at": "d", "n_labels": 40, "agreement": {"kappa": {"point": 0.966, "lo": 0.908}}}) == "Judge certified on d: kappa 0.97 (at least 0.91) from 40 labels."
 
 
 def test_files_and_pages(spark, tmp_path):
@@ -97,3 +107,38 @@ def test_calls_batches_and_stable_files(spark, tmp_path):
     assert path.read_bytes() == b'{"id":"a","input":"good","n":null}\n{"id":"b","input":"bad","n":null}\n'
     v = spark.range(1).select(st.analytic_verdict(F.lit(-0.1), F.lit(0.28), F.lit(149)).alias("a"), st.analytic_verdict(F.lit(-0.03), F.lit(0.45), F.lit(300)).alias("b")).first()
     assert (v["a"], v["b"]) == ("block", "warn") and files.new_run_id("r").startswith("r20")
+
+
+def test_grids_hashes_prompts_and_numbers(spark, tmp_path):
+    from verdigris.functions import scoring
+    from verdigris.operators import judging, pairing, quality
+    from verdigris.operators import statistics as st
+
+    tasks = spark.createDataFrame([(f"t{i}",) for i in range(3)], "id string")
+    grid = judging.runs_of(spark.createDataFrame([("a",), ("b",), ("a",)], "variant string"), tasks, 2).collect()
+    assert len(grid) == len(set(grid)) == 12
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "system.md").write_text(folder)
+    same = [str(tmp_path / f / "system.md") for f in ("one", "two")]
+    assert files.file_hash(spark, same) != files.file_hash(spark, same[::-1]) and len(set(files.input_hashes(spark, {"a": same[:1], "b": same[1:]}).values())) == 2
+    (tmp_path / "answer.md").write_text("answer it\n")
+    assert files.load_prompt(str(tmp_path), "one") == "one\n\nanswer it\n"
+    numbered = quality.numbered(spark.range(100, 300).repartition(5).withColumnRenamed("id", "k"), "k", "dev", 7).orderBy("k").collect()
+    assert [r["id"] for r in numbered] == [f"dev-{i:04d}" for i in range(8, 208)]
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(st.thresholded_mde(F.lit(0.28), F.lit(149)).alias("a"), st.thresholded_mde(F.lit(0.08), F.lit(149)).alias("b"), judging.self_preference(F.lit("x/Name-4"), F.lit("name-9")).alias("c")).first()
+    assert abs(row["a"] - 0.0643) < 2e-4 and abs(row["b"] - 0.0255) < 2e-4 and row["c"]
+    assert {"answer_match", "gold_retrieval", "citations_scored", "abstention", "to_judge"} <= set(scoring.SCORERS)
+    one, two = spark.createDataFrame([("a", True), ("b", None), ("c", True)], "task_id string, success boolean"), spark.createDataFrame([("a", False), ("b", True), ("d", True)], "task_id string, success boolean")
+    assert sorted(r["task_id"] for r in pairing.dropped(pairing.paired(one, two)).collect()) == ["b", "c", "d"]
+
+
+def test_a_wrong_number_spoils_a_whole_number_only(spark):
+    from verdigris.operators import judging
+
+    kind = "example_id string, reference string, answer string, citations array<string>, synthetic string"
+    rows = spark.createDataFrame([("a", "25 days", "25.5 kg and 25 days", [], None), ("b", "25 days", "it was 1.25 only", [], None)], kind)
+    docs = spark.createDataFrame([], "id string, text string, body string")
+    assert [r["answer"] for r in judging.corrupted(rows, docs, "wrong_number", "").collect()] == ["25.5 kg and 32 days"]

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.functions import parsing, text
+
 
 def sample_status(error: Column, limit: Column, tool_calls: Column, final: Column, most_calls: int) -> Column:
     """First that applies: error, timeout, limit, format_error, ok."""
@@ -67,3 +69,32 @@ def scorer(name: str):
 def score(samples: DataFrame, *names: str) -> DataFrame:
     """samples with a column for each registered scorer (all, unless named)."""
     return samples.withColumns({n: SCORERS[n]() for n in names or SCORERS})
+
+
+@scorer("answer_match")
+def answer_match() -> Column:
+    """Whether the final answer matches the reference; abstaining never does."""
+    return F.coalesce(text.match_answer(F.col("final.answer"), F.col("reference"), F.col("answer_kind")), F.lit(False)) & ~F.coalesce(F.col("final.abstain"), F.lit(False))
+
+
+@scorer("gold_retrieval")
+def gold_retrieval() -> Column:
+    """Whether a gold document was fetched."""
+    return F.arrays_overlap(parsing.fetched_documents(F.col("messages")), F.col("gold_doc_ids"))
+
+
+@scorer("citations_scored")
+def citations_scored() -> Column:
+    """Precision and recall of the citations; `corpus` holds the known ids."""
+    return parsing.citation_scores(F.coalesce(F.col("final.citations"), F.array().cast("array<string>")), F.col("gold_doc_ids"), F.col("corpus"))
+
+
+@scorer("abstention")
+def abstention() -> Column:
+    return F.coalesce(F.col("final.abstain"), F.lit(False))
+
+
+@scorer("to_judge")
+def to_judge() -> Column:
+    """Whether only a judge can tell: free text, parsed, not abstaining."""
+    return (F.col("answer_kind") == "free_text") & F.col("final").isNotNull() & ~F.coalesce(F.col("final.abstain"), F.lit(False))

@@ -75,8 +75,8 @@ def fact_sentences(body: Column, boilerplate: list[str]) -> Column:
 
 
 def length_x(perturbed: Column, original: Column) -> Column:
-    """Change of length in units of +50 %."""
-    return F.log(F.length(perturbed) / F.length(original)) / F.log(F.lit(1.5))
+    """Change of length in units of +50 %; null for an empty original."""
+    return F.log(F.length(perturbed) / F.nullif(F.length(original), F.lit(0))) / F.log(F.lit(1.5))
 
 
 def kind_of(doc_id: Column) -> Column:

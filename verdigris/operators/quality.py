@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from verdigris.functions.text import normalize
 from verdigris.operators.similarity import near_duplicates
 from verdigris.operators.statistics import wilson
 from verdigris.sources import schemas
+from verdigris.sources.scratch import Scratch
 
 
 def quota(share, size: int):
@@ -55,11 +57,21 @@ def noise_floor(verdicts: DataFrame) -> DataFrame:
     return s.select("split", "n", (F.col("k") / F.col("n")).alias("rate"), lo.alias("lo"), hi.alias("hi"))
 
 
+def numbered(rows: DataFrame, order: str, prefix: str, start: int) -> DataFrame:
+    """rows with id `prefix-0001` and so on in ascending order of a unique column, after the first `start` numbers.
+
+    Rows are sorted over all partitions; each adds the rows of those before it, whose counts (a number a partition) are all that comes together.
+    """
+    spark = rows.sparkSession
+    placed = Scratch(spark, "numbered").table(rows.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+    number = F.coalesce("_before", F.lit(0)) + F.col("_at") + 1 + start
+    return placed.join(F.broadcast(parts), "_part").withColumn("id", F.format_string("%s-%04d", F.lit(prefix), number)).drop("_part", "_n", "_before", "_at")
+
+
 def accept_drafts(drafts: DataFrame, docs: DataFrame, in_force: DataFrame, taken: DataFrame, split: str, prefix: str, want: dict[str, int]) -> DataFrame:
     """Drafts (ord, type, input, reference, gold_doc_ids, answer_kind) that become tasks: known gold, conflicting ones with a single document in force,
     a new normalised input, valid, and the first `want` of each type; numbered after those of `taken`."""
-    from pyspark.sql import Window as W
-
     rows = drafts.withColumn("split", F.lit(split)).withColumn("gold_doc_ids", F.coalesce("gold_doc_ids", F.array().cast("array<string>"))).withColumn("norm", normalize(F.coalesce("input", F.lit(""))))
     gold = rows.select("ord", F.explode("gold_doc_ids").alias("g"))
     kinds = gold.join(docs.select(F.col("id").alias("g"), "kind"), "g", "left").groupBy("ord").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.count_if(F.col("kind").isNull()).alias("unknown"))
@@ -73,15 +85,11 @@ def accept_drafts(drafts: DataFrame, docs: DataFrame, in_force: DataFrame, taken
     rows = rows.withColumn("_f", first).filter("_f = 1")
     limit = F.create_map(*[F.lit(x) for kv in want.items() for x in kv])
     rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("type").orderBy("ord"))).filter(F.col("_n") <= F.coalesce(F.element_at(limit, F.col("type")), F.lit(0)))
-    start = taken.count()
-    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("ord")) + start
-    return rows.withColumn("id", F.format_string("%s-%04d", F.lit(prefix), number)).select("id", "input", "reference", "gold_doc_ids", "type", "answer_kind", "tags", "split")
+    return numbered(rows, "ord", prefix, taken.count()).select("id", "input", "reference", "gold_doc_ids", "type", "answer_kind", "tags", "split")
 
 
 def spot_check(tasks: DataFrame, verdicts: DataFrame, fixes: DataFrame, split: str, want: dict[str, int]) -> DataFrame:
     """Tasks after a human check: dropped ones go, fixed ones (same id, TASK columns) replace theirs, the first `want` of each type stay."""
-    from pyspark.sql import Window as W
-
     bad = verdicts.filter((F.col("split") == split) & (F.col("verdict") == "dropped")).select(F.col("task_id").alias("id"))
     left = tasks.join(bad, "id", "left_anti").join(fixes.select("id"), "id", "left_anti").unionByName(fixes.join(tasks.select("id"), "id", "left_semi"))
     limit = F.create_map(*[F.lit(x) for kv in want.items() for x in kv])

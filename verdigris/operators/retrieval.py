@@ -13,24 +13,28 @@ K1, B, TOP, SNIPPET = 1.5, 0.75, 5, 200
 
 
 class Index:
-    """Postings (term, doc_id, tf, len), terms (term, df) and the corpus size of documents (doc_id, body)."""
+    """Documents (doc_id, body) as lists of terms, and the size of the corpus; postings and document frequencies are made for the terms that are asked for."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", body: str = "body"):
-        lists = docs.select(F.col(key).alias("doc_id"), tokens(F.col(body)).alias("t"))
-        self.sizes = lists.agg(F.count("*").cast("double").alias("n_docs"), (F.coalesce(F.sum(F.size("t")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
-        self.postings = lists.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-        self.terms = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        self.lists = docs.select(F.col(key).alias("doc_id"), tokens(F.col(body)).alias("t"))
+        self.sizes = self.lists.agg(F.count("*").cast("double").alias("n_docs"), (F.coalesce(F.sum(F.size("t")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(term, doc_id, tf, len) of the given terms only: others are left out before anything is counted."""
+        each = self.lists.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+        return each.join(terms, "term", "left_semi").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
 
     def search(self, queries: DataFrame, k: int = TOP) -> DataFrame:
         """query_id, rank, doc_id, score of (query_id, query): ties to the smaller doc_id; a repeated term counts each time.
 
-        Query terms are counted before the join, so each posting is read once a query, and only postings of asked terms are scored.
+        Query terms are counted before the join, so each posting is read once a query.
         """
         asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        # the document frequency only of terms that are asked for
-        weighted = asked.join(self.terms, "term").crossJoin(F.broadcast(self.sizes))  # one row
+        postings = self.postings(asked.select("term").distinct())
+        df = postings.groupBy("term").agg(F.count("*").alias("df"))
+        weighted = asked.join(df, "term").crossJoin(F.broadcast(self.sizes))  # one row
         idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        hits = weighted.withColumn("idf", idf).join(self.postings, "term")
+        hits = weighted.withColumn("idf", idf).join(postings, "term")
         norm = K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
         part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
         scored = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).filter(F.col("score") > 0)

@@ -18,8 +18,6 @@ Z975, Z80 = NormalDist().inv_cdf(0.975), NormalDist().inv_cdf(0.8)
 NAN = float("nan")
 #: Cells of an index matrix that one slice of numpy resamples holds.
 SLICE_CELLS = 4_000_000
-#: The dense values of one sample are broadcast up to this many rows, else joined.
-MAX_BROADCAST_ROWS = 200_000
 
 
 def md5_index(seed: int, resample: Column, draw: Column, n: Column) -> Column:
@@ -54,6 +52,12 @@ def mde(sd: Column, n: Column) -> Column:
     return F.when(n > 0, F.lit(Z975 + Z80) * sd / F.sqrt(n)).otherwise(F.lit(NAN))
 
 
+def thresholded_mde(sd: Column, n: Column, eps_points: float = 2.0) -> Column:
+    """Least drop that the gate blocks with 80 % power: its bar is the wider of the threshold and what is significant."""
+    se = sd / F.sqrt(n)
+    return F.when(n > 0, F.greatest(F.lit(eps_points / 100), F.lit(Z975) * se) + F.lit(Z80) * se).otherwise(F.lit(NAN))
+
+
 def paired_bootstrap(deltas: DataFrame, resamples: int, seed: int, order: str = "task_id", value: str = "d") -> DataFrame:
     """One row: n, delta, sd, lo, hi, upper (97.5 %), p_neg, mde of paired differences."""
     base = deltas.agg(F.count(value).alias("n"), F.avg(value).alias("delta"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))

@@ -41,8 +41,8 @@ def r6(c, name):
 # --- runs and their comparison
 
 
-def runs(spark: SparkSession, d: str, keep: str = "true") -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "events").filter(keep).select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2).alias("side"), F.when(F.col("event_type") == "error", F.lit(False)).when(F.col("event_type") == "signup", F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("success"), F.col("event_id").alias("repeat"))
+def runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 2).alias("side"), F.when(F.col("event_type") == "error", F.lit(False)).when(F.col("event_type") == "signup", F.lit(None).cast("boolean")).otherwise(F.lit(True)).alias("success"), F.col("event_id").alias("repeat"))
     return rows.filter("side = 0"), rows.filter("side = 1")
 
 
@@ -50,10 +50,9 @@ def deltas(spark: SparkSession, d: str) -> DataFrame:
     return pairing.deltas(pairing.paired(*runs(spark, d)))
 
 
-PAIRS = """smp as (select user_id task_id, event_id % 2 side, case event_type when 'error' then cast(0 as double) when 'signup' then null else cast(1 as double) end ok, event_id from events where {keep}),
+ALL = """smp as (select user_id task_id, event_id % 2 side, case event_type when 'error' then cast(0 as double) when 'signup' then null else cast(1 as double) end ok, event_id from events),
  m as (select task_id, avg(case when side=0 then ok end) base, avg(case when side=1 then ok end) cand from smp group by task_id),
  d as (select cast(row_number() over (order by task_id) as bigint)-1 k, task_id, cand-base d from m where base is not null and cand is not null)"""
-ALL = PAIRS.format(keep="true")
 BOOT = f"""n as (select count(*) n from d),
  r as (select b.b, ('0x'||substr(md5('{SEED}-'||b.b||'-'||d.k),1,8))::BIGINT % (select n from n) k from (select unnest(range({RESAMPLES})) b) b cross join d),
  x as (select r.b, avg(d.d) m from r join d on d.k = r.k group by r.b)"""
@@ -70,9 +69,9 @@ def q_paired_deltas(spark, d):
     return pairing.paired(*runs(spark, d)).select("task_id", r6("base", "base"), r6("cand", "cand"), r6("d", "d"))
 
 
-@query(f"with {PAIRS.format(keep='event_id % 37 < 2')} select task_id from m where base is null or cand is null")
+@query(f"with {ALL} select task_id from m where base is null or cand is null")
 def q_dropped_tasks(spark, d):
-    return pairing.dropped(pairing.paired(*runs(spark, d, "event_id % 37 < 2")))
+    return pairing.dropped(pairing.paired(*runs(spark, d)))
 
 
 @query(f"with {ALL}, {BOOT} select round((select avg(d) from d),6) point, round(quantile_cont(m,0.025),6) lo, round(quantile_cont(m,0.975),6) hi from x")
@@ -104,13 +103,13 @@ def q_gate_verdict(spark, d):
     return bundle(spark, d).select("n", *(r6(c, c) for c in BUNDLE_COLUMNS), st.gate(F.col("delta"), F.col("upper")).alias("verdict"))
 
 
-TAGS = f"""with {ALL}, tags as (select distinct user_id task_id, event_type tag from events where event_id % 5 = 0 union select distinct user_id, 'h'||(hour(ts)%6) from events where event_id % 11 = 0),
+TAGS = f"""with {ALL}, tags as (select distinct user_id task_id, event_type tag from events union select distinct user_id, 'h'||(hour(ts)%6) from events),
  td as (select tag, d.task_id, d.d, cast(row_number() over (partition by tag order by d.task_id) as bigint)-1 k, count(*) over (partition by tag) n from tags join d on d.task_id=tags.task_id)"""
 
 
 def tags_of(spark, d):
     e = table(spark, d, "events")
-    t = e.filter("event_id % 5 = 0").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("tag")).unionByName(e.filter("event_id % 11 = 0").select(F.col("user_id").alias("task_id"), F.concat(F.lit("h"), F.hour("ts") % 6).alias("tag")))
+    t = e.select(F.col("user_id").alias("task_id"), F.explode(F.array("event_type", F.concat(F.lit("h"), F.hour("ts") % 6))).alias("tag"))
     return t.groupBy("task_id").agg(F.collect_set("tag").alias("tags"))
 
 
@@ -165,15 +164,14 @@ BM25 = """with toks as (select doc_id, regexp_extract_all(lower(text),'[a-z0-9]+
  sz as (select count(*)::double n_docs, coalesce(sum(len(t)),0)/greatest(count(*),1) avg_len from toks),
  post as (select doc_id, len, term, count(*) tf from (select doc_id, len(t) len, unnest(t) term from toks) group by all),
  df as (select term, count(*) df from post group by term),
- q as (select item_id query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text,' ')[1:5],' ')),'[a-z0-9]+')) term from benchmark),
+ q as (select item_id query_id, unnest(regexp_extract_all(lower(text),'[a-z0-9]+')) term from benchmark),
  qq as (select query_id, term, count(*) times from q group by all),
  s as (select query_id, doc_id, sum(times*ln(1+(n_docs-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(1-0.75+0.75*len/avg_len))) score from qq join df using(term) cross join sz join post using(term) group by all),
  k as (select *, row_number() over (partition by query_id order by round(score,9) desc, doc_id) rank from s where score>0)"""
 
 
 def questions(spark, d):
-    five = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), five.alias("query"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def bm25(spark, d):
@@ -188,7 +186,7 @@ def q_bm25_topk(spark, d):
 
 @query(
     BM25
-    + r""", h as (select k.query_id, k.doc_id, d.text body, array_to_string(string_split(b.text,' ')[1:5],' ') query from k join documents d on d.doc_id=k.doc_id join benchmark b on b.item_id=k.query_id where rank=1),
+    + r""", h as (select k.query_id, k.doc_id, d.text body, b.text query from k join documents d on d.doc_id=k.doc_id join benchmark b on b.item_id=k.query_id where rank=1),
  p as (select query_id, doc_id, query, unnest(string_split(body, chr(10))) p, generate_subscripts(string_split(body, chr(10)),1) i from h),
  o as (select *, len(list_intersect(list_distinct(regexp_extract_all(lower(p),'[a-z0-9]+')), list_distinct(regexp_extract_all(lower(query),'[a-z0-9]+')))) o from p),
  f as (select *, row_number() over (partition by query_id order by o desc, i) rn from o)
@@ -212,9 +210,9 @@ def q_effective_documents(spark, d):
     return retrieval.effective(o, "1996-01-01").select("doc_id")
 
 
-@query("with a as (select distinct l_orderkey*3 k from lineitem where l_linenumber=1) select k::varchar doc_id, coalesce(o_orderpriority, 'error: no document '||k) as text from a left join orders on o_orderkey=k")
+@query("with a as (select distinct l_orderkey*3 k from lineitem) select k::varchar doc_id, coalesce(o_orderpriority, 'error: no document '||k) as text from a left join orders on o_orderkey=k")
 def q_get_documents(spark, d):
-    asked = table(spark, d, "lineitem").filter("l_linenumber = 1").select((F.col("l_orderkey") * 3).cast("string").alias("doc_id")).distinct()
+    asked = table(spark, d, "lineitem").select((F.col("l_orderkey") * 3).cast("string").alias("doc_id")).distinct()
     docs = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_orderpriority").alias("text"))
     return retrieval.get_documents(asked, docs)
 
@@ -332,10 +330,9 @@ def q_partial_corr(spark, d):
     return st.partial_correlation(lengths(spark, d), "x", "y", "t").select(r6("partial_corr", "partial_corr"))
 
 
-@query("select doc_id, round(ln(length(text||' and more words follow here')::double/length(text))/ln(1.5),6) x from documents where length(text) > 0")
+@query("select doc_id, round(ln(length(text||' and more words follow here')::double/nullif(length(text),0))/ln(1.5),6) x from documents")
 def q_length_x(spark, d):
-    docs = table(spark, d, "documents").filter("length(text) > 0")
-    return docs.select("doc_id", r6(text.length_x(F.concat("text", F.lit(" and more words follow here")), F.col("text")), "x"))
+    return table(spark, d, "documents").select("doc_id", r6(text.length_x(F.concat("text", F.lit(" and more words follow here")), F.col("text")), "x"))
 
 
 # --- scores
@@ -379,9 +376,9 @@ def q_first_number(spark, d):
     return table(spark, d, "documents").select("doc_id", text.first_number(F.col("text")).alias("number"))
 
 
-@query("select p_partkey, abs(p_retailprice - (p_retailprice + (p_partkey%13-6)*0.002*p_retailprice)) <= greatest(0.005*abs(p_retailprice),0.01) ok from (select p_partkey, round(p_retailprice,2) p_retailprice from part where p_partkey%13 not in (3,4,8,9))")
+@query("select p_partkey, abs(p_retailprice - (p_retailprice + (p_partkey%13-6)*0.002*p_retailprice)) <= greatest(0.005*abs(p_retailprice),0.01) ok from (select p_partkey, round(p_retailprice,2) p_retailprice from part)")
 def q_numeric_match(spark, d):
-    p = table(spark, d, "part").filter("p_partkey % 13 not in (3,4,8,9)").withColumn("ref", F.round("p_retailprice", 2))
+    p = table(spark, d, "part").withColumn("ref", F.round("p_retailprice", 2))
     answer = F.concat(F.lit("It is $"), F.col("ref") + (F.col("p_partkey") % 13 - 6) * 0.002 * F.col("ref"), F.lit(" in all"))
     return p.select("p_partkey", text.match_answer(answer, F.col("ref").cast("string"), F.lit("numeric")).alias("ok"))
 
@@ -532,7 +529,7 @@ def q_power_mc(spark, d):
     return st.power_table(st.simulated(spark, [-8, -5, 0], 0.28, 149, 200, 300))
 
 
-@query()
+@query("select p_partkey, case when p_size % 5 = 0 then 'error: division by zero' else format('{:.10g}', p_size * (p_partkey + 2) - round(p_retailprice, 2) / (p_size % 5)) end answer from part")
 def q_safe_eval(spark, d):
     p = table(spark, d, "part")
     text_ = F.format_string("%s * (%s + 2) - %s / %s", "p_size", "p_partkey", F.round("p_retailprice", 2).cast("string"), F.col("p_size") % 5)
@@ -570,12 +567,9 @@ def q_render_document(spark, d):
     return render_documents(docs, "Acme").select("p_partkey", F.array_join(lines, "\n\n").alias("body"))
 
 
-@query("select format('dev-{:04d}', row_number() over (order by p_partkey)) id, p_partkey from part where p_size > 25")
+@query("select format('dev-{:04d}', row_number() over (order by p_partkey)) id, p_partkey from part")
 def q_sequential_ids(spark, d):
-    from pyspark.sql import Window as W
-
-    rows = table(spark, d, "part").filter("p_size > 25")
-    return rows.select(F.format_string("%s-%04d", F.lit("dev"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy("p_partkey"))).alias("id"), "p_partkey")
+    return quality.numbered(table(spark, d, "part"), "p_partkey", "dev", 0).select("id", "p_partkey")
 
 
 @query("select l_orderkey, array_to_string(list_concat(['lookup'], list_sort(list(distinct l_shipmode))),',') tags from (select l_orderkey, case l_linenumber%3 when 0 then 'hr' when 1 then 'org' else 'product' end l_shipmode from lineitem) group by l_orderkey")
@@ -603,9 +597,9 @@ def q_to_label(spark, d):
     return judging.to_label(table(spark, d, "documents").select(F.col("doc_id").alias("example_id")), done).select(F.col("example_id").alias("doc_id"))
 
 
-@query("with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^\\p{L}\\p{N}_\\s\\p{Z}]','','g'),'[\\s\\p{Z}]+',' ','g')) n from documents where n_chars < 3000) select doc_id, case when length(n)<5 then 1 else len(list_distinct(list_transform(generate_series(1,length(n)-4), lambda i: substr(n,i::int,5)))) end::bigint shingles from n")
+@query("with n as (select doc_id, trim(regexp_replace(regexp_replace(lower(text),'[^\\p{L}\\p{N}_\\s\\p{Z}]','','g'),'[\\s\\p{Z}]+',' ','g')) n from documents), c as (select doc_id, string_split(n, '') c from n) select doc_id, case when len(c)<5 then 1 else len(list_distinct(list_transform(generate_series(1,len(c)-4), lambda i: c[i]||c[i+1]||c[i+2]||c[i+3]||c[i+4]))) end::bigint shingles from c")
 def q_shingles(spark, d):
-    return table(spark, d, "documents").filter("n_chars < 3000").select("doc_id", F.size(text.shingles(text.normalize(F.col("text")))).cast("long").alias("shingles"))
+    return table(spark, d, "documents").select("doc_id", F.size(text.shingles(text.normalize(F.col("text")))).cast("long").alias("shingles"))
 
 
 @query("with s as (select user_id, event_id, row_number() over (partition by user_id order by md5('3-'||event_id), event_id) rn from events) select user_id, event_id from s where rn <= 3")

@@ -57,7 +57,8 @@ def run_gate(
         pairs = pairing.paired(base, cand)
         by_tag = [r.asDict() for r in st.per_tag(pairing.tag_deltas(pairs, tags), resamples, seed).orderBy("tag").collect()]  # a row a tag
         worst = [r.asDict() for r in pairing.worst(pairs, 5, cand.select("task_id", "repeat", "success", "trace_id")).orderBy("d", "task_id").collect()]
-        report = gate.render(result, by_tag, worst, request)
+        facts = {"Cost of the base": f"{cost:.2f} USD{' (from the cache)' if hit else ''}", "Judge errors": f"{wrong:.1%} of rows"} | {f"Hash of {k}": v for k, v in cert_inputs.items()}
+        report = gate.render(result, by_tag, worst, request | {"certificate": certificate, "facts": facts})
         return ended(result["verdict"], report=report, result=result, tags=by_tag, worst=worst, cache_hit=hit)
     except Exception as error:  # noqa: BLE001  a gate that fails says so instead of passing
         return ended("error", message=f"{type(error).__name__}: {error}")

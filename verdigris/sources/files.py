@@ -138,9 +138,25 @@ def read_config(path: str, required: Mapping[str, tuple[str, ...]]) -> dict:
 
 def file_hash(spark: SparkSession, paths: list[str]) -> str:
     """Hash of files' bytes in the given order."""
-    found = spark.read.format("binaryFile").load(paths).select("path", "content")
-    ordered = {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in found.collect()}  # sources and prompts: a few files
-    return "sha256:" + hashlib.sha256(b"".join(ordered[p.rsplit("/", 1)[-1]] for p in paths)).hexdigest()
+    parts = [spark.read.format("binaryFile").load(p).select(F.lit(i).alias("i"), "content") for i, p in enumerate(paths)]  # sources and prompts: a few files
+    found = sorted((r["i"], bytes(r["content"])) for part in parts for r in part.collect())
+    return "sha256:" + hashlib.sha256(b"".join(c for _, c in found)).hexdigest()
+
+
+def input_hashes(spark: SparkSession, folders: Mapping[str, list[str]]) -> dict[str, str]:
+    """Hash of each named list of files, such as the prompt, rubric, scorer and dataset that a certificate stands on, in the order of their paths."""
+    return {name: file_hash(spark, sorted(paths)) for name, paths in folders.items()}
+
+
+def load_prompt(folder: str, variant: str, parts: tuple[str, ...] = ("system", "answer")) -> str:
+    """The parts of a prompt variant, each from the variant's folder, else from the shared one, put together."""
+    from pathlib import Path
+
+    root, out = Path(folder), []
+    for part in parts:
+        own = root / variant / f"{part}.md"
+        out.append((own if own.exists() else root / f"{part}.md").read_text(encoding="utf-8").strip())
+    return "\n\n".join(out) + "\n"
 
 
 def content_hash(text: Column) -> Column:

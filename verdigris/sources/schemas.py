@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,12 +52,16 @@ def task_violations() -> Column:
     return F.filter(F.array(*(F.when(broken, F.lit(m)) for m, broken in rules.items())), lambda x: x.isNotNull())
 
 
+SIZES_SPEC = re.compile(r"\s*(?:(\w+)\s*=\s*0*([1-9][0-9]*)\s*)?(?:,|$)")
+
+
 def parse_split_sizes(spec: str) -> dict[str, int]:
-    """`gate=150,dev=50` over the default sizes."""
-    out = dict(SIZES)
-    for part in filter(None, (p.strip() for p in spec.split(","))):
-        name, eq, size = (x.strip() for x in part.partition("="))
-        if not eq or name not in SIZES or not size.isdigit() or int(size) == 0:
-            raise ValueError(f"not a split size: {part!r}")
-        out[name] = int(size)
-    return out
+    """`gate=150,dev=50` over the default sizes; empty parts are skipped."""
+    given, at = {}, 0
+    while at < len(spec):
+        part = SIZES_SPEC.match(spec, at)
+        if not part or part[1] not in (None, *SIZES):
+            raise ValueError(f"not a split size: {spec[at:]!r}")
+        given |= {part[1]: int(part[2])} if part[1] else {}
+        at = part.end()
+    return SIZES | given

@@ -36,14 +36,18 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
-def write_json(spark: SparkSession, path: str, document: dict) -> None:
-    """One JSON document, through the file system of the path."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One text, through the file system of the path."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray((json.dumps(document, indent=2) + "\n").encode()))
+    out.write(bytearray(text.encode()))
     out.close()
 
 
+def write_json(spark: SparkSession, path: str, document: dict) -> None:
+    write_text(spark, path, json.dumps(document, indent=2, default=str) + "\n")
+
+
 class Page(InputPartition):
     def __init__(self, number: int):
         self.number = number
