@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from functools import cached_property
 
@@ -51,6 +52,14 @@ def slices(off: np.ndarray, most: int = 1 << 18):
         lo = min(hi, n)
 
 
+def give_back() -> None:
+    """Hand memory that was freed back to the machine, as a worker lives on for later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads all bits of a uint64 array."""
     x = x ^ (x >> np.uint64(30))

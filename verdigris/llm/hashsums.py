@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import Scratch
+from verdigris.llm.common import Scratch, give_back
 
 #: Hashes asked for in a bucket: at most and at least, on average (the latter where there are more partitions than that).
 MOST, LEAST = 1 << 22, 1 << 16
@@ -73,6 +73,7 @@ def add_up(asked: DataFrame, scratch: Scratch, of: int = 0) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk")  # so that the order in which requests arrive decides nothing
         keys = [unpacked_sorted(k) for k in table["keys"].to_pylist()]
         size = np.array([len(k) for k in keys])
         every = np.concatenate(keys)
@@ -90,6 +91,8 @@ def add_up(asked: DataFrame, scratch: Scratch, of: int = 0) -> DataFrame:
         ends = np.cumsum(size)
         rows = [(np.packbits(first[e - n : e]).tobytes(), [packed(t[group[e - n : e]]) for t in totals]) for n, e in zip(size.tolist(), ends.tolist())]
         h = [len(at), int(totals[of].sum()), *(int((totals[of] == k).sum()) for k in (1, 2, 3, 4))]
+        del every, order, ranked, group, totals
+        give_back()
         return pa.Table.from_arrays([
             table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), pa.array([r[0] for r in rows], pa.binary()),
             pa.array([r[1] for r in rows], pa.list_(pa.binary())), pa.array([h, *[None] * (len(rows) - 1)], pa.list_(pa.int64())),

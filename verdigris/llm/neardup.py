@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import Scratch, Words, free_names, mix, slices, utf8
+from verdigris.llm.common import Scratch, Words, free_names, give_back, mix, slices, utf8
 
 SHINGLE, PERCENT = 3, 85
 MINIMA, BANDS = 6, 32
@@ -94,6 +94,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     band_lists.take(take),
                     pa.array([s.tobytes() for s in low], pa.binary()).take(take),
                 ], names=["doc_id", "digest", "n_shingles", "bands", "sig"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>, sig binary")
 

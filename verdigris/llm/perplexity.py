@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from verdigris.llm.common import LOWER, SPACE, Scratch, Words, distinct, free_names, mix, slices, utf8
+from verdigris.llm.common import LOWER, SPACE, Scratch, Words, distinct, free_names, give_back, mix, slices, utf8
 from verdigris.llm.hashsums import REQUEST, add_up, bucket_bits, by_chunk, histogram, joined, packed, packed_sorted, request_batch, requests, unpacked, unpacked_sorted
 
 ORDER, BITS = 4, 5
@@ -132,6 +132,7 @@ def count_spelling(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.
                 total[size + at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["what", "n"])
+        give_back()
 
     rows = docs.select(text).mapInArrow(run, "what int, n long").groupBy("what").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size + 0x110000, np.int64)
@@ -330,8 +331,10 @@ def scan(docs: DataFrame, model: Model, share: np.ndarray) -> DataFrame:
                 if sum(len(h[-1]) for h in held) >= CHUNK_WORDS:
                     yield chunk()
                     n_chunks += 1
+                    give_back()
         if held:
             yield chunk()
+        give_back()
 
     return docs.select("own", "other", "lang", "text").mapInArrow(run, CHUNK)
 
@@ -376,6 +379,7 @@ def of_chunks(chunks: DataFrame, columns: list[str], run, schema: str) -> DataFr
         for b in batches:
             for i in range(b.num_rows):
                 yield from run({c: b.column(j)[i].as_py() for j, c in enumerate(columns)})
+                give_back()
 
     return chunks.select(*columns).mapInArrow(go, schema)
 

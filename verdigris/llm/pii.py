@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import Scratch, Words, free_names, mix, slices, utf8
+from verdigris.llm.common import Scratch, Words, free_names, give_back, mix, slices, utf8
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The kinds of the base patterns come first.
@@ -222,6 +222,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     lists(n_base, pa.StructArray.from_arrays([column(base, i, pa.int32()) for i in range(3)], ["start", "kind", "end"])),
                     lists(n_found, pa.StructArray.from_arrays([*(column(found, i, t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.string()))), *(pa.array(x.view(np.int64)) for x in (*left, right))], ["start", "end", "kind", "what", "one", "two", "right"])),
                 ], names=["doc_id", "own", "other", "base", "found"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, own long, other long, base array<struct<start:int,kind:int,end:int>>, found array<struct<start:int,end:int,kind:int,what:string,one:long,two:long,right:long>>")
 
@@ -252,6 +253,7 @@ def count_contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 if sum(map(len, held)) > 2_000_000:
                     yield from counted()
         yield from counted()
+        give_back()
 
     return docs.mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
