@@ -25,7 +25,7 @@ from verdigris.llm.common import slices, utf8
 #: The vocabulary is broadcast; a larger file is refused.
 MAX_VOCAB_BYTES = 64 << 20
 #: Pieces longer than this are never kept in the piece cache; it and the tables of judged pairs and of shared prefixes are emptied at so many entries.
-MAX_CACHED_PIECE, MAX_CACHED, MAX_PAIRS, MAX_PREFIXES = 64, 50_000, 150_000, 100_000
+MAX_CACHED_PIECE, MAX_CACHED, MAX_PAIRS, MAX_PREFIXES = 64, 50_000, 300_000, 200_000
 NONE = 1 << 62
 #: Bytes of text encoded or decoded at a time, one text at least.
 SLICE_BYTES = 1 << 20
