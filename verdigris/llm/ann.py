@@ -218,6 +218,8 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = 20, key: str = "vec
     known = spark.sparkContext.broadcast((size, group))
     many = placed.groupBy("id").agg(F.count("*").alias("same")).filter("same > 1")
     queries = placed.filter("q").join(many, "id", "left").select("row", "id", "v", F.coalesce("same", F.lit(1)).alias("same"))
+    # walking the tree takes long for few bytes, so partitions by bytes would be too large
+    queries = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
     asking = f"row long, id long, v {kept}, visits array<struct<grp: int, leaves: array<int>>>"
 
     def visits(batches):
