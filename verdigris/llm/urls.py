@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rules are broadcast; a larger table is refused. At most so many labelled URLs train the classifier.
 MAX_RULES, MAX_LABELLED = 100_000, 20_000
 #: Hashed features, n-gram lengths, score from which a URL is blocked.
-SLOTS, GRAMS, BLOCK_FROM = 1 << 14, (3, 4, 5), 0.5
+SLOTS, GRAMS, BLOCK_FROM = 1 << 14, (3, 4), 0.5
 
 # The rules of the query.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -28,21 +28,31 @@ WANTED = "university library weather museum recipes gardening physics history ne
 HOSTS = ["{}.com", "www.{}.net", "{}-online.org", "blog.{}.example.com", "m.{}.info", "my-{}.example.org"]
 PATHS = ["/", "/en/{}/index.html", "/en/31204", "/2021/05/{}-and-more", "/page/{}?ref=a", "/de/20117.html"]
 
+SYLLABLES = "ba co di fu ge hi jo ka lu me no pi ro sa te vu".split(), "mon ler sta nik rand vel".split()
+PLAIN_HOSTS, TOPS = ["{}", "www.{}", "blog.{}", "m.{}", "en.{}"], "com net org info example.com example.net example.org".split()
+LANGS, TAILS = "en de fr es".split(), ["", "/", ".html", "?p=2"]
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: every word in every host form, with each path form in turn."""
+
+def labelled_rows() -> list[tuple[str, int, set[str]]]:
+    """(url, label, words in it): every word in every host form, with each path form in turn; and numbered pages of ordinary hosts, as crawls are
+    full of them, whose names are all pairs of syllables."""
     out = []
     for label, words in ((1, UNWANTED), (0, WANTED)):
         for i, word in enumerate(words):
             for j, host in enumerate(HOSTS):
                 other = words[(i + 7 * j + 1) % len(words)]
-                out.append((f"https://{host.format(word)}{PATHS[(i + j) % len(PATHS)].format(other)}", label))
-        # ordinary numbered pages, as crawls are full of them
-        if not label:
-            out += [(f"http://{h}.example.{top}/{lang}/{n}{tail}", 0) for (h, top, lang), (n, tail) in zip(itertools.product(["anter", "m.oning", "blog.reated", "www.ethou"], ["com", "net", "org"], ["en", "de", "fr", "es"]), itertools.cycle([(1201, ""), (48211, "/"), (30577, ".html"), (777, "/")]))]
+                out.append((f"https://{host.format(word)}{PATHS[(i + j) % len(PATHS)].format(other)}", label, {word, other}))
+    for i, name in enumerate(map("".join, itertools.product(*SYLLABLES))):
+        pick = lambda of, every=1: of[i // every % len(of)]
+        out.append((f"{pick(['http', 'https'])}://{pick(PLAIN_HOSTS).format(name)}.{pick(TOPS)}/{pick(LANGS)}/{17 * i * i + 3}{pick(TAILS, 4)}", 0, {name}))
     return out
 
 
+def labelled_urls() -> list[tuple[str, int]]:
+    """The small labelled table."""
+    return [(url, label) for url, label, _ in labelled_rows()]
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """(host, path): A-Z of the host lower-cased; both empty for null or without ://."""
     if url is None or (at := url.find("://")) < 0:
