@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from verdigris.functions.text import normalize
+from verdigris.operators.numbering import placed
 from verdigris.operators.similarity import near_duplicates
 from verdigris.operators.statistics import wilson
 from verdigris.sources import schemas
-from verdigris.sources.scratch import Scratch
 
 
 def quota(share, size: int):
@@ -58,15 +58,9 @@ def noise_floor(verdicts: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str, prefix: str, start: int) -> DataFrame:
-    """rows with id `prefix-0001` and so on in ascending order of a unique column, after the first `start` numbers.
-
-    Rows are sorted over all partitions; each adds the rows of those before it, whose counts (a number a partition) are all that comes together.
-    """
-    spark = rows.sparkSession
-    placed = Scratch(spark, "numbered").table(rows.orderBy(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    parts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
-    number = F.coalesce("_before", F.lit(0)) + F.col("_at") + 1 + start
-    return placed.join(F.broadcast(parts), "_part").withColumn("id", F.format_string("%s-%04d", F.lit(prefix), number)).drop("_part", "_n", "_before", "_at")
+    """rows with id `prefix-0001` and so on in ascending order of a unique column, after the first `start` numbers."""
+    number = F.col("_k") + 1 + start
+    return placed(rows, order).withColumn("id", F.format_string("%s-%04d", F.lit(prefix), number)).drop("_k", "_total")
 
 
 def accept_drafts(drafts: DataFrame, docs: DataFrame, in_force: DataFrame, taken: DataFrame, split: str, prefix: str, want: dict[str, int]) -> DataFrame:

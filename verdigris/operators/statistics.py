@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from verdigris.operators.numbering import placed
+
 Z975, Z80 = NormalDist().inv_cdf(0.975), NormalDist().inv_cdf(0.8)
 NAN = float("nan")
 #: Cells of an index matrix that one slice of numpy resamples holds.
@@ -28,7 +30,9 @@ def md5_index(seed: int, resample: Column, draw: Column, n: Column) -> Column:
 
 def indexed(values: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
     """k: dense index from 0 by `order` within each group; n: size of the group."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    if not by:
+        return placed(values.select(F.col(order).alias("_order"), F.col(value).cast("double").alias("d")), "_order").select(F.col("_k").alias("k"), F.col("_total").alias("n"), "d")
+    w = W.partitionBy(*by)
     return values.select(*by, (F.row_number().over(w.orderBy(order)) - 1).cast("bigint").alias("k"), F.count("*").over(w).alias("n"), F.col(value).cast("double").alias("d"))
 
 
@@ -174,8 +178,7 @@ def slope_ci(rows: DataFrame, resamples: int, seed: int, x: str = "x", y: str =
     """slope, lo, hi of y on x; bounds by resampling whole groups, through their sums. NaN where x does not vary."""
     xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
     sums = rows.filter(xd.isNotNull() & yd.isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count("*").cast("double").alias("n"), F.sum(xd).alias("sx"), F.sum(yd).alias("sy"), F.sum(xd * yd).alias("sxy"), F.sum(xd * xd).alias("sxx"))
-    w = W.partitionBy(F.lit(0))
-    dense = sums.select((F.row_number().over(w.orderBy("g")) - 1).cast("bigint").alias("k"), F.count("*").over(w).alias("groups"), "n", "sx", "sy", "sxy", "sxx")
+    dense = placed(sums, "g").select(F.col("_k").alias("k"), F.col("_total").alias("groups"), "n", "sx", "sy", "sxy", "sxx")
     total = [F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx")]
     of = lambda: _over(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
     draws = dense.select(F.col("k").alias("i"), "groups").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
@@ -200,8 +203,8 @@ def partial_correlation(rows: DataFrame, a: str, b: str, given: str) -> DataFram
 def partial_correlation_ci(rows: DataFrame, a: str, b: str, given: str, order: str, resamples: int, seed: int) -> DataFrame:
     """point, lo, hi: rows resampled, sums kept by resample and stratum."""
     use = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(given).isNotNull())
-    w = W.partitionBy(F.lit(0))
-    dense = use.select((F.row_number().over(w.orderBy(order)) - 1).cast("bigint").alias("k"), F.count("*").over(w).alias("n"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"), F.col(given).alias("g"))
+    own = use.select(F.col(order).alias("_order"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"), F.col(given).alias("g"))
+    dense = placed(own, "_order").select(F.col("_k").alias("k"), F.col("_total").alias("n"), "x", "y", "g")
     draws = dense.select(F.col("k").alias("i"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draws = draws.withColumn("k", md5_index(seed, F.col("b"), F.col("i"), F.col("n"))).select("b", "k")
     s = draws.join(dense.drop("n"), "k").groupBy("b", "g").agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.count("*").cast("double").alias("c"))
