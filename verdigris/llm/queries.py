@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import ann, bpe, chat, mil, mixing, neardup, packing, perplexity, pii, urls
+from verdigris.llm import ann, bpe, chat, mil, mixing, neardup, packing, perplexity, pii, urls, whitening
 from verdigris.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,10 @@ def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
@@ -73,6 +77,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_perplexity": op10_perplexity,
+    "op11_whitening": op11_whitening,
 }
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP2_SQL = rf"""with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') w from documents),
