@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import ann, bpe, chat, mil, mixing, neardup, packing, perplexity, pii, urls, whitening
+from verdigris.llm import ann, bpe, chat, mil, mixing, neardup, packing, perplexity, pii, trie, urls, whitening
 from verdigris.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_trie(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_perplexity": op10_perplexity,
     "op11_whitening": op11_whitening,
+    "op12_trie": op12_trie,
 }
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP2_SQL = rf"""with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') w from documents),
@@ -108,4 +113,21 @@ OP5_SQL = rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce
  select d.doc_id, d.size, source_size, target, d.size * passes taken, case when passes > 0 then round(2 * yy / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * yy)), 9) end as position
  from d join z on d.doc_id is not distinct from z.key and d.source is not distinct from z.source and d.size = z.size"""
 
-ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_mixing": OP5_SQL}
+# crc32 byte by byte: eight shifts each, by the reversed polynomial
+_CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint)),
+  lambda a, y: list_reduce(list_prepend(xor(a, y), list_transform(range(8), lambda i: 0::ubigint)), lambda z, i: case when z & 1 = 1 then xor(z >> 1, 3988292384::ubigint) else z >> 1 end)), 4294967295::ubigint)"""
+OP12_SQL = f"""with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 j from conversations where conv_id is not null),
+ n as (select conv_id, count(*) n from o group by conv_id),
+ c as (select conv_id, n, conv_id - conv_id % 5 base, ({_CRC} % 9)::bigint h from n),
+ r as (select c.conv_id, j pos, role, text from c join o on o.conv_id = c.base and j < h
+  union all select c.conv_id, least(h, coalesce(b.n, 0)) + j - h, role, text from o join c using (conv_id) left join n b on b.conv_id = c.base where j >= h),
+ t as (select c.conv_id, coalesce(list(sha256(length(role) || ':' || role || text) order by pos) filter (pos is not null), []) t, list(strlen(text) order by pos) b from c left join r using (conv_id) group by c.conv_id),
+ p as (select conv_id, d, md5(array_to_string(t[1:d], ',')) k, md5(array_to_string(t[1:d - 1], ',')) above, d = len(t) ends, case when d > 0 then b[d] else 0 end bytes from (select *, unnest(range(len(t) + 1)) d from t)),
+ v as (select d, k, min(conv_id) conv_id, any_value(above) above, count(*) n_convs, any_value(bytes) bytes, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) ends_sha256 from p group by d, k),
+ f as (select d - 1 d, above k, count(*) n_children from v where d > 0 group by all),
+ y as (select v.*, coalesce(n_children, 0) n_children from v left join f using (d, k)),
+ s as (select p.d, p.k, count(*) filter (n_children = 0) n_leaves, sum((n_convs - 1) * y.bytes) saved_tokens from y join p on p.conv_id = y.conv_id and p.d <= y.d group by p.d, p.k)
+ select y.conv_id, y.d depth, u.conv_id parent_conv_id, y.n_convs, y.n_children, n_leaves, saved_tokens::bigint saved_tokens, y.ends_sha256
+ from y join s using (d, k) left join v u on u.d = y.d - 1 and u.k = y.above"""
+
+ORACLES: dict[str, str] = {"op2_minhash": OP2_SQL, "op5_mixing": OP5_SQL, "op12_trie": OP12_SQL}
