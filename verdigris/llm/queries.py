@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import ann, bpe, chat, mil, mixing, neardup, packing, perplexity, pii, trie, urls, whitening
+from verdigris.llm import ann, bpe, chat, licenses, mil, mixing, neardup, packing, perplexity, pii, trie, urls, whitening
 from verdigris.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +70,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.shared_trie(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
@@ -83,6 +87,7 @@ QUERIES = {
     "op10_perplexity": op10_perplexity,
     "op11_whitening": op11_whitening,
     "op12_trie": op12_trie,
+    "op13_licenses": op13_licenses,
 }
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 OP2_SQL = rf"""with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x20\x09-\x0D]+') w from documents),
