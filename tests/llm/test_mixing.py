@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import mixing
 
@@ -43,6 +44,30 @@ def test_targets_and_taken_words(spark):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(docs.repartition(7)).collect()))
 
 
+def test_repeated_and_null_ids_each_have_a_place_of_their_own(spark, monkeypatch):
+    """Three sources alike in size: all rows of x repeat one id, all ids of z are null; every source must come near its target, in the report, in the mix and in SQL."""
+    import duckdb
+
+    from verdigris.llm import queries
+
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    text = "a b c d e"
+    rows = [(1, text, "x")] * 1000 + [(10 + i, text, "y") for i in range(1000)] + [(None, text, "z")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_report(docs)
+    sums = {r["target"]: (r["taken"], r["least"], r["most"], r["n"]) for r in got.groupBy("target").agg({"taken": "sum"}).join(got.groupBy("target").agg(F.min("taken").alias("least"), F.max("taken").alias("most"), F.count("*").alias("n")), "target").withColumnRenamed("sum(taken)", "taken").collect()}
+    assert sorted(sums) == [2500.0, 5000.0, 7500.0]
+    for target, (taken, least, most, n) in sums.items():
+        assert abs(taken - target) <= 5 and most - least <= 5 and n == 1000
+    mixed = {r["source"]: r["n"] for r in mixing.mix_documents(docs.selectExpr("*", "3 as copies", "'s' as slope", "1 as i")).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert all(abs(mixed[s] * 5 - t) <= 5 for s, t in zip("xyz", (2500, 5000, 7500)))
+    sql = duckdb.connect()
+    sql.register("documents", docs.toArrow())
+    want = sql.sql(queries.ORACLES["op5_mixing"])
+    key = lambda rows: sorted(tuple(-1.0 if x is None else round(float(x), 6) for x in r) for r in rows)
+    assert key(map(tuple, got.select(*want.columns).collect())) == key(want.fetchall())
+
+
 def test_rows_come_in_training_order_as_often_as_taken(spark):
     rows = [(i, "word " * (i % 9), "abc"[i % 3]) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "doc_id as passes", "'k' as size")

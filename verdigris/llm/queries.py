@@ -99,24 +99,23 @@ OP2_SQL = rf"""with recursive t as (select doc_id, regexp_extract_all(translate(
  c as (select doc_id, doc_id c from n union select e.b, c.c from c join e on e.a = c.doc_id)
  select n.doc_id, any_value(n.n) n_shingles, min(c.c) component_id, n.doc_id = min(c.c) kept from n join c using (doc_id) group by n.doc_id"""
 
-_CORRECT = """g{n} as (select source, any_value(target) - sum(span * passes) gap from c{m} group by source),
- b{n} as (select source, key, size, change from (select c.source, key, size, sign(gap)::int change, row_number() over (partition by c.source order by abs(abs(gap) - span), u, key, size) rn
-  from c{m} c join g{n} g on c.source is not distinct from g.source where size > 0 and abs(abs(gap) - span) < abs(gap) and case when gap > 0 then passes < 3 else passes > 0 end) where rn = 1),
- c{n} as (select c.* exclude (passes), passes + coalesce(change, 0) passes from c{m} c left join b{n} b on c.source is not distinct from b.source and c.key is not distinct from b.key and c.size = b.size)"""
-OP5_SQL = rf"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
- k as (select doc_id as key, source, size, count(*) copies, size * count(*) span, ('0x' || substr(md5('7-' || doc_id || '-' || size), 1, 13))::bigint u from d group by doc_id, source, size),
+_CORRECT = """g{n} as (select source, any_value(target) - sum(size * passes) gap from c{m} group by source),
+ b{n} as (select source, key, size, i, change from (select c.source, key, size, i, sign(gap)::int change, row_number() over (partition by c.source order by abs(abs(gap) - size), u, key, size, sign(gap) * passes, sign(gap) * i) rn
+  from c{m} c join g{n} g on c.source is not distinct from g.source where size > 0 and abs(abs(gap) - size) < abs(gap) and case when gap > 0 then passes < 3 else passes > 0 end) where rn = 1),
+ c{n} as (select c.* exclude (passes), passes + coalesce(change, 0) passes from c{m} c left join b{n} b on c.source is not distinct from b.source and c.key is not distinct from b.key and c.size = b.size and c.i = b.i)"""
+OP5_SQL = rf"""with d as (select doc_id as key, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+ k as (select *, ('0x' || substr(md5(concat_ws('-', '7', key, size)), 1, 13))::bigint u, row_number() over (partition by key, source, size) - 1 i from d),
  s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) rk from d group by source),
  w as (select *, (1 + (rk - 1) % 3)::double weight, case (rk - 1) % 3 when 0 then 0.6::double when 1 then 0::double else -0.6::double end slope, 3 * source_size::double cap from s),
  x as (select *, (sum(source_size) over () - coalesce(sum(cap) over o, 0)) / (sum(weight) over () - coalesce(sum(weight) over o, 0)) lvl from w window o as (order by cap / weight, rk rows between unbounded preceding and 1 preceding)),
  y as (select *, cap < lvl * weight capped from x),
  t as (select source, source_size, slope, case when capped then cap else weight * (select arg_min(lvl, cap / weight + rk * 0) from y where not capped) end target from y),
- p as (select k.*, t.* exclude (source), coalesce(sum(span) over (partition by k.source order by u, key, size rows between unbounded preceding and 1 preceding), 0) st from k join t on k.source is not distinct from t.source),
- c0 as (select *, (case when size > 0 then (st + span / 2 <= target)::int + (st + span / 2 + source_size <= target)::int + (st + span / 2 + 2 * source_size <= target)::int else 0 end) passes from p),
+ p as (select k.*, t.* exclude (source), coalesce(sum(size) over (partition by k.source order by u, key nulls first, size, i rows between unbounded preceding and 1 preceding), 0) st from k join t on k.source is not distinct from t.source),
+ c0 as (select *, (case when size > 0 then (st + size / 2 <= target)::int + (st + size / 2 + source_size <= target)::int + (st + size / 2 + 2 * source_size <= target)::int else 0 end) passes from p),
  {_CORRECT.format(n=1, m=0)},
  {_CORRECT.format(n=2, m=1)},
  z as (select *, least(st / target, 1) yy from c2)
- select d.doc_id, d.size, source_size, target, d.size * passes taken, case when passes > 0 then round(2 * yy / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * yy)), 9) end as position
- from d join z on d.doc_id is not distinct from z.key and d.source is not distinct from z.source and d.size = z.size"""
+ select key doc_id, size, source_size, target, size * passes taken, case when passes > 0 then round(2 * yy / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * yy)), 9) end as position from z"""
 
 # crc32 byte by byte: eight shifts each, by the reversed polynomial
 _CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::ubigint)),
