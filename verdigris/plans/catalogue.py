@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import calculator, parsing, scoring, text
-from verdigris.operators import judging, pairing, quality, retrieval, sampling, similarity
+from verdigris.operators import index, judging, pairing, quality, retrieval, sampling, similarity
 from verdigris.operators import statistics as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,8 +175,8 @@ def questions(spark, d):
 
 
 def bm25(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
-    return retrieval.Index(docs).search(questions(spark, d)), docs
+    docs = table(spark, d, "documents")
+    return index.kept(docs, "doc_id", "text").search(questions(spark, d)), docs.select("doc_id", F.col("text").alias("body"))
 
 
 @query(BM25 + " select query_id, rank, doc_id, round(score,6) score from k where rank<=5")
