@@ -40,7 +40,9 @@ def test_top_k_equals_scoring_everything_and_leaves_blocks_unread(spark, small,
     scratch = ix.Scratch(spark, "t")
     bars = saved.bars(asked, 3, scratch)
     all_blocks = saved.headers(asked).count()
-    wanted = saved.wanted(asked, bars)
+    planned = saved.plan(asked, bars)
+    assert planned.filter("not naming").count() > 0 and planned.filter("not scanned").count() > 0
+    wanted = saved.wanted(planned)
     read = wanted.filter("read").count()
     assert 0 < read < all_blocks / 2, (read, all_blocks)
     assert wanted.filter("not read").count() > 0  # by their peaks, beside the terms that name no candidates

@@ -5,8 +5,9 @@ Documents are dealt to 2^bits segments by the first bits of a hash of their key.
 document is no single row, task or file. Each block keeps its `peak`, the largest weight that any of its postings gets.
 
 A search goes from headers to postings. Blocks with the highest peaks give first hits, whose full scores give each query a bar: no hit below it can be among the k best.
-Terms whose peaks together stay below the bar name no new candidates, and a block of the others is read only if its peak, with all that the query's other terms can
-add, reaches the bar. Candidates' full scores are looked up in the blocks of their own segments. The result is exact.
+Terms whose peaks together stay below the bar name no candidates, and a block of the others is read only if its peak, with all that the query's other terms can
+add, reaches the bar. What a candidate gets from frequent terms that name none is looked up in the blocks of its own segment, once the rest says that it can still reach the bar.
+The result is exact.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from verdigris.sources.scratch import Scratch, exists, shared_dir
 #: Documents of a segment and postings of a block, on average; blocks of a term that share a bucket; buckets (folders) at least and at most, and documents for each.
 SEGMENT, BLOCK, RUN, BUCKETS, BUCKET_DOCS = 1024, 128, 64, (16, 4096), 16_384
 #: Strongest terms and blocks that give a query its first hits, and how many of these, for each of the k, get full scores.
-SEED_TERMS, SEED_BLOCKS, SEED_HITS = 8, 16, 2
+SEED_TERMS, SEED_BLOCKS, SEED_HITS = 16, 64, 8
+#: Terms that stand in at most this part of the documents are read at once, whether they name candidates or not, as their postings are few.
+FEW = 1 / 32
 #: Sums in another order differ by less than this.
 SLACK = 1e-9
 
@@ -50,7 +53,9 @@ class Index:
         self.spark, self.path = spark, path
         meta = spark.read.parquet(f"{path}/meta").head()
         self.n_docs, self.average, self.bits, self.buckets = meta["n_docs"], meta["average"], meta["bits"], meta["buckets"]
-        self.terms, self.blocks = (spark.read.parquet(f"{path}/{x}") for x in ("terms", "blocks"))
+        doc = meta["doc"]
+        self.terms = spark.read.schema("term string, df long, level int, peak double, bucket int").parquet(f"{path}/terms")
+        self.blocks = spark.read.schema(f"term string, block long, n int, peak double, docs array<{doc}>, tfs array<long>, lengths array<int>, bucket int").parquet(f"{path}/blocks")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
@@ -80,7 +85,7 @@ class Index:
         put(made.drop("df", "level"), "blocks", "term", "block")
         every = made.groupBy("term", "df", "level").agg(F.max("peak").alias("peak")).withColumn("bucket", bucket_of(F.col("term"), F.lit(0), buckets))
         put(every, "terms", "term")
-        spark.createDataFrame([(n_docs, float(average), bits, buckets)], "n_docs long, average double, bits int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        spark.createDataFrame([(n_docs, float(average), bits, buckets, docs.schema[key].dataType.simpleString())], "n_docs long, average double, bits int, buckets int, doc string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         scratch.keep()
         return cls(spark, path)
 
@@ -110,8 +115,8 @@ class Index:
         each = read.select("term", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("p"))
         return each.select("term", F.col("p.docs").alias("doc"), weight(F.col("p.tfs"), F.col("p.lengths"), F.lit(self.average)).alias("part"))
 
-    def full_scores(self, candidates: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
-        """(query_id, doc, score) of candidates (query_id, doc), from the blocks in which their postings can be."""
+    def looked_up(self, candidates: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
+        """(query_id, doc, score) of candidates (query_id, doc) from the terms in `asked`, from the blocks in which their postings can be; no row where there are none."""
         place = F.expr(f"shiftright(segment, {self.bits} - level)").alias("block")
         looked = candidates.withColumn("segment", segment(F.col("doc"), self.bits)).join(asked.select("query_id", "term", "level", "weight"), "query_id")
         looked = scratch.table(looked.select("query_id", "doc", "term", "weight", place))
@@ -124,32 +129,37 @@ class Index:
         strong = best(asked, [F.col("upper").desc(), "term"], SEED_TERMS)
         seeds = scratch.table(best(self.headers(strong), [F.col("bound").desc(), "term", "block"], SEED_BLOCKS).select("query_id", "term", "block", "weight"))
         hits = seeds.drop("block").distinct().join(self.postings(seeds, scratch), "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
-        scored = self.full_scores(best(hits, [F.col("score").desc(), "doc"], SEED_HITS * k).select("query_id", "doc"), asked, scratch)
+        scored = self.looked_up(best(hits, [F.col("score").desc(), "doc"], SEED_HITS * k).select("query_id", "doc"), asked, scratch)
         last = scored.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc())))
         return scratch.table(last.filter(F.col("_r") == k).select("query_id", (F.col("score") - SLACK).alias("bar")))
 
-    def wanted(self, asked: DataFrame, bars: DataFrame) -> DataFrame:
-        """headers() of the terms that can name candidates, with `rest` (what the terms that cannot add at most), and `read`: whether the block can reach the bar."""
-        # the slack grows with the number of terms added up
-        low = W.partitionBy("query_id").orderBy("upper", "term")
-        every = W.partitionBy("query_id")
+    def plan(self, asked: DataFrame, bars: DataFrame) -> DataFrame:
+        """asked with bar, all (the most that all terms add), naming (whether the term names candidates), scanned (whether its blocks are read for that) and rest (the most
+        that terms not scanned add)."""
+        low, every = W.partitionBy("query_id").orderBy("upper", "term"), W.partitionBy("query_id")
         ranked = asked.join(bars, "query_id", "left").fillna(0.0, ["bar"])
-        ranked = ranked.withColumn("below", F.sum("upper").over(low.rowsBetween(W.unboundedPreceding, W.currentRow)) * (1 + SLACK)).withColumn("all", F.sum("upper").over(every) * (1 + SLACK))
-        naming = F.col("below") >= F.col("bar")
-        ranked = ranked.withColumn("rest", F.coalesce(F.max(F.when(~naming, F.col("below"))).over(every), F.lit(0.0))).filter(naming)
+        below = F.sum("upper").over(low.rowsBetween(W.unboundedPreceding, W.currentRow)) * (1 + SLACK)
+        ranked = ranked.withColumn("naming", below >= F.col("bar")).withColumn("all", F.sum("upper").over(every) * (1 + SLACK))
+        ranked = ranked.withColumn("scanned", F.col("naming") | (F.col("df") <= FEW * self.n_docs))
+        return ranked.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("scanned"), F.col("upper"))).over(every), F.lit(0.0)) * (1 + SLACK))
+
+    def wanted(self, planned: DataFrame) -> DataFrame:
+        """headers() of the scanned terms, with `read`: not for a block of a term that names candidates whose peak, with all that the other terms add, stays below the bar.
+        No document in such a block is among the k best."""
         reach = F.col("bound") + F.col("all") - F.col("upper") >= F.col("bar")
-        return self.headers(ranked).withColumn("read", reach)
+        return self.headers(planned.filter("scanned")).withColumn("read", ~F.col("naming") | reach)
 
     def search(self, queries: DataFrame, k: int = TOP) -> DataFrame:
         """query_id, rank, doc_id, score of (query_id, query): the k best documents by BM25, ties (to nine digits) to the smaller doc_id."""
         scratch = Scratch(self.spark, "search")
         asked = scratch.table(self.asked(queries))
-        wanted = scratch.table(self.wanted(asked, self.bars(asked, k, scratch)).filter("read"))
-        parts = self.postings(wanted, scratch)
+        planned = scratch.table(self.plan(asked, self.bars(asked, k, scratch)))
+        wanted = scratch.table(self.wanted(planned).filter("read"))
         weights = wanted.select("query_id", "term", "weight", "bar", "rest").distinct()
-        near = weights.join(parts, "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("sum"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
-        candidates = scratch.table(near.filter(F.col("sum") * (1 + SLACK) + F.col("rest") >= F.col("bar")).select("query_id", "doc"))
-        scored = self.full_scores(candidates, asked, scratch)
+        near = weights.join(self.postings(wanted, scratch), "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("sum"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
+        candidates = scratch.table(near.filter(F.col("sum") * (1 + SLACK) + F.col("rest") >= F.col("bar")).select("query_id", "doc", "sum"))
+        more = self.looked_up(candidates, planned.filter("not scanned"), scratch)
+        scored = candidates.join(more, ["query_id", "doc"], "left").select("query_id", "doc", (F.col("sum") + F.coalesce("score", F.lit(0.0))).alias("score"))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc"))
         top = scratch.table(scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("doc").alias("doc_id"), "score"))
         scratch.keep(top)
