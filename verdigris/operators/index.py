@@ -30,6 +30,8 @@ SEGMENT, BLOCK, RUN, BUCKETS, BUCKET_DOCS = 1024, 128, 64, (16, 4096), 16_384
 SEED_TERMS, SEED_BLOCKS, SEED_HITS = 16, 64, 8
 #: Terms that stand in at most this part of the documents are read at once, whether they name candidates or not, as their postings are few.
 FEW = 1 / 32
+#: Changes with the layout of the folders, so that no index of another layout is opened.
+LAYOUT = 2
 #: Sums in another order differ by less than this.
 SLACK = 1e-9
 
@@ -117,10 +119,11 @@ class Index:
 
     def looked_up(self, candidates: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
         """(query_id, doc, score) of candidates (query_id, doc) from the terms in `asked`, from the blocks in which their postings can be; no row where there are none."""
-        place = F.expr(f"shiftright(segment, {self.bits} - level)").alias("block")
-        looked = candidates.withColumn("segment", segment(F.col("doc"), self.bits)).join(asked.select("query_id", "term", "level", "weight"), "query_id")
-        looked = scratch.table(looked.select("query_id", "doc", "term", "weight", place))
-        parts = self.postings(looked, scratch)
+        weights = asked.select("query_id", "term", "level", "weight")
+        places = candidates.select("query_id", segment(F.col("doc"), self.bits).alias("segment")).distinct()
+        blocks = places.join(weights, "query_id").select("term", F.expr(f"shiftright(segment, {self.bits} - level)").alias("block"))
+        parts = self.postings(blocks, scratch)
+        looked = candidates.select("query_id", "doc").join(weights, "query_id")
         return looked.join(parts, ["term", "doc"]).groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
     def bars(self, asked: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -134,14 +137,17 @@ class Index:
         return scratch.table(last.filter(F.col("_r") == k).select("query_id", (F.col("score") - SLACK).alias("bar")))
 
     def plan(self, asked: DataFrame, bars: DataFrame) -> DataFrame:
-        """asked with bar, all (the most that all terms add), naming (whether the term names candidates), scanned (whether its blocks are read for that) and rest (the most
-        that terms not scanned add)."""
+        """asked with bar, all (the most that all terms add), naming (whether the term names candidates), scanned (whether its blocks are read for that), first (of the others,
+        whether it is among the strong ones that are looked up first), rest and later (the most that terms not scanned add, and that those of them which are not first add)."""
         low, every = W.partitionBy("query_id").orderBy("upper", "term"), W.partitionBy("query_id")
         ranked = asked.join(bars, "query_id", "left").fillna(0.0, ["bar"])
         below = F.sum("upper").over(low.rowsBetween(W.unboundedPreceding, W.currentRow)) * (1 + SLACK)
         ranked = ranked.withColumn("naming", below >= F.col("bar")).withColumn("all", F.sum("upper").over(every) * (1 + SLACK))
         ranked = ranked.withColumn("scanned", F.col("naming") | (F.col("df") <= FEW * self.n_docs))
-        return ranked.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("scanned"), F.col("upper"))).over(every), F.lit(0.0)) * (1 + SLACK))
+        left = F.when(~F.col("scanned"), F.col("upper"))
+        total = lambda x, w=every: F.coalesce(F.sum(x).over(w), F.lit(0.0)) * (1 + SLACK)
+        ranked = ranked.withColumn("rest", total(left)).withColumn("first", ~F.col("scanned") & (total(left, low.rowsBetween(W.unboundedPreceding, W.currentRow)) > F.col("rest") / 2))
+        return ranked.withColumn("later", total(F.when(~F.col("first"), left)))
 
     def wanted(self, planned: DataFrame) -> DataFrame:
         """headers() of the scanned terms, with `read`: not for a block of a term that names candidates whose peak, with all that the other terms add, stays below the bar.
@@ -155,11 +161,19 @@ class Index:
         asked = scratch.table(self.asked(queries))
         planned = scratch.table(self.plan(asked, self.bars(asked, k, scratch)))
         wanted = scratch.table(self.wanted(planned).filter("read"))
-        weights = wanted.select("query_id", "term", "weight", "bar", "rest").distinct()
-        near = weights.join(self.postings(wanted, scratch), "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("sum"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
-        candidates = scratch.table(near.filter(F.col("sum") * (1 + SLACK) + F.col("rest") >= F.col("bar")).select("query_id", "doc", "sum"))
-        more = self.looked_up(candidates, planned.filter("not scanned"), scratch)
-        scored = candidates.join(more, ["query_id", "doc"], "left").select("query_id", "doc", (F.col("sum") + F.coalesce("score", F.lit(0.0))).alias("score"))
+        weights = wanted.select("query_id", "term", "weight").distinct()
+        near = weights.join(self.postings(wanted, scratch), "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+        limits = planned.select("query_id", "bar", "rest", "later").distinct()
+
+        def able(rows: DataFrame, rest: str) -> DataFrame:
+            return scratch.table(rows.join(limits, "query_id").filter(F.col("score") * (1 + SLACK) + F.col(rest) >= F.col("bar")).select("query_id", "doc", "score"))
+
+        def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+            more = self.looked_up(rows, terms, scratch).withColumnRenamed("score", "more")
+            return rows.join(more, ["query_id", "doc"], "left").select("query_id", "doc", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+        candidates = able(with_terms(able(near, "rest"), planned.filter("first")), "later")
+        scored = with_terms(candidates, planned.filter("not scanned and not first"))
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc"))
         top = scratch.table(scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("doc").alias("doc_id"), "score"))
         scratch.keep(top)
@@ -178,5 +192,5 @@ def fingerprint(docs: DataFrame) -> int | None:
 def kept(docs: DataFrame, key: str = "doc_id", body: str = "body") -> Index:
     """The index of `docs` in the shared folder: the one that is there if the files are as they were, else a new one."""
     spark, mark = docs.sparkSession, fingerprint(docs)
-    made = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex if mark is None else f'{mark & (1 << 64) - 1:016x}'}-{key}-{body}"
+    made = f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex if mark is None else f'{mark & (1 << 64) - 1:016x}'}-{LAYOUT}-{key}-{body}"
     return Index.open(spark, made) if exists(spark, f"{made}/meta/_SUCCESS") else Index.save(docs, made, key, body)
