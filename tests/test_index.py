@@ -13,8 +13,6 @@ RANKED = ["query_id", "rank", "doc_id"]
 def small(monkeypatch):
     """Blocks of a few postings, so that some hundred documents have many."""
     monkeypatch.setattr(ix, "SEGMENT", 8)
-    monkeypatch.setattr(ix, "BLOCK", 4)
-    monkeypatch.setattr(ix, "RUN", 4)
 
 
 def corpus(spark, n=600, seed=2):

@@ -1,8 +1,8 @@
 """A kept inverted index, and BM25 top-k over it that leaves out blocks which cannot matter.
 
-Documents are dealt to 2^bits segments by the first bits of a hash of their key. A term's postings are cut into blocks of about BLOCK documents: 2^level blocks of
-2^(bits - level) segments each, with as many levels as the term's frequency asks for, so that the block of a document is known from its key and a term that stands in every
-document is no single row, task or file. Each block keeps its `peak`, the largest weight that any of its postings gets.
+Documents are dealt to 2^bits segments by the first bits of a hash of their key. A term's postings in one segment are a block, so that the block of a document is known
+from its key, and a term that stands in every document is no single row, task or file. Each block keeps its `peak`, the largest weight that any of its postings gets.
+Blocks lie in folders (buckets) by term.
 
 A search goes from headers to postings. Blocks with the highest peaks give first hits, whose full scores give each query a bar: no hit below it can be among the k best.
 Terms whose peaks together stay below the bar name no candidates, and a block of the others is read only if its peak, with all that the query's other terms can
@@ -20,18 +20,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from verdigris.functions.text import tokens
+from verdigris.functions.text import TOKEN, tokens
 from verdigris.operators.retrieval import B, K1, TOP
 from verdigris.sources.scratch import Scratch, exists, shared_dir
 
-#: Documents of a segment and postings of a block, on average; blocks of a term that share a bucket; buckets (folders) at least and at most, and documents for each.
-SEGMENT, BLOCK, RUN, BUCKETS, BUCKET_DOCS = 1024, 128, 64, (16, 4096), 16_384
+#: Documents of a segment, on average; buckets at least and at most, and documents for each; tasks that write one bucket, as segments differ.
+SEGMENT, BUCKETS, BUCKET_DOCS, SPREAD = 1024, (16, 4096), 16_384, 16
 #: Strongest terms and blocks that give a query its first hits, and how many of these, for each of the k, get full scores.
 SEED_TERMS, SEED_BLOCKS, SEED_HITS = 16, 64, 8
 #: Terms that stand in at most this part of the documents are read at once, whether they name candidates or not, as their postings are few.
 FEW = 1 / 32
 #: Changes with the layout of the folders, so that no index of another layout is opened.
-LAYOUT = 2
+LAYOUT = 3
 #: Sums in another order differ by less than this.
 SLACK = 1e-9
 
@@ -44,20 +44,30 @@ def segment(doc: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc), 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def bucket_of(term: Column, block: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term, F.floor(block / RUN).cast("long")), F.lit(buckets)).cast("int")
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def frequencies(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(doc, length, term, tf): the terms of each document are sorted and counted within its row, so nothing is shuffled for it."""
+    each = docs.select(F.col(key).alias("doc"), F.array_sort(tokens(F.col(body))).alias("t")).withColumn("length", F.size("t")).filter("length > 0")
+    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    each = each.withColumn("begins", begins)
+    ends = F.concat(F.slice("begins", F.lit(2), F.col("length")), F.array("length"))
+    counted = F.zip_with("begins", ends, lambda a, b: F.struct(F.get("t", a).alias("term"), (b - a).alias("tf")))
+    return each.select("doc", "length", F.inline(counted))
 
 
 class Index:
-    """An index that `save` has written: `meta` (one row), `terms` (term, df, level, peak) and `blocks` (term, block, n, peak, docs, tfs, lengths), both in folders by bucket."""
+    """An index that `save` has written: `meta` (one row), `terms` (term, df, peak) and `blocks` (term, block, n, peak, docs, tfs, lengths), both in folders by bucket."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         meta = spark.read.parquet(f"{path}/meta").head()
         self.n_docs, self.average, self.bits, self.buckets = meta["n_docs"], meta["average"], meta["bits"], meta["buckets"]
         doc = meta["doc"]
-        self.terms = spark.read.schema("term string, df long, level int, peak double, bucket int").parquet(f"{path}/terms")
-        self.blocks = spark.read.schema(f"term string, block long, n int, peak double, docs array<{doc}>, tfs array<long>, lengths array<int>, bucket int").parquet(f"{path}/blocks")
+        self.terms = spark.read.schema("term string, df long, peak double, bucket int").parquet(f"{path}/terms")
+        self.blocks = spark.read.schema(f"term string, block long, n int, peak double, docs array<{doc}>, tfs array<int>, lengths array<int>, bucket int").parquet(f"{path}/blocks")
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
@@ -65,39 +75,34 @@ class Index:
 
     @classmethod
     def save(cls, docs: DataFrame, path: str, key: str = "doc_id", body: str = "body") -> Index:
-        """Index `docs` into an empty folder, reading their texts once. `meta` is written last, so a folder with it is whole. Null bodies have no terms but count as documents."""
-        spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "index")
-        n_docs = docs.count()
+        """Index `docs` into an empty folder; their texts are read once for the average length and once for the postings, which are shuffled once. `meta` is written last, so
+        a folder with it is whole. Null bodies have no terms but count as documents."""
+        spark = docs.sparkSession
+        n_docs, words = docs.agg(F.count("*"), F.sum(F.regexp_count(F.lower(F.col(body)), F.lit(TOKEN)))).head()
+        average = (words or 0) / max(n_docs, 1)
         bits = max(0, math.ceil(math.log2(n_docs / SEGMENT))) if n_docs else 0
         buckets = 1 << min(max(math.ceil(math.log2(max(n_docs / BUCKET_DOCS, 1))), int(math.log2(BUCKETS[0]))), int(math.log2(BUCKETS[1])))
-        each = docs.select(F.col(key).alias("doc"), tokens(F.col(body)).alias("t")).select("doc", F.size("t").alias("length"), F.explode("t").alias("term"))
-        each = each.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
-        parts = each.groupBy("term", segment(F.col("doc"), bits).alias("segment")).agg(F.collect_list(F.struct("doc", "tf", "length")).alias("posts"), F.count("*").alias("n"), F.sum("tf").alias("words"))
-        parts = scratch.table(parts)
-        average = (parts.agg(F.sum("words")).head()[0] or 0) / max(n_docs, 1)
-        level = F.least(F.lit(bits), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / BLOCK)))).cast("int")
-        df = parts.groupBy("term").agg(F.sum("n").alias("df")).withColumn("level", level)
-        block = F.expr(f"shiftright(segment, {bits} - level)").alias("block")
-        merged = parts.join(df, "term").groupBy("term", "df", "level", block).agg(F.array_sort(F.flatten(F.collect_list("posts"))).alias("posts"))
-        of = lambda name: F.transform("posts", lambda p: p[name])
+        each = frequencies(docs, key, body).select("doc", "length", "term", "tf", segment(F.col("doc"), bits).alias("block"), bucket_of(F.col("term"), buckets).alias("bucket"))
+        each = each.withColumn("lane", (F.col("block") % SPREAD).cast("int")).repartition("bucket", "lane")
+        posts = each.groupBy("bucket", "lane", "term", "block").agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "length"))).alias("posts"))
+        of = lambda name: F.transform("posts", lambda p: p[name]).alias(f"{name}s")
         peak = F.array_max(F.transform("posts", lambda p: weight(p["tf"], p["length"], F.lit(average))))
-        made = merged.select("term", "df", "level", "block", F.size("posts").alias("n"), peak.alias("peak"), of("doc").alias("docs"), of("tf").alias("tfs"), of("length").alias("lengths"))
-        made = scratch.table(made.withColumn("bucket", bucket_of(F.col("term"), F.col("block"), buckets)))
-        put = lambda df, name, *order: df.repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
-        put(made.drop("df", "level"), "blocks", "term", "block")
-        every = made.groupBy("term", "df", "level").agg(F.max("peak").alias("peak")).withColumn("bucket", bucket_of(F.col("term"), F.lit(0), buckets))
-        put(every, "terms", "term")
-        spark.createDataFrame([(n_docs, float(average), bits, buckets, docs.schema[key].dataType.simpleString())], "n_docs long, average double, bits int, buckets int, doc string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-        scratch.keep()
+        made = posts.select("term", "block", F.size("posts").alias("n"), peak.alias("peak"), of("doc"), of("tf"), of("length"), "bucket")
+        made.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+        heads = spark.read.schema("term string, n int, peak double, bucket int").parquet(f"{path}/blocks")
+        every = heads.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("peak").alias("peak")).repartition("bucket")
+        every.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        meta = [(n_docs, float(average), bits, buckets, docs.schema[key].dataType.simpleString())]
+        spark.createDataFrame(meta, "n_docs long, average double, bits int, buckets int, doc string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return cls(spark, path)
 
     def asked(self, queries: DataFrame) -> DataFrame:
-        """(query_id, term, level, df, weight, upper) of the terms of (query_id, query) that the index has; a repeated term weighs as often; upper: the most it can add to a score."""
+        """(query_id, term, df, weight, upper) of the terms of (query_id, query) that the index has; a repeated term weighs as often; upper: the most it can add to a score."""
         each = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        each = each.withColumn("bucket", bucket_of(F.col("term"), F.lit(0), self.buckets))
+        each = each.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
         idf = F.log(1 + (F.lit(float(self.n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         found = each.join(self.only(self.terms, each), ["bucket", "term"]).withColumn("weight", F.col("times") * idf * (K1 + 1))
-        return found.select("query_id", "term", "level", "df", "weight", (F.col("weight") * F.col("peak")).alias("upper"))
+        return found.select("query_id", "term", "df", "weight", (F.col("weight") * F.col("peak")).alias("upper"))
 
     def only(self, table: DataFrame, wanted: DataFrame) -> DataFrame:
         """The folders of `table` that `wanted` names; at most as many numbers as there are buckets come to the driver."""
@@ -105,23 +110,21 @@ class Index:
 
     def headers(self, asked: DataFrame) -> DataFrame:
         """`asked` with block, n and bound, the most that a posting of the block adds: a row for each query, term and block. No postings are read."""
-        runs = asked.select("term", "level").distinct().select("term", F.explode(F.expr(f"sequence(0L, shiftright(shiftleft(1L, level) - 1, {int(math.log2(RUN))}))")).alias("run"))
-        runs = runs.select(bucket_of(F.col("term"), F.col("run") * RUN, self.buckets).alias("bucket"))
-        heads = self.only(self.blocks, runs).select("term", "block", "n", F.col("peak").alias("block_peak"))
+        heads = self.only(self.blocks, asked.select(bucket_of(F.col("term"), self.buckets).alias("bucket"))).select("term", "block", "n", F.col("peak").alias("block_peak"))
         return asked.join(heads, "term").withColumn("bound", F.col("weight") * F.col("block_peak")).drop("block_peak")
 
     def postings(self, wanted: DataFrame, scratch: Scratch) -> DataFrame:
         """(term, doc, part) of the blocks (term, block) asked for: the part that a term of weight 1 adds to a document's score."""
-        wanted = scratch.table(wanted.select("term", "block", bucket_of(F.col("term"), F.col("block"), self.buckets).alias("bucket")).distinct())
+        wanted = scratch.table(wanted.select("term", "block", bucket_of(F.col("term"), self.buckets).alias("bucket")).distinct())
         read = self.only(self.blocks, wanted).join(wanted, ["bucket", "term", "block"], "left_semi")
         each = read.select("term", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("p"))
         return each.select("term", F.col("p.docs").alias("doc"), weight(F.col("p.tfs"), F.col("p.lengths"), F.lit(self.average)).alias("part"))
 
     def looked_up(self, candidates: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
         """(query_id, doc, score) of candidates (query_id, doc) from the terms in `asked`, from the blocks in which their postings can be; no row where there are none."""
-        weights = asked.select("query_id", "term", "level", "weight")
-        places = candidates.select("query_id", segment(F.col("doc"), self.bits).alias("segment")).distinct()
-        blocks = places.join(weights, "query_id").select("term", F.expr(f"shiftright(segment, {self.bits} - level)").alias("block"))
+        weights = asked.select("query_id", "term", "weight")
+        places = candidates.select("query_id", segment(F.col("doc"), self.bits).alias("block")).distinct()
+        blocks = places.join(weights, "query_id").select("term", "block")
         parts = self.postings(blocks, scratch)
         looked = candidates.select("query_id", "doc").join(weights, "query_id")
         return looked.join(parts, ["term", "doc"]).groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
