@@ -50,7 +50,7 @@ def test_blocks_are_bounded_and_headers_true(spark, small, tmp_path):
     docs, _ = corpus(spark)
     saved = ix.Index.save(docs, str(tmp_path / "i"))
     b = saved.blocks.withColumn("best", F.array_max(F.zip_with("tfs", "lengths", lambda t, n: ix.weight(t, n, F.lit(saved.average)))))
-    assert b.filter("n <> size(docs) or abs(best - peak) > 1e-12 or docs <> array_sort(docs)").count() == 0
+    assert b.filter("n <> size(docs) or abs(best - peak) > 1e-12 or size(docs) <> size(array_distinct(docs))").count() == 0
     assert b.agg(F.max("n")).head()[0] <= 4 * ix.SEGMENT and saved.n_docs == 604
     frequency = {r["term"]: r["df"] for r in saved.terms.collect()}
     assert frequency == {r["term"]: r["n"] for r in b.groupBy("term").agg(F.sum("n").alias("n")).collect()}

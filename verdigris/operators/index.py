@@ -49,13 +49,11 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def frequencies(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """(doc, length, term, tf): the terms of each document are sorted and counted within its row, so nothing is shuffled for it."""
-    each = docs.select(F.col(key).alias("doc"), F.array_sort(tokens(F.col(body))).alias("t")).withColumn("length", F.size("t")).filter("length > 0")
-    begins = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    each = each.withColumn("begins", begins)
-    ends = F.concat(F.slice("begins", F.lit(2), F.col("length")), F.array("length"))
-    counted = F.zip_with("begins", ends, lambda a, b: F.struct(F.get("t", a).alias("term"), (b - a).alias("tf")))
-    return each.select("doc", "length", F.inline(counted))
+    """(doc, length, term, tf). Texts are dealt by key first, so that counting their terms needs no shuffle of terms; rows without a key are left out."""
+    dealt = docs.select(F.col(key).alias("doc"), F.col(body).alias("body")).filter("doc is not null").repartition("doc")
+    # the outer form, as the inner one would have Spark tokenise before the shuffle too, to leave out empty texts
+    each = dealt.select("doc", tokens(F.col("body")).alias("t")).select("doc", F.size("t").alias("length"), F.explode_outer("t").alias("term"))
+    return each.filter("term is not null").groupBy("doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 class Index:
@@ -75,7 +73,7 @@ class Index:
 
     @classmethod
     def save(cls, docs: DataFrame, path: str, key: str = "doc_id", body: str = "body") -> Index:
-        """Index `docs` into an empty folder; their texts are read once for the average length and once for the postings, which are shuffled once. `meta` is written last, so
+        """Index `docs` into an empty folder; their texts are read once for the average length and once for the postings, and texts and postings are shuffled once. `meta` is written last, so
         a folder with it is whole. Null bodies have no terms but count as documents."""
         spark = docs.sparkSession
         n_docs, words = docs.agg(F.count("*"), F.sum(F.regexp_count(F.lower(F.col(body)), F.lit(TOKEN)))).head()
@@ -84,10 +82,11 @@ class Index:
         buckets = 1 << min(max(math.ceil(math.log2(max(n_docs / BUCKET_DOCS, 1))), int(math.log2(BUCKETS[0]))), int(math.log2(BUCKETS[1])))
         each = frequencies(docs, key, body).select("doc", "length", "term", "tf", segment(F.col("doc"), bits).alias("block"), bucket_of(F.col("term"), buckets).alias("bucket"))
         each = each.withColumn("lane", (F.col("block") % SPREAD).cast("int")).repartition("bucket", "lane")
-        posts = each.groupBy("bucket", "lane", "term", "block").agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "length"))).alias("posts"))
-        of = lambda name: F.transform("posts", lambda p: p[name]).alias(f"{name}s")
-        peak = F.array_max(F.transform("posts", lambda p: weight(p["tf"], p["length"], F.lit(average))))
-        made = posts.select("term", "block", F.size("posts").alias("n"), peak.alias("peak"), of("doc"), of("tf"), of("length"), "bucket")
+        # one row after the other goes to all three lists, and none holds nulls, so their entries stand side by side
+        lists = [F.collect_list(c).alias(f"{c}s") for c in ("doc", "tf", "length")]
+        posts = each.groupBy("bucket", "lane", "term", "block").agg(*lists)
+        peak = F.array_max(F.zip_with("tfs", "lengths", lambda tf, length: weight(tf, length, F.lit(average))))
+        made = posts.select("term", "block", F.size("docs").alias("n"), peak.alias("peak"), "docs", "tfs", "lengths", "bucket")
         made.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
         heads = spark.read.schema("term string, n int, peak double, bucket int").parquet(f"{path}/blocks")
         every = heads.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("peak").alias("peak")).repartition("bucket")
