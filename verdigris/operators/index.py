@@ -30,6 +30,8 @@ SEGMENT, BUCKETS, BUCKET_DOCS, SPREAD = 1024, (16, 4096), 16_384, 16
 SEED_TERMS, SEED_BLOCKS, SEED_HITS = 16, 64, 8
 #: Terms that stand in at most this part of the documents are read at once, whether they name candidates or not, as their postings are few.
 FEW = 1 / 32
+#: A table of at most so many rows of a term and a few numbers is sent to all tasks; a larger one is joined by a shuffle.
+SENT_ROWS = 100_000
 #: Changes with the layout of the folders, so that no index of another layout is opened.
 LAYOUT = 3
 #: Sums in another order differ by less than this.
@@ -48,6 +50,11 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def sent(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def frequencies(docs: DataFrame, key: str, body: str) -> DataFrame:
     """(doc, length, term, tf). Texts are dealt by key first, so that counting their terms needs no shuffle of terms; rows without a key are left out."""
     dealt = docs.select(F.col(key).alias("doc"), F.col(body).alias("body")).filter("doc is not null").repartition("doc")
@@ -115,7 +122,7 @@ class Index:
     def postings(self, wanted: DataFrame, scratch: Scratch) -> DataFrame:
         """(term, doc, part) of the blocks (term, block) asked for: the part that a term of weight 1 adds to a document's score."""
         wanted = scratch.table(wanted.select("term", "block", bucket_of(F.col("term"), self.buckets).alias("bucket")).distinct())
-        read = self.only(self.blocks, wanted).join(wanted, ["bucket", "term", "block"], "left_semi")
+        read = self.only(self.blocks, wanted).join(sent(wanted), ["bucket", "term", "block"], "left_semi")
         each = read.select("term", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("p"))
         return each.select("term", F.col("p.docs").alias("doc"), weight(F.col("p.tfs"), F.col("p.lengths"), F.lit(self.average)).alias("part"))
 
@@ -133,7 +140,8 @@ class Index:
         best = lambda df, by, n: df.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*by))).filter(F.col("_r") <= n).drop("_r")
         strong = best(asked, [F.col("upper").desc(), "term"], SEED_TERMS)
         seeds = scratch.table(best(self.headers(strong), [F.col("bound").desc(), "term", "block"], SEED_BLOCKS).select("query_id", "term", "block", "weight"))
-        hits = seeds.drop("block").distinct().join(self.postings(seeds, scratch), "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+        weights = sent(scratch.table(seeds.drop("block").distinct()))
+        hits = self.postings(seeds, scratch).join(weights, "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
         scored = self.looked_up(best(hits, [F.col("score").desc(), "doc"], SEED_HITS * k).select("query_id", "doc"), asked, scratch)
         last = scored.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc())))
         return scratch.table(last.filter(F.col("_r") == k).select("query_id", (F.col("score") - SLACK).alias("bar")))
@@ -163,8 +171,8 @@ class Index:
         asked = scratch.table(self.asked(queries))
         planned = scratch.table(self.plan(asked, self.bars(asked, k, scratch)))
         wanted = scratch.table(self.wanted(planned).filter("read"))
-        weights = wanted.select("query_id", "term", "weight").distinct()
-        near = weights.join(self.postings(wanted, scratch), "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+        weights = sent(scratch.table(wanted.select("query_id", "term", "weight").distinct()))
+        near = self.postings(wanted, scratch).join(weights, "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
         limits = planned.select("query_id", "bar", "rest", "later").distinct()
 
         def able(rows: DataFrame, rest: str) -> DataFrame:
