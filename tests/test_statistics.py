@@ -123,6 +123,26 @@ def test_allocation_and_stratified_sample(spark):
     assert got.select("id").distinct().count() == 100 and sampling.sample(rows, 0.25, 1, "id").count() == 45
 
 
+def test_selection_by_histograms_equals_sorting(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(sampling, "RANKED", 3)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
+    rows = [(i, None if i % 7 == 0 else "abc"[i % 3 % 2], i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, cell string, n int").repartition(7)
+    order = lambda i: (hashlib.md5(f"5-{i}".encode()).hexdigest(), i)
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    for share in (0.0, 0.001, 0.37, 1.0):
+        assert ids(sampling.sample(df, share, 5, "id")) == sorted(sorted(range(900), key=order)[: round(share * 900)])
+    take = spark.createDataFrame([("a", 0, 40), ("b", 1, 1), (None, 1, 10_000), ("none", 0, 3), ("a", 1, 0)], "cell string, n int, _take long")
+    want = []
+    for c, n, k in (("a", 0, 40), ("b", 1, 1), (None, 1, 10_000)):
+        want += sorted((i for i, x, y in rows if (x, y) == (c, n)), key=order)[:k]
+    got = sampling.first_by_hash(df, take, ["cell", "n"], 5, "id")
+    assert ids(got) == sorted(want) and got.columns == df.columns
+    assert sampling.sample(df.limit(0), 0.5, 5, "id").count() == 0
+
+
 def test_spending_refuses_from_the_cap_on(spark):
     rows = spark.createDataFrame([("r", i, 1.5) for i in range(4)], "run string, seq int, cost double")
     got = pairing.running_cost(rows, "run", ["seq"], "cost", 3.0).orderBy("seq").collect()

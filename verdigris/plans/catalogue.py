@@ -259,7 +259,19 @@ def q_seeded_sample(spark, d):
     return sampling.sample(table(spark, d, "labels"), 0.2, 11, "doc_id").select("doc_id")
 
 
-@query()
+PICK = "list_position(list_transform(s, lambda x, i: {0}), list_max(list_transform(s, lambda x, i: {0})))"
+MORE, LESS = PICK.format("case when a[i] < x then x - a[i] else -1 end"), PICK.format("case when a[i] > f[i] then a[i] else -1 end")
+
+
+@query(
+    f"""with recursive r as (select doc_id, lang, quality, row_number() over (partition by lang, quality order by md5('11-'||doc_id), doc_id) rn from documents join labels using(doc_id)),
+ c as (select lang, quality, count(*) s from r group by all),
+ o as (select list(lang order by lang nulls first, quality nulls first) l, list(quality order by lang nulls first, quality nulls first) q, list(s order by lang nulls first, quality nulls first) s, sum(s)::bigint t from c),
+ p(l, q, s, f, n, a) as (select l, q, s, list_transform(s, lambda x: least(3, x)), least(60, t), list_transform(s, lambda x: least(x, greatest(3, round_even(least(60, t)*x/t, 0)::bigint))) from o
+  union all select l, q, s, f, n, list_transform(a, lambda x, i: x + case when list_sum(a) > n then -(i = {LESS})::int else (i = {MORE})::int end) from p where list_sum(a) <> n),
+ k as (select unnest(l) lang, unnest(q) quality, unnest(a) take from p where list_sum(a) = n)
+ select doc_id, r.lang, r.quality from r join k on r.lang is not distinct from k.lang and r.quality is not distinct from k.quality where rn <= take"""
+)
 def q_stratified_sample(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
     return sampling.stratified_sample(rows, ["lang", "quality"], 60, 3, 11, "doc_id").select("doc_id", "lang", "quality")
