@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import calculator, parsing, scoring, text
-from verdigris.operators import index, judging, pairing, quality, retrieval, sampling, similarity
+from verdigris.operators import bootstrap, index, judging, pairing, quality, retrieval, sampling, similarity
 from verdigris.operators import statistics as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +158,29 @@ def q_running_cost_cap(spark, d):
     return pairing.running_cost(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "cost", 4.0).select("l_orderkey", "l_linenumber", F.round("spent", 8).alias("spent"), "refused")
 
 
+# --- the bootstrap by Poisson counts
+
+LO_HI = "round(quantile_cont({0},0.025),6) lo, round(quantile_cont({0},0.975),6) hi"
+
+
+@query(f"with {ALL}, {bootstrap.counts_sql('d', 'task_id', RESAMPLES, SEED)}, x as (select b, sum(c*d)/sum(c) m from w group by b) select (select count(*) from d) n, round((select avg(d) from d),6) mean, {LO_HI.format('m')}, round(avg(case when m<0 then 1.0 else 0.0 end),6) p_neg from x")
+def q_poisson_mean(spark, d):
+    return bootstrap.mean_ci(deltas(spark, d), "d", "task_id", RESAMPLES, SEED).select("n", *(r6(c, c) for c in ("mean", "lo", "hi", "p_neg")))
+
+
+@query(
+    TAGS
+    + f""", {bootstrap.counts_sql("(select tag, task_id, d from td)", "task_id", 300, SEED)}, x as (select tag, b, sum(c*d)/sum(c) m from w group by all having sum(c) > 0),
+ s as (select tag, quantile_cont(m,0.025) lo, quantile_cont(m,0.975) hi, 1 - avg(case when m<0 then 1.0 else 0.0 end) p from x group by tag),
+ j as (select a.*, lo, hi, p, row_number() over (order by p, a.tag) rk, count(*) over () m from (select tag, count(*) n, avg(d) delta from td group by tag) a join s on s.tag=a.tag),
+ k as (select max(case when p <= 0.05*rk/m then rk end) k from j)
+ select tag, n, round(delta,6) delta, round(lo,6) lo, round(hi,6) hi, round(p,6) p, coalesce(rk <= (select k from k), false) and delta < 0 flagged from j"""
+)
+def q_poisson_per_tag(spark, d):
+    rows = pairing.tag_deltas(pairing.paired(*runs(spark, d)), tags_of(spark, d))
+    return bootstrap.per_tag(rows, 300, SEED).select("tag", "n", r6("delta", "delta"), r6("lo", "lo"), r6("hi", "hi"), r6("p", "p"), "flagged")
+
+
 # --- retrieval
 
 BM25 = """with toks as (select doc_id, regexp_extract_all(lower(text),'[a-z0-9]+') t from documents),
@@ -316,6 +339,21 @@ def q_kappa_ci(spark, d):
     return st.agreement_report(raters(spark, d), 200, SEED, "doc_id").filter("metric = 'kappa'").select(r6("lo", "lo"), r6("hi", "hi"))
 
 
+METRICS = {"raw": "raw", "kappa": "(raw-(a*t+(1-a)*(1-t)))/(1-(a*t+(1-a)*(1-t)))", "ac1": "(raw-2*((a+t)/2)*(1-(a+t)/2))/(1-2*((a+t)/2)*(1-(a+t)/2))", "pabak": "2*raw-1", "precision": "tp/(tp+fp)", "recall": "tp/(tp+fn)"}
+
+
+@query(
+    f"""with p as ({RATERS}), {bootstrap.counts_sql("p", "doc_id", 200, SEED)},
+ q as (select b, sum(c) filter (not pred and not truth) tn, sum(c) filter (pred and not truth) fp, sum(c) filter (not pred and truth) fn, sum(c) filter (pred and truth) tp from w group by b),
+ z as (select coalesce(tn,0)::double tn, coalesce(fp,0)::double fp, coalesce(fn,0)::double fn, coalesce(tp,0)::double tp from q),
+ m as (select *, (tp+tn)/(tn+fp+fn+tp) raw, (tp+fp)/(tn+fp+fn+tp) a, (tp+fn)/(tn+fp+fn+tp) t from z),
+ u as ({" union all ".join(f"select '{n}' metric, {e} x from m" for n, e in METRICS.items())})
+ select metric, {LO_HI.format("x")} from u where x is not null and not isnan(x) group by metric"""
+)
+def q_poisson_agreement(spark, d):
+    return bootstrap.agreement_ci(raters(spark, d), "doc_id", 200, SEED).select("metric", r6("lo", "lo"), r6("hi", "hi"))
+
+
 LENGTHS = "select doc_id, source g, ln(n_chars) x, quality::double y from documents join labels using(doc_id)"
 
 
@@ -337,6 +375,25 @@ def q_slope_cluster(spark, d):
     return st.slope_ci(lengths(spark, d), 500, SEED).select(r6("slope", "slope"), r6("lo", "lo"), r6("hi", "hi"))
 
 
+@query(
+    f"""with l as (select * from ({LENGTHS}) where g is not null and x is not null and y is not null), {bootstrap.counts_sql("l", "g", 500, SEED)},
+ t as (select b, sum(c)::double n, sum(c*x) sx, sum(c*y) sy, sum(c*x*y) sxy, sum(c*x*x) sxx from w group by b), x as (select case when n*sxx-sx*sx <> 0 then {SLOPE} end s from t)
+ select round((select regr_slope(y,x) from l),6) slope, {LO_HI.format("s")} from x"""
+)
+def q_poisson_slope(spark, d):
+    return bootstrap.slope_ci(lengths(spark, d), 500, SEED).select(r6("slope", "slope"), r6("lo", "lo"), r6("hi", "hi"))
+
+
+@query(
+    f"""with l as (select doc_id, ln(n_chars) x, quality::double y, toxic g from documents join labels using(doc_id)), {bootstrap.counts_sql("l", "doc_id", 200, SEED)},
+ s as (select b, g, sum(c)::double n, sum(c*x) sx, sum(c*y) sy, sum(c*x*y) sxy, sum(c*x*x) sxx, sum(c*y*y) syy from w group by b, g having sum(c) > 0),
+ t as (select b, sum(sxy-sx*sy/n) xy, sum(sxx-sx*sx/n) xx, sum(syy-sy*sy/n) yy from s group by b), r as (select case when xx>1e-9 and yy>1e-9 then xy/sqrt(xx*yy) else 0 end r from t)
+ select {LO_HI.format("r")} from r"""
+)
+def q_poisson_partial_corr(spark, d):
+    return bootstrap.partial_correlation_ci(lengths(spark, d), "x", "y", "t", "doc_id", 200, SEED).select(r6("lo", "lo"), r6("hi", "hi"))
+
+
 @query("with l as (select ln(n_chars) x, quality::double y, toxic g from documents join labels using(doc_id)), c as (select x-avg(x) over (partition by g) x, y-avg(y) over (partition by g) y from l) select round(coalesce(sum(x*y)/nullif(sqrt(sum(x*x)*sum(y*y)),0),0),6) partial_corr from c")
 def q_partial_corr(spark, d):
     return st.partial_correlation(lengths(spark, d), "x", "y", "t").select(r6("partial_corr", "partial_corr"))
