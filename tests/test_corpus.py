@@ -107,6 +107,44 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.8}) and len(got) > 50
 
 
+def jaccards(rows, left, right):
+    norm = {i: " ".join(t.split()) for i, t in rows}
+    sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} if len(t) >= 5 else {t} for i, t in norm.items()}
+    return {(a, b): j for a in left for b in right if (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.8}
+
+
+def test_one_template_in_most_rows(spark, monkeypatch):
+    """Nearly all rows are a long template with words of their own: its shingles are under most rows, and sizes and grids split what meets."""
+    import random
+
+    r = random.Random(9)
+    monkeypatch.setattr(similarity, "HOT", 5)
+    monkeypatch.setattr(similarity, "AT_ONCE", 500)
+    monkeypatch.setattr(similarity, "FAN_IN", 2)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9)))
+    template = " ".join(word() for _ in range(25))
+    rows = [(i, f"{' '.join(word() for _ in range(r.randrange(0, 9)))} {template}") for i in range(120)] + [(200 + i, " ".join(word() for _ in range(30))) for i in range(20)]
+    rows += [(300, ""), (301, "ab"), (302, "ab"), (303, "é \U0001f600 z" * 9), (304, "é \U0001f600 z" * 9)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(5)
+    got = {(x["a"], x["b"]): x["jaccard"] for x in similarity.near_duplicates(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), "id", "t").collect()}
+    want = jaccards([(i, "".join(c for c in t if c != "\U0001f600")) for i, t in rows], [i for i, _ in rows if i % 2 == 0], [i for i, _ in rows if i % 2])
+    assert got == pytest.approx(want) and 300 < len(got) < 60 * 60
+
+
+def test_few_shingles_of_a_text_are_joined(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60))) for i in range(40)]
+    classes = spark.createDataFrame([(str(i), t, 1, 1) for i, t in rows], "cls string, norm string, in_l int, in_r int")
+    scratch = similarity.Scratch(spark, "t")
+    counts = similarity.sketch(classes, 5, scratch)
+    shingles = sum(len({t[k : k + 5] for k in range(len(t) - 4)}) for _, t in rows)
+    assert counts.sum() == shingles
+    chosen = similarity.prefixes(classes, 5, 0.8, counts)
+    assert chosen.count() < 0.21 * shingles and chosen.filter("place > k - ceil(0.8 * k - 1e-9) + 1").count() == 0
+
+
 def test_corruptions(spark, docs):
     example = [("e", "t", "v", 0, "multi_hop", "q", "25 days; from 2025", "They get 25 days, and it began in 2025.", ["HR-002"], None)]
     examples = spark.createDataFrame(example, schemas.EXAMPLE)

@@ -240,7 +240,16 @@ def q_get_documents(spark, d):
     return retrieval.get_documents(asked, docs)
 
 
-@query()
+@query(
+    r"""with n as (select doc_id, doc_id % 2 side, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')),'[^\p{L}\p{N}_\s\p{Z}]','','g'),'[\s\p{Z}]+',' ','g')) n from documents),
+ c as (select doc_id, side, n, string_split(n, '') c from n),
+ g as (select distinct doc_id, side, unnest(case when length(n) < 5 then [n] else list_transform(generate_series(1, len(c) - 4), lambda i: c[i]||c[i+1]||c[i+2]||c[i+3]||c[i+4]) end) gram from c),
+ r as (select *, count(*) over (partition by doc_id) k, count(*) over (partition by gram) f from g),
+ p as (select doc_id, side, gram, k from (select *, row_number() over (partition by doc_id order by f, gram) rn from r where f > 0) where rn <= k - ceil(0.8 * k - 1e-9) + 1),
+ x as (select distinct a.doc_id a, b.doc_id b, a.k ka, b.k kb from p a join p b using (gram) where a.side = 0 and b.side = 1 and least(a.k, b.k) >= 0.8 * greatest(a.k, b.k) - 1e-9),
+ i as (select a, b, ka, kb, count(*) m from x join g u on u.doc_id = a join g v on v.doc_id = b and v.gram = u.gram group by all)
+ select a, b, round(m / (ka + kb - m), 6) jaccard from i where m / (ka + kb - m) >= 0.8"""
+)
 def q_near_dup(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return similarity.near_duplicates(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), "doc_id", "text").select("a", "b", r6("jaccard", "jaccard"))
