@@ -32,9 +32,29 @@ def normalize(text: Column) -> Column:
     return collapse(F.regexp_replace(F.lower(text), NOT_WORD, ""))
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Full case folding of every code point, from the interpreter's own Unicode tables: characters that fold to one, what they fold to, and those that fold to several."""
+    changed = {c: f for c in map(chr, range(0x110000)) if (f := c.casefold()) != c}
+    single = [c for c, f in changed.items() if len(f) == 1]
+    return "".join(single), "".join(changed[c] for c in single), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+ONE, FOLDED, SEVERAL = _folds()
+
+
+def fold(text: Column) -> Column:
+    """Case folding over all of Unicode: final sigma is sigma, the sharp s is ss, the dotted capital I is i and a combining dot, ligatures are their letters.
+
+    What a character folds to folds to itself, so the order of both steps does not matter. The second step runs over texts that hold one of its characters only.
+    """
+    once = F.translate(text, ONE, FOLDED)
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in SEVERAL.items()])
+    return F.when(once.rlike(f"[{''.join(SEVERAL)}]"), F.aggregate(pairs, once, lambda t, p: F.replace(t, p["c"], p["f"]))).otherwise(once)
+
+
 def normalize_answer(text: Column) -> Column:
-    """normalize() after case folding; the sharp s is the fold that lower() leaves out."""
-    return normalize(F.replace(text, F.lit("ß"), F.lit("ss")))
+    """Case folding without punctuation, blanks collapsed."""
+    return collapse(F.regexp_replace(fold(text), NOT_WORD, ""))
 
 
 def shingles(text: Column, n: int = 5) -> Column:

@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.functions import calculator, parsing, scoring, text
-from verdigris.operators import bootstrap, index, judging, pairing, quality, retrieval, sampling, similarity
+from verdigris.functions import calculator, parsing, scoring, tables, text
+from verdigris.operators import bootstrap, index, judging, negatives, pairing, quality, retrieval, sampling, similarity
 from verdigris.operators import statistics as st
+from verdigris.sources.scratch import Scratch
+from verdigris.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,6 +160,25 @@ def q_running_cost_cap(spark, d):
     return pairing.running_cost(rows, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "cost", 4.0).select("l_orderkey", "l_linenumber", F.round("spent", 8).alias("spent"), "refused")
 
 
+@query(
+    """with h as (select user_id, date_trunc('hour', ts) hr, count(*) calls, sum(coalesce(value,0)) cost from events where ts is not null and user_id is not null group by all),
+ s as (select *, case when hr - lag(hr) over (partition by user_id order by hr) > interval 24 hour then 1 else 0 end fresh from h),
+ g as (select *, sum(fresh) over (partition by user_id order by hr) g from s),
+ t as (select *, coalesce(sum(cost) over (partition by user_id, g order by hr rows between unbounded preceding and 1 preceding),0) b from g)
+ select user_id::varchar run_id, strftime(hr, '%Y-%m-%d %H') as "hour", calls, round(b,6) spent_before, round(b+cost,6) spent, round(b,6) >= 100 refused from t where hr + interval 1 hour <= (select max(ts) - interval 2 hour from events)"""
+)
+def q_hourly_cap(spark, d):
+    """The spending of each user by hour, as a stream settles it: hours that the watermark has passed."""
+    scratch = Scratch(spark, "hourly")
+    # a pattern of one name, as a stream's path is a folder or a pattern
+    arriving = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    calls = arriving.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cost"))
+    with live.rocksdb(spark):
+        live.append_once(live.hourly_spending(calls, 100.0), f"{scratch.root}/settled", f"{scratch.root}/progress")
+    settled = live.appended(spark, f"{scratch.root}/settled", live.SETTLED)
+    return settled.select("run_id", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "calls", r6("spent_before", "spent_before"), r6("spent", "spent"), (F.round("spent_before", 6) >= 100).alias("refused"))
+
+
 # --- the bootstrap by Poisson counts
 
 LO_HI = "round(quantile_cont({0},0.025),6) lo, round(quantile_cont({0},0.975),6) hi"
@@ -207,6 +228,19 @@ def q_bm25_topk(spark, d):
     return bm25(spark, d)[0].select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", r6("score", "score"))
 
 
+@query(BM25 + " select query_id, rank, doc_id, round(score,6) score from k where rank<=5")
+def q_search_table(spark, d):
+    """Search in SQL text: a table function over a question's blocks in each segment of the documents, then the best of all segments."""
+    tables.register(spark)
+    blocks = tables.question_blocks(index.kept(table(spark, d, "documents"), "doc_id", "text"), questions(spark, d), 5)
+    return spark.sql(
+        """with hits as (select * from search_docs(table(select * from {blocks}) partition by (query_id, block), 5)),
+        ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from hits)
+        select query_id, cast(rank as bigint) as rank, doc_id, round(score, 6) as score from ranked where rank <= 5""",
+        blocks=blocks,
+    )
+
+
 @query(
     BM25
     + r""", h as (select k.query_id, k.doc_id, d.text body, b.text query from k join documents d on d.doc_id=k.doc_id join benchmark b on b.item_id=k.query_id where rank=1),
@@ -240,6 +274,19 @@ def q_get_documents(spark, d):
     return retrieval.get_documents(asked, docs)
 
 
+@query("with a as (select distinct l_orderkey*3 k from lineitem) select k::varchar doc_id, coalesce(o_orderpriority, 'error: no document '||k) as text from a left join orders on o_orderkey=k")
+def q_get_doc_table(spark, d):
+    """The same in SQL text: documents and requests dealt by id to a table function."""
+    tables.register(spark)
+    return spark.sql(
+        """select doc_id, text from get_doc(table(
+            select cast(o_orderkey as string) as doc_id, o_orderpriority as text, false as asked from {orders}
+            union all select distinct cast(l_orderkey * 3 as string), cast(null as string), true from {lineitem}) partition by doc_id order by asked)""",
+        orders=table(spark, d, "orders"),
+        lineitem=table(spark, d, "lineitem"),
+    )
+
+
 @query(
     r"""with n as (select doc_id, doc_id % 2 side, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')),'[^\p{L}\p{N}_\s\p{Z}]','','g'),'[\s\p{Z}]+',' ','g')) n from documents),
  c as (select doc_id, side, n, string_split(n, '') c from n),
@@ -468,6 +515,12 @@ def q_exact_match(spark, d):
     return p.join(b, F.col("k") == F.col("p_partkey") - F.col("p_partkey") % 2).select("p_partkey", text.match_answer(F.concat(F.col("p_name"), F.lit(" ! ")), F.col("ref"), F.lit("exact")).alias("ok"))
 
 
+@query("select doc_id, sha256(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ')) folded from documents")
+def q_casefold(spark, d):
+    """Case folding of whole texts; the languages of these tables have no other letters that lower case leaves."""
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.fold(F.col("text")).cast("binary"), 256).alias("folded"))
+
+
 @query(r"select doc_id, array_to_string(list_sort(list_transform(regexp_extract_all(text,'[A-Z]{2,3}-[0-9]{3}|[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x,',',''))),' ') signature from documents")
 def q_facts_signature(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(text.facts_signature(F.col("text")), " ").alias("signature"))
@@ -575,6 +628,39 @@ def q_corrupt_fact(spark, d):
     return judging.corrupted(examples(spark, d), no_docs(spark), "dropped_fact", "").select("example_id", "answer")
 
 
+# Patterns of a fact, as in DuckDB.
+FACTS_SQL = "list_distinct(list_transform(regexp_extract_all({0}, '[A-Z]{{2,3}}-[0-9]{{3}}|[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')))"
+
+
+def cited_examples(spark, d):
+    """Answers about parts that cite a document by its id, and documents as a corpus."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("text").alias("body"))
+    return examples(spark, d).withColumn("citations", F.array((F.col("example_id").cast("long") % 100).cast("string"))), docs
+
+
+@query(
+    f"""with ex as (select p_partkey::varchar example_id, (p_partkey % 100)::varchar cited, {FACTS_SQL.format("'It holds '||p_size||' units; it is '||p_type")} mine from part),
+ docs as (select doc_id::varchar doc, {FACTS_SQL.format('text')} sig from documents where text is not null),
+ {negatives.drawn_sql('ex', 'example_id', 'docs', 'doc', 'doc <> cited and not list_has_any(mine, sig)', 7)}
+ select example_id||'~wrong_citation' example_id, doc citation from drawn"""
+)
+def q_wrong_citation(spark, d):
+    rows, docs = cited_examples(spark, d)
+    return judging.corrupted(rows, docs.filter("text is not null"), "wrong_citation", "", 7).select("example_id", F.col("citations")[0].alias("citation"))
+
+
+@query(
+    f"""with ex as (select p_partkey::varchar example_id, (p_partkey % 100)::varchar cited, coalesce(text, '') told, 'It holds '||p_size||' units; it is '||p_type answer from part left join documents on doc_id = p_partkey % 100),
+ ln as (select doc_id::varchar doc, string_split(text, chr(10)) l from documents), un as (select doc, trim(unnest(l), ' ') claim, generate_subscripts(l, 1) i from ln),
+ docs as (select doc, claim, doc||'#'||lpad((row_number() over (partition by doc order by i) - 1)::varchar, 9, '0') place from un where claim <> '' and not (starts_with(claim, '#') or starts_with(claim, 'This document') or starts_with(claim, 'Related documents') or starts_with(claim, 'Acme '))),
+ {negatives.drawn_sql('ex', 'example_id', 'docs', 'place', 'doc <> cited and not contains(told, claim)', 7)}
+ select example_id||'~unsupported_claim' example_id, answer||' '||claim answer from drawn"""
+)
+def q_unsupported_claim(spark, d):
+    rows, docs = cited_examples(spark, d)
+    return judging.corrupted(rows, docs, "unsupported_claim", "Acme ", 7).select("example_id", "answer")
+
+
 @query("select p_partkey::varchar example_id, count(*) n from part cross join (values (0.5),(1.0)) group by p_partkey")
 def q_pad(spark, d):
     """Two padded forms of every answer that reach their length."""
@@ -614,6 +700,15 @@ def q_safe_eval(spark, d):
     return p.select("p_partkey", calculator.calculate(text_).alias("answer"))
 
 
+@query("select p_partkey, case when p_size % 5 = 0 then null else format('{:.10g}', p_size * (p_partkey + 2) - round(p_retailprice, 2) / (p_size % 5)) end as value, case when p_size % 5 = 0 then 'division by zero' end as error from part")
+def q_calculate_table(spark, d):
+    tables.register(spark)
+    return spark.sql(
+        """select p_partkey, value, error from {part}, lateral calculate(concat(p_size, ' * (', p_partkey, ' + 2) - ', cast(round(p_retailprice, 2) as string), ' / ', p_size % 5))""",
+        part=table(spark, d, "part"),
+    )
+
+
 @query("select n_name, rpad(repeat('█', least(greatest(floor(n_nationkey/25.0*20),0),20)::int),20,'░') bar from nation")
 def q_bar(spark, d):
     return table(spark, d, "nation").select("n_name", text.bar(F.col("n_nationkey") / 25).alias("bar"))
