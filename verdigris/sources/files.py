@@ -59,7 +59,8 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("run_id").parquet(path)
+    """Results of whole runs: a run that is written again replaces itself, other runs stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
