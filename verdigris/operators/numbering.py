@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from verdigris.sources.scratch import Scratch
 
 
-def placed(rows: DataFrame, order: str) -> DataFrame:
-    """rows with _k, the place (from 0) in ascending order of a unique column, and _total, the number of rows.
+def placed(rows: DataFrame, order: str | list[str]) -> DataFrame:
+    """rows with _k, the place (from 0) in ascending order of a unique column (or of several that are unique together), and _total, the number of rows.
 
     Rows are sorted over all partitions and written, so that their places hold; each adds the rows of the partitions before its own, whose
     counts (a number a partition) are all that comes together.

@@ -1,6 +1,6 @@
 """Statistics of evaluation runs: bootstrap, gate rule, multiple testing, agreement, bias tests, Monte Carlo power.
 
-Two bootstrap engines: `resample_means` is relational, with an index taken from MD5, so that any SQL engine gives the same numbers;
+Two bootstrap engines: `resample_means` takes its draws from MD5, so that any SQL engine gives the same numbers (`operators/resampling.py`);
 `bootstrap_by_group` runs the seeded generator of numpy inside an Arrow grouped map, in memory-bounded slices of resamples.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from verdigris.operators.numbering import placed
+from verdigris.operators.resampling import resampled_sums
 
 Z975, Z80 = NormalDist().inv_cdf(0.975), NormalDist().inv_cdf(0.8)
 NAN = float("nan")
@@ -22,28 +22,11 @@ NAN = float("nan")
 SLICE_CELLS = 4_000_000
 
 
-def md5_index(seed: int, resample: Column, draw: Column, n: Column) -> Column:
-    """A pseudo-random index in [0, n) from the first 32 bits of an MD5."""
-    text = F.concat(F.lit(f"{seed}-"), resample.cast("string"), F.lit("-"), draw.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), n)
-
-
-def indexed(values: DataFrame, order: str, value: str, by: list[str]) -> DataFrame:
-    """k: dense index from 0 by `order` within each group; n: size of the group."""
-    if not by:
-        return placed(values.select(F.col(order).alias("_order"), F.col(value).cast("double").alias("d")), "_order").select(F.col("_k").alias("k"), F.col("_total").alias("n"), "d")
-    w = W.partitionBy(*by)
-    return values.select(*by, (F.row_number().over(w.orderBy(order)) - 1).cast("bigint").alias("k"), F.count("*").over(w).alias("n"), F.col(value).cast("double").alias("d"))
-
-
 def resample_means(values: DataFrame, resamples: int, seed: int, order: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by..., b, m): mean of each of `resamples` resamples of each group."""
-    by = by or []
-    dense = indexed(values, order, value, by)
-    draws = dense.select(*by, F.col("k").alias("i"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("k", md5_index(seed, F.col("b"), F.col("i"), F.col("n"))).drop("i", "n")
-    keyed = dense.drop("n")
-    return draws.join(keyed, [*by, "k"]).groupBy(*by, "b").agg(F.avg("d").alias("m"))
+    """(by..., b, m): mean of each of `resamples` resamples of each group; null where only nulls were drawn."""
+    d = F.col(value).cast("double")
+    drawn = resampled_sums(values, order, {"_known": d.isNotNull().cast("int"), "_sum": F.coalesce(d, F.lit(0.0))}, resamples, seed, by)
+    return drawn.select(*(by or []), "b", F.when(F.col("_known") > 0, F.col("_sum") / F.col("_known")).alias("m"))
 
 
 def quantiles(of: str, alpha: float = 0.05) -> list[Column]:
@@ -148,12 +131,9 @@ def agreement(pairs: DataFrame, pred: str = "pred", truth: str = "truth") -> Dat
 
 def agreement_report(pairs: DataFrame, resamples: int, seed: int, order: str, pred: str = "pred", truth: str = "truth") -> DataFrame:
     """metric, point, lo, hi for the six metrics, all from the same resamples; resamples where a metric is NaN are left out of its bounds."""
-    # a pair is one of four codes, so the resample only moves a small integer
-    code = F.col(pred).cast("int") * 2 + F.col(truth).cast("int")
-    dense = indexed(pairs.filter(F.col(pred).isNotNull() & F.col(truth).isNotNull()).withColumn("_code", code), order, "_code", [])
-    draws = dense.select(F.col("k").alias("i"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("k", md5_index(seed, F.col("b"), F.col("i"), F.col("n"))).select("b", "k")
-    drawn = draws.join(dense.select("k", "d"), "k").groupBy("b").agg(*(F.count_if(F.col("d") == c).alias(x) for c, x in ((0, "tn"), (2, "fp"), (1, "fn"), (3, "tp"))))
+    is_ = lambda p, t: ((F.col(pred) == p) & (F.col(truth) == t)).cast("int")
+    known = pairs.filter(F.col(pred).isNotNull() & F.col(truth).isNotNull())
+    drawn = resampled_sums(known, order, {"tn": is_(False, False), "fp": is_(True, False), "fn": is_(False, True), "tp": is_(True, True)}, resamples, seed)
     names = list(metrics())
     long = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*metrics().values()))).alias("metric", "x"))
     point = long(agreement(pairs, pred, truth).select("tn", "fp", "fn", "tp")).withColumnRenamed("x", "point")
@@ -178,14 +158,12 @@ def slope_ci(rows: DataFrame, resamples: int, seed: int, x: str = "x", y: str =
     """slope, lo, hi of y on x; bounds by resampling whole groups, through their sums. NaN where x does not vary."""
     xd, yd = F.col(x).cast("double"), F.col(y).cast("double")
     sums = rows.filter(xd.isNotNull() & yd.isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count("*").cast("double").alias("n"), F.sum(xd).alias("sx"), F.sum(yd).alias("sy"), F.sum(xd * yd).alias("sxy"), F.sum(xd * xd).alias("sxx"))
-    dense = placed(sums, "g").select(F.col("_k").alias("k"), F.col("_total").alias("groups"), "n", "sx", "sy", "sxy", "sxx")
-    total = [F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx")]
+    names = ("n", "sx", "sy", "sxy", "sxx")
+    total = [F.sum(c).alias(c) for c in names]
     of = lambda: _over(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    draws = dense.select(F.col("k").alias("i"), "groups").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("k", md5_index(seed, F.col("b"), F.col("i"), F.col("groups"))).select("b", "k")
-    drawn = draws.join(dense, "k").groupBy("b").agg(*total).select(of().alias("s")).filter(~F.isnan("s"))
+    drawn = resampled_sums(sums, "g", {f"_{c}": F.col(c) for c in names}, resamples, seed).select(*(F.col(f"_{c}").alias(c) for c in names)).select(of().alias("s")).filter(~F.isnan("s"))
     fill = lambda c: F.coalesce(c, F.lit(NAN)).alias(c)
-    return dense.agg(*total).select(of().alias("slope")).crossJoin(drawn.agg(*quantiles("s"))).select("slope", fill("lo"), fill("hi"))  # one row each
+    return sums.agg(*total).select(of().alias("slope")).crossJoin(drawn.agg(*quantiles("s"))).select("slope", fill("lo"), fill("hi"))  # one row each
 
 
 def partial_correlation(rows: DataFrame, a: str, b: str, given: str) -> DataFrame:
@@ -203,13 +181,16 @@ def partial_correlation(rows: DataFrame, a: str, b: str, given: str) -> DataFram
 def partial_correlation_ci(rows: DataFrame, a: str, b: str, given: str, order: str, resamples: int, seed: int) -> DataFrame:
     """point, lo, hi: rows resampled, sums kept by resample and stratum."""
     use = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col(given).isNotNull())
-    own = use.select(F.col(order).alias("_order"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"), F.col(given).alias("g"))
-    dense = placed(own, "_order").select(F.col("_k").alias("k"), F.col("_total").alias("n"), "x", "y", "g")
-    draws = dense.select(F.col("k").alias("i"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draws = draws.withColumn("k", md5_index(seed, F.col("b"), F.col("i"), F.col("n"))).select("b", "k")
-    s = draws.join(dense.drop("n"), "k").groupBy("b", "g").agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"), F.count("*").cast("double").alias("c"))
-    s = s.groupBy("b").agg(*(F.sum(F.col(k) * F.col("c")).alias(k) for k in ("xy", "xx", "yy")))
-    r = s.select(F.when((F.col("xx") > 1e-18) & (F.col("yy") > 1e-18), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(F.lit(0.0)).alias("r"))
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    # less a value of the stratum, so that sums lose no digits and a column that does not vary gives zeros
+    least = use.groupBy(given).agg(F.min(x).alias("_x0"), F.min(y).alias("_y0"))
+    own = use.join(least, given).select(F.col(order).alias("_order"), (x - F.col("_x0")).alias("x"), (y - F.col("_y0")).alias("y"), F.col(given).alias("g"))
+    x, y = F.col("x"), F.col("y")
+    s = resampled_sums(own, "_order", {"sx": x, "sy": y, "sxy": x * y, "sxx": x * x, "syy": y * y}, resamples, seed, within="g")
+    centred = lambda p, q, both: F.sum(F.col(both) - F.col(p) * F.col(q) / F.col("n"))
+    s = s.groupBy("b").agg(centred("sx", "sy", "sxy").alias("xy"), centred("sx", "sx", "sxx").alias("xx"), centred("sy", "sy", "syy").alias("yy"), F.sum("sxx").alias("most_x"), F.sum("syy").alias("most_y"))
+    varies = lambda c: (F.col(f"{c}{c}") > 1e-18) & (F.col(f"{c}{c}") > 1e-14 * F.col(f"most_{c}"))
+    r = s.select(F.when(varies("x") & varies("y"), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).otherwise(F.lit(0.0)).alias("r"))
     return partial_correlation(rows, a, b, given).withColumnRenamed("partial_corr", "point").crossJoin(r.agg(*quantiles("r")))  # one row each
 
 
