@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from verdigris.operators.numbering import placed
 from verdigris.sources.scratch import Scratch
 
-#: Tries of the first round.
-TRIES = 4
+#: Tries of the first round; tries of a round that are sent to all tasks.
+TRIES, SENT_ROWS = 4, 50_000
 
 
 def _part(seed: int, key: Column, first: int) -> Column:
@@ -31,35 +31,41 @@ def tried(seed: int, key: Column, r: Column, m: int) -> Column:
     return F.pmod(_part(seed, key, 1) + r * F.pmod(step, F.lit(m)), F.lit(m))
 
 
-def drawn(rows: DataFrame, key: str, partners: DataFrame, name: str, serves: Column, seed: int = 0, choose: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def drawn(
+    rows: DataFrame, key: str, partners: DataFrame, name: str, serves: Column, seed: int = 0, choose: Callable[[DataFrame], DataFrame] = lambda rows: rows, needs: list[str] | None = None, about: DataFrame | None = None
+) -> DataFrame:
     """rows with the columns of the first partner in their sequence that serves; rows that no partner serves are left out.
 
-    `key` is unique in rows and `name` in partners, which are numbered in its order; their other column names differ. `serves` is a condition over both. `choose` may leave
+    `key` is unique in rows and `name` in partners, which are numbered in its order; their other column names differ. `serves` is a condition over both; `needs` names the columns of
+    rows that it reads, if not all. What is long and shared by many rows it reads from `about`, a table with one row for each value of `needs`. `choose` may leave
     out, before anything is tried, rows of which it is known that nothing serves them. Null keys and names, and empty tables, give no rows.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "drawn")
-    numbered = scratch.table(placed(partners.filter(F.col(name).isNotNull()), name).withColumnRenamed("_k", "_number").drop("_total"))
+    numbered = placed(partners.filter(F.col(name).isNotNull()), name).withColumnRenamed("_k", "_number").drop("_total")
     n = numbered.count()
-    left = scratch.table(choose(rows.filter(F.col(key).isNotNull())))
+    given = scratch.table(choose(rows.filter(F.col(key).isNotNull())))
+    needs = [c for c in given.columns if c != key] if needs is None else needs
+    left, many = given.select(key, *needs), given.count()
     m, done, width, found = 1 << max(n - 1, 0).bit_length(), 0, TRIES, []
-    while n and done < m and left.head(1):
+    # joins sort both sides unless rows are counted few: files of much repeated text are far smaller than the rows in them, so Spark would broadcast what does not fit the driver
+    while n and done < m and many:
         turns = F.sequence(F.lit(done).cast("long"), F.lit(min(done + width, m) - 1).cast("long"))
-        # keys and partners are repeated for the tries, rows are not; a number from n on has no partner
-        asks = left.select(key, F.explode(turns).alias("_turn")).withColumn("_number", tried(seed, F.col(key), F.col("_turn"), m)).filter(F.col("_number") < n)
-        pairs = asks.join(numbered, "_number").join(left, key).filter(F.coalesce(serves, F.lit(False)))
-        first = scratch.table(pairs.groupBy(key).agg(F.min_by("_number", "_turn").alias("_number")))
-        found.append(scratch.table(left.join(first, key).join(numbered, "_number").drop("_number")))
-        rest = scratch.table(left.join(first, key, "left_anti"))
-        scratch.drop(left, first)
-        left, done, width = rest, done + width, width * 2
+        # what the condition reads is repeated for the tries, and so are partners; a number from n on has no partner
+        asks = left.withColumn("_turn", F.explode(turns)).withColumn("_number", tried(seed, F.col(key), F.col("_turn"), m)).filter(F.col("_number") < n)
+        pairs = numbered.join(F.broadcast(asks) if many * width <= SENT_ROWS else asks.hint("merge"), "_number")
+        pairs = pairs.join(about.hint("merge"), needs) if about is not None else pairs
+        first = scratch.table(pairs.filter(F.coalesce(serves, F.lit(False))).groupBy(key).agg(F.min_by("_number", "_turn").alias("_number")))
+        found.append(first)
+        left = scratch.table(left.join(first.hint("merge"), key, "left_anti"))
+        done, width, many = done + width, width * 2, left.count()
     if not found:
-        return left.join(numbered.drop("_number"), F.lit(False))
-    out = found[0]
+        return given.join(numbered.drop("_number"), F.lit(False))
+    every = found[0]
     for more in found[1:]:
-        out = out.unionByName(more)
-    scratch.keep(*found)
-    return out
+        every = every.unionByName(more)
+    scratch.keep(given, *found)
+    return given.join(every.hint("merge"), key).join(numbered.hint("merge"), "_number").drop("_number")
 
 
 def drawn_sql(rows: str, key: str, partners: str, name: str, serves: str, seed: int = 0) -> str:
