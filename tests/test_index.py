@@ -77,3 +77,17 @@ def test_an_empty_corpus_gives_no_hits(spark, tmp_path):
     assert ix.Index.save(docs.limit(0), str(tmp_path / "i")).search(asks).count() == 0
     text = ix.Index.save(docs.select(F.concat(F.lit("D"), "doc_id").alias("id"), "body"), str(tmp_path / "s"), "id").search(asks.filter("query_id = 100"), 2)
     assert [r["doc_id"] for r in text.orderBy("rank").collect()] == ["D10002", "D10003"]
+
+
+def test_more_text_and_more_pairs_take_more_tasks(spark, small, tmp_path, monkeypatch):
+    docs, asks = corpus(spark)
+    counted, dealt = [], []
+    frequencies, spread = ix.frequencies, ix.spread
+    monkeypatch.setattr(ix, "frequencies", lambda *a: counted.append(frequencies(*a)) or counted[-1])
+    monkeypatch.setattr(ix, "spread", lambda *a: dealt.append(spread(*a).rdd.getNumPartitions()) or spread(*a))
+    monkeypatch.setattr(ix, "TASK_WORDS", 500)
+    monkeypatch.setattr(ix, "TASK_ROWS", 1000)
+    words = docs.agg(F.sum(F.regexp_count("body", F.lit("[a-z0-9]+")))).head()[0]
+    got = rows(ix.Index.save(docs, str(tmp_path / "i")).search(asks, 3))
+    assert counted[0].rdd.getNumPartitions() >= words / 500 > 4 and max(dealt) > 4
+    assert got == rows(retrieval.Index(docs).search(asks, 3))

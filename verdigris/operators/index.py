@@ -32,6 +32,8 @@ SEED_TERMS, SEED_BLOCKS, SEED_HITS = 16, 64, 8
 FEW = 1 / 32
 #: A table of at most so many rows of a term and a few numbers is sent to all tasks; a larger one is joined by a shuffle.
 SENT_ROWS = 100_000
+#: Words whose texts one task counts, and rows of a join or sum that one task holds, where that takes more tasks than the session's number of shuffle partitions.
+TASK_WORDS, TASK_ROWS = 1 << 19, 1 << 19
 #: Changes with the layout of the folders, so that no index of another layout is opened.
 LAYOUT = 3
 #: Sums in another order differ by less than this.
@@ -55,9 +57,15 @@ def sent(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SENT_ROWS else table
 
 
-def frequencies(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """(doc, length, term, tf). Texts are dealt by key first, so that counting their terms needs no shuffle of terms; rows without a key are left out."""
-    dealt = docs.select(F.col(key).alias("doc"), F.col(body).alias("body")).filter("doc is not null").repartition("doc")
+def spread(table: DataFrame, rows: int, *by: str) -> DataFrame:
+    """`table`, of so many rows, dealt by columns over as many tasks as keep their rows to TASK_ROWS; as it is where the session's own number of partitions does."""
+    parts = math.ceil(rows / TASK_ROWS)
+    return table.repartition(parts, *by) if parts > int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) else table
+
+
+def frequencies(docs: DataFrame, key: str, body: str, tasks: int = 1) -> DataFrame:
+    """(doc, length, term, tf). Texts are dealt by key first, over so many tasks, so that counting their terms needs no shuffle of terms; rows without a key are left out."""
+    dealt = docs.select(F.col(key).alias("doc"), F.col(body).alias("body")).filter("doc is not null").repartition(tasks, "doc")
     # the outer form, as the inner one would have Spark tokenise before the shuffle too, to leave out empty texts
     each = dealt.select("doc", tokens(F.col("body")).alias("t")).select("doc", F.size("t").alias("length"), F.explode_outer("t").alias("term"))
     return each.filter("term is not null").groupBy("doc", "length", "term").agg(F.count("*").cast("int").alias("tf"))
@@ -87,8 +95,9 @@ class Index:
         average = (words or 0) / max(n_docs, 1)
         bits = max(0, math.ceil(math.log2(n_docs / SEGMENT))) if n_docs else 0
         buckets = 1 << min(max(math.ceil(math.log2(max(n_docs / BUCKET_DOCS, 1))), int(math.log2(BUCKETS[0]))), int(math.log2(BUCKETS[1])))
-        each = frequencies(docs, key, body).select("doc", "length", "term", "tf", segment(F.col("doc"), bits).alias("block"), bucket_of(F.col("term"), buckets).alias("bucket"))
-        each = each.withColumn("lane", (F.col("block") % SPREAD).cast("int")).repartition("bucket", "lane")
+        tasks = max(1, math.ceil((words or 0) / TASK_WORDS))
+        each = frequencies(docs, key, body, tasks).select("doc", "length", "term", "tf", segment(F.col("doc"), bits).alias("block"), bucket_of(F.col("term"), buckets).alias("bucket"))
+        each = each.withColumn("lane", (F.col("block") % SPREAD).cast("int")).repartition(min(tasks, buckets * SPREAD), "bucket", "lane")
         # one row after the other goes to all three lists, and none holds nulls, so their entries stand side by side
         lists = [F.collect_list(c).alias(f"{c}s") for c in ("doc", "tf", "length")]
         posts = each.groupBy("bucket", "lane", "term", "block").agg(*lists)
@@ -133,7 +142,9 @@ class Index:
         blocks = places.join(weights, "query_id").select("term", "block")
         parts = self.postings(blocks, scratch)
         looked = candidates.select("query_id", "doc").join(weights, "query_id")
-        return looked.join(parts, ["term", "doc"]).groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+        counts = candidates.groupBy("query_id").agg(F.count("*").alias("n")).join(weights.groupBy("query_id").agg(F.count("*").alias("terms")), "query_id")
+        n = counts.agg(F.sum(F.col("n") * F.col("terms"))).head()[0] or 0
+        return spread(looked, n, "term", "doc").join(spread(parts, n, "term", "doc"), ["term", "doc"]).groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
     def bars(self, asked: DataFrame, k: int, scratch: Scratch) -> DataFrame:
         """(query_id, bar): the k-th best full score among first hits; no row for queries with fewer of them."""
@@ -172,7 +183,8 @@ class Index:
         planned = scratch.table(self.plan(asked, self.bars(asked, k, scratch)))
         wanted = scratch.table(self.wanted(planned).filter("read"))
         weights = sent(scratch.table(wanted.select("query_id", "term", "weight").distinct()))
-        near = self.postings(wanted, scratch).join(weights, "term").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+        found = self.postings(wanted, scratch).join(weights, "term")
+        near = spread(found, wanted.agg(F.sum("n")).head()[0] or 0, "query_id", "doc").groupBy("query_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
         limits = planned.select("query_id", "bar", "rest", "later").distinct()
 
         def able(rows: DataFrame, rest: str) -> DataFrame:
