@@ -145,6 +145,40 @@ def test_few_shingles_of_a_text_are_joined(spark):
     assert chosen.count() < 0.21 * shingles and chosen.filter("short").count() < 0.13 * shingles
 
 
+def test_no_shingles_are_shuffled(spark, monkeypatch):
+    """What is written for a join is some sketches of a bit or two a shingle, not entries of its prefixes; blocks, cells, pieces and the filter of wanted texts lose no pair."""
+    import random
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randrange(3, 160)))) for i in range(90)]
+    rows += [(i + 100, " ".join(w for w in t.split() if r.random() > 0.03 * (i % 5))) for i, t in rows] + [(i + 300, t) for i, t in rows[:9]] + [(400, ""), (401, None)]
+    df = spark.createDataFrame(rows, "id int, t string").repartition(3)
+    want = jaccards([(i, t or "") for i, t in rows], [i for i, _ in rows if i % 3 == 0], [i for i, _ in rows if i % 3])
+    assert len(want) > 30
+    for limits in ({}, {"HOT": 4, "BLOCKS": 1000, "PIECE": 3, "SENT": 2, "FEW": 0}, {"HELD": 300, "LEAST_BITS": 64, "MOST_BITS": 128, "WIDE": 1, "CACHED": 8}):
+        for name, value in limits.items():
+            monkeypatch.setattr(similarity, name, value)
+        got = {(x["a"], x["b"]): x["jaccard"] for x in similarity.near_duplicates(df.filter("id % 3 = 0"), df.filter("id % 3 > 0"), "id", "t").collect()}
+        assert got == pytest.approx(want)
+        monkeypatch.undo()
+    texts = spark.createDataFrame([(str(i), i, 1, t) for i, t in rows if t], "cls string, row long, side int, norm string")
+    for x in similarity.parities(texts, 5).collect():
+        assert 8 * len(x["odd"]) <= max(64, 1.5 * x["k"])
+
+
+def test_blocks_of_a_size():
+    """A size that most texts have is cut into blocks by hash, and every two blocks of similar sizes meet in one cell."""
+    bins = [(b, 50_000 if b == 30 else 40, 10 + b, 10 + b) for b in range(60)]
+    places, cells, number = similarity.layout(bins, 0.8)
+    assert [b for b, *_ in places] == list(range(60)) and {p[1] for p in places if p[0] == 30} == {23}
+    own, later = {c: b for b, c, role in cells if role < 2}, [(c, b) for b, c, role in cells if role == 2]
+    met = sorted((own[c], b) for c, b in later)
+    assert len(own) == number and len(set(met)) == len(met) and sorted(b for b, _, role in cells if role == 0) == list(range(max(own.values()) + 1))
+    hot = next(p for p in places if p[0] == 30)
+    assert {(x, y) for x in range(hot[3], hot[3] + 23) for y in range(x + 1, hot[3] + 23)} <= set(met)
+
+
 def test_corruptions(spark, docs):
     example = [("e", "t", "v", 0, "multi_hop", "q", "25 days; from 2025", "They get 25 days, and it began in 2025.", ["HR-002"], None)]
     examples = spark.createDataFrame(example, schemas.EXAMPLE)
