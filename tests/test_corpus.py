@@ -243,3 +243,55 @@ def test_quota_and_sizes(spark):
     assert schemas.parse_split_sizes("gate=150, dev=50") == {"gate": 150, "calibration": 120, "dev": 50}
     with pytest.raises(ValueError):
         schemas.parse_split_sizes("gate=x")
+
+
+def test_not_every_pair_of_a_size_is_looked_at(spark, monkeypatch):
+    """Rows of a size in which unlike ones share words and some are near copies: families by equal bytes hold every similar pair, and few pairs are compared to find them."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 8))) for _ in range(2000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(50, 65))) for _ in range(700)]
+    for i in range(300):
+        of = texts[r.randrange(40)].split()
+        for _ in range(r.randrange(0, 6)):
+            of[r.randrange(len(of))] = r.choice(words)
+        texts.append(" ".join(of))
+    df = spark.createDataFrame([(str(i), i, i % 2 + 1, t) for i, t in enumerate(texts)], "cls string, row long, side int, norm string")
+    table = pa.Table.from_pandas(similarity.parities(df, 5).toPandas().rename(columns={"row": "id", "side": "sides"}).assign(piece=0))
+    want = {tuple(sorted(p)) for p in jaccards(list(enumerate(texts)), range(0, 1000, 2), range(1, 1000, 2))}
+    part = lambda x, lo, hi: tuple(v[..., lo:hi] for v in x)
+    a = max(similarity.by_width(table), key=lambda x: len(x[2]))
+    n, compared, look = len(a[2]), [], similarity.near_pairs
+    want = {p for p in want if set(p) <= set(a[1].tolist())}
+    assert n > 500 and len(want) > 100
+    monkeypatch.setattr(similarity, "near_pairs", lambda rows, x, y, t: compared.append(len(x)) or look(rows, x, y, t))
+    monkeypatch.setattr(similarity, "WORD_S", 1e-3)
+    for x, y, same in ((a, a, True), (part(a, 0, n // 2), part(a, n // 2, n), False)):
+        pairs = lambda found: {tuple(sorted((int(p), int(q)))) for i, j in found for p, q in zip(x[1][i], y[1][j])}  # noqa: B023, E731
+        each = pairs(similarity.near_sets(x, y, same, 0.8))
+        here = {p for p in want if same or len(set(p) & set(x[1].tolist())) == 1}
+        compared.clear()
+        assert similarity.grouping(x, y, same, 0.8) and here <= pairs(similarity.close(x, y, same, 0.8)) <= each
+        assert sum(compared) < len(x[2]) * len(y[2]) / (20 if same else 10)
+        apart = int(similarity.allowed(x[2][-1], y[2][-1], 0.8))
+        for width, size in ((len(a[5]), 3), (len(a[5]), 7), (len(a[5]) // 2, 5)):
+            monkeypatch.setattr(similarity, "HITS", 1 << 21 if size > 3 else 50)
+            family = similarity.families(x, y, same, 0.8, width, size, apart)
+            assert here <= pairs(similarity.near_in_families(x, y, same, 0.8, family)) <= each
+    alike = np.zeros(4, np.int64)
+    assert similarity.merged(np.arange(4), np.array([3, 2, 1]), np.array([2, 1, 0])).tolist() == alike.tolist()
+    assert [(g, q) for g, q in similarity.shares(4, 9)] == [(2, 2), (2, 1)]
+
+
+def test_rounds_bound_what_is_sent_at_once():
+    for n in (40, 30_000, 3_000_000):
+        bins = [(b, n, 1000 + 15 * b, 1015 + 15 * b) for b in range(60)]
+        places, cells, _ = similarity.layout(bins, 0.8)
+        own = sum(m * similarity.sketch_bytes(hi) for _, m, _, hi in bins)
+        copies = len(cells) / len({b for b, *_ in cells})
+        rounds = similarity.number_of_rounds(bins, places, cells)
+        assert copies * own / rounds < 1.5 * similarity.AT_A_TIME * own
